@@ -6,7 +6,7 @@ partitioning gives the same values.  One MD5 digest yields four 32-bit draws.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DRAWS_PER_DIGEST = 4
@@ -22,16 +22,35 @@ def row_hash(seed: int | str, key: Column) -> Column:
     return _hex_to_long(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 15))
 
 
-def uniform(seed: int | str, stream: str, key: Column, index: int) -> Column:
-    """Draw ``index`` of a stream for a row, strictly between 0 and 1."""
+def digest(seed: int | str | Column, stream: str, key: Column, block: int) -> Column:
+    """Digest holding draws 4 * block .. 4 * block + 3 of a stream."""
+    seed_c = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(seed_c.cast("string"), F.lit(f"|{stream}|"), key.cast("string"), F.lit(f"|{block}")))
+
+
+def draw_from(digest_column: Column, slot: int) -> Column:
+    """One of the four draws of a digest, strictly between 0 and 1."""
+    return (_hex_to_long(F.substring(digest_column, slot * 8 + 1, 8)).cast("double") + 0.5) / _SCALE
+
+
+def uniform(seed: int | str | Column, stream: str, key: Column, index: int) -> Column:
+    """Draw ``index`` of a stream for a row."""
     block, slot = divmod(index, DRAWS_PER_DIGEST)
-    digest = F.md5(F.concat(F.lit(f"{seed}|{stream}|"), key.cast("string"), F.lit(f"|{block}")))
-    word = _hex_to_long(F.substring(digest, slot * 8 + 1, 8))
-    return (word.cast("double") + 0.5) / _SCALE
+    return draw_from(digest(seed, stream, key, block), slot)
+
+
+def with_draws(df: DataFrame, seed: int | Column, stream: str, key: Column, n: int) -> tuple[DataFrame, list[Column], list[str]]:
+    """Add the digests of ``n`` draws as columns: (table, draws, columns to drop later)."""
+    blocks = range((n + DRAWS_PER_DIGEST - 1) // DRAWS_PER_DIGEST)
+    names = [f"__{stream}{b}" for b in blocks]
+    out = df.withColumns({name: digest(seed, stream, key, b) for name, b in zip(names, blocks)})
+    return out, [draw_from(F.col(names[i // DRAWS_PER_DIGEST]), i % DRAWS_PER_DIGEST) for i in range(n)], names
 
 
-def gumbel(u: Column) -> Column:
-    return -F.log(-F.log(u))
+def race_time(u: Column, weight: float) -> Column:
+    """Arrival time of an exponential race: the k smallest are k draws without
+    replacement, proportional to weight (the same order as Gumbel top-k)."""
+    return -F.log(u) / F.lit(weight)
 
 
 def integer_between(u: Column, lo: int | Column, hi: int | Column) -> Column:

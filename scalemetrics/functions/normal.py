@@ -6,7 +6,9 @@ West 2005) is accurate to about 1e-15 and stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Published coefficients, highest power first.
@@ -31,9 +33,28 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """P(Z <= z).  ``z`` is repeated, so pass a column rather than a long expression."""
-    a = F.least(F.abs(z), F.lit(37.0))
+    return upper_to_cdf(z, upper_tail(F.least(F.abs(z), F.lit(37.0))))
+
+
+def upper_tail(a: Column) -> Column:
+    """P(Z > a) for 0 <= a <= 37."""
     density = F.exp(-a * a / 2.0)
-    near = density * _horner(a, NUMERATOR) / _horner(a, DENOMINATOR)
     fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
-    upper = F.when(a < TAIL_FROM, near).otherwise(density / fraction / SQRT_2PI)
+    near = _horner(a, NUMERATOR) / _horner(a, DENOMINATOR)
+    return density * F.when(a < TAIL_FROM, near).otherwise(1.0 / (fraction * SQRT_2PI))
+
+
+def upper_to_cdf(z: Column, upper: Column) -> Column:
     return F.when(z > 0, 1.0 - upper).otherwise(upper)
+
+
+def with_normal_cdf(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add P(Z <= z) columns; ``columns`` maps target -> column holding z.
+
+    |z| and the tail are projected on the way so that the generated code holds
+    every polynomial once.
+    """
+    out = df.withColumns({f"__a_{t}": F.least(F.abs(z), F.lit(37.0)) for t, z in columns.items()})
+    out = out.withColumns({f"__u_{t}": upper_tail(F.col(f"__a_{t}")) for t in columns})
+    out = out.withColumns({t: F.when(F.col(z).isNotNull(), upper_to_cdf(F.col(z), F.col(f"__u_{t}"))) for t, z in columns.items()})
+    return out.drop(*[f"__{p}_{t}" for t in columns for p in "au"])

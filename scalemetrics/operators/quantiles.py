@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scalemetrics.workspace import settle
+
 BUCKETS = 4096
 
 
@@ -20,8 +22,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[flo
     if not keys:
         keys, data = ["__all"], data.withColumn("__all", F.lit(1))
         return exact_quantiles(data, keys, "__x", probs).drop("__all")
-    spread = data.groupBy(*keys).agg(
-        F.min("__x").alias("__min"), F.max("__x").alias("__max"), F.count(F.lit(1)).alias("__n")
+    spread = settle(
+        data.groupBy(*keys).agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"), F.count(F.lit(1)).alias("__n"))
     )
     unit = F.try_divide(F.col("__x") - F.col("__min"), F.col("__max") - F.col("__min"))
     bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(unit, F.lit(0.0)) * BUCKETS).cast("int"))
@@ -45,7 +47,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[flo
         ]
     )
     wanted = spread.select(*keys, F.inline(ends))
-    located = wanted.join(hist, keys).filter("__rank >= __before AND __rank < __cum")
+    located = settle(wanted.join(hist, keys).filter("__rank >= __before AND __rank < __cum"))
 
     inside = Window.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     values = (
@@ -65,28 +67,32 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[flo
     )
 
 
-def rank_cuts(df: DataFrame, keys: list[str], order: Column, tie: str, quotas: DataFrame) -> DataFrame:
-    """Order value of the last row inside each quota.
+def hash_ranges(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """(keys..., range, count): how many rows fall in each of 4096 equal ranges of a 60-bit hash."""
+    return df.groupBy(*keys, hash_range(order).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def hash_range(order: Column) -> Column:
+    return F.shiftright(order, 48).cast("int")
 
-    ``order`` is a 60-bit hash, ``quotas`` has (keys..., cut, quota).  The hash is
-    split into equal ranges; counts per range locate the quota, and only the rows
-    of that range are ranked.  Returns (keys..., cut, cut_hash, cut_id); a quota of
-    zero has no row.
+
+def rank_cuts(df: DataFrame, keys: list[str], order: Column, tie: str, ranges: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The row that closes each quota when rows are ordered by (hash, tie) inside their keys.
+
+    ``ranges`` comes from ``hash_ranges`` and ``quotas`` has (keys..., cut, quota).
+    The counts locate the range that holds the quota; only the rows of that range
+    (about 1/4096 of a key) are ranked.  Returns (keys..., cut, cut_hash, cut_id);
+    a quota of zero gives no row.
     """
-    hashed = df.select(*keys, order.alias("__h"), F.col(tie).alias("__id")).withColumn(
-        "__b", F.shiftright("__h", 48).cast("int")
-    )
     upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (
-        hashed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__cum", F.sum("__c").over(upto))
-        .withColumn("__before", F.col("__cum") - F.col("__c"))
-    )
-    located = quotas.join(hist, keys).filter("quota > __before AND quota <= __cum")
+    cumulative = ranges.withColumn("__cum", F.sum("__c").over(upto)).withColumn("__before", F.col("__cum") - F.col("__c"))
+    located = settle(quotas.join(cumulative, keys).filter("quota > __before AND quota <= __cum"))
+    hashed = df.select(*keys, order.alias("__h"), F.col(tie).alias("__id"), hash_range(order).alias("__b"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__h", "__id")
     ranked = hashed.join(located.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi").withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", "__id"))
+        "__rn", F.row_number().over(inside)
     )
-    return (
+    return settle(
         located.join(ranked, [*keys, "__b"]).filter("__before + __rn = quota")
         .select(*keys, "cut", F.col("__h").alias("cut_hash"), F.col("__id").alias("cut_id"))
     )

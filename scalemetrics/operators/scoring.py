@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalemetrics.functions.normal import normal_cdf
+from scalemetrics.functions.normal import normal_cdf, with_normal_cdf
 from scalemetrics.spec import ScaleSpec
 
 # domain -> (mean, sd)
@@ -30,15 +30,22 @@ def domain_scores(df: DataFrame, spec: ScaleSpec) -> DataFrame:
 
 
 def percentile_of_z(z: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * normal_cdf(z)))
+    # greatest and least skip NULL, so missing must be kept out explicitly
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * normal_cdf(z))))
 
 
 def add_percentiles(df: DataFrame, pairs: Mapping[str, str], norms: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Add ``target`` percentile columns.  ``pairs`` maps target column -> score column and
     ``norms`` maps target column -> (mean, sd)."""
     z = {f"__z_{t}": (F.col(s) - norms[t][0]) / norms[t][1] for t, s in pairs.items()}
-    out = df.withColumns(z).withColumns({t: percentile_of_z(F.col(f"__z_{t}")) for t in pairs})
-    return out.drop(*z)
+    return _percentiles_of(df.withColumns(z), list(pairs)).drop(*z)
+
+
+def _percentiles_of(df: DataFrame, targets: list[str]) -> DataFrame:
+    """Percentile columns from the ``__z_<target>`` columns."""
+    out = with_normal_cdf(df, {t: f"__z_{t}" for t in targets})
+    clipped = {t: F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * F.col(t))) for t in targets}
+    return out.withColumns({t: F.when(F.col(t).isNotNull(), c) for t, c in clipped.items()})
 
 
 def score_percentiles(df: DataFrame, norms: Norms, spec: ScaleSpec) -> DataFrame:
@@ -67,8 +74,7 @@ def long_percentiles(df: DataFrame, columns: Mapping[str, str], norms: Norms, do
     sd = by_domain(F.col(domain), {d: s for d, (_, s) in norms.items()})
     out = df.withColumns({"__mean": mean, "__sd": sd})
     out = out.withColumns({f"__z_{t}": (F.col(s) - F.col("__mean")) / F.col("__sd") for t, s in columns.items()})
-    out = out.withColumns({t: percentile_of_z(F.col(f"__z_{t}")) for t in columns})
-    return out.drop("__mean", "__sd", *[f"__z_{t}" for t in columns])
+    return _percentiles_of(out, list(columns)).drop("__mean", "__sd", *[f"__z_{t}" for t in columns])
 
 
 def order_quantiles(df: DataFrame, lower: str = "lower", mid: str = "pred", upper: str = "upper") -> DataFrame:

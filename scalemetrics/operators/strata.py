@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scalemetrics.functions.draws import row_hash
-from scalemetrics.operators.quantiles import rank_cuts
+from scalemetrics.operators.quantiles import hash_ranges, rank_cuts
+from scalemetrics.workspace import settle
 
 
 def bin_edges(df: DataFrame, columns: list[str], bins: int = 5) -> dict[str, list[float]]:
@@ -53,15 +54,14 @@ def composite_stratum(parts: list[str], bins: int = 5) -> Column:
     return acc.cast("short")
 
 
-def merge_rare(df: DataFrame, stratum: str = "split_stratum", out: str = "merged_stratum", min_count: int = 3) -> DataFrame:
-    """Send strata with fewer than ``min_count`` rows to the nearest populated id.
+def rare_remap(counts: DataFrame, stratum: str, out: str, min_count: int = 3) -> DataFrame:
+    """(stratum, out) from (stratum, count): where the rows of each stratum go.
 
-    The lower id wins ties; with no populated stratum everything becomes 0.  The
-    nearest populated neighbours are found with two running windows over the
-    stratum counts.
+    Strata with fewer than ``min_count`` rows go to the nearest populated id; the
+    lower id wins ties; with no populated stratum everything becomes 0.  Two
+    running windows over the stratum table find the nearest neighbours.
     """
-    w = Window.orderBy(stratum)  # one row per stratum, bounded by bins ** parts
-    counts = df.groupBy(stratum).count()
+    w = Window.orderBy(stratum)  # one row per stratum
     id_if_big = F.when(F.col("count") >= min_count, F.col(stratum))
     below = F.last(id_if_big, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     above = F.first(id_if_big, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -70,7 +70,12 @@ def merge_rare(df: DataFrame, stratum: str = "split_stratum", out: str = "merged
         .when(above.isNull() | (F.col(stratum) - below <= above - F.col(stratum)), below)
         .otherwise(above)
     )
-    remap = counts.select(stratum, nearest.cast(df.schema[stratum].dataType).alias(out))
+    return counts.select(stratum, nearest.cast(counts.schema[stratum].dataType).alias(out))
+
+
+def merge_rare(df: DataFrame, stratum: str = "split_stratum", out: str = "merged_stratum", min_count: int = 3) -> DataFrame:
+    """Add the merged stratum of every row."""
+    remap = settle(rare_remap(df.groupBy(stratum).count(), stratum, out, min_count))
     return df.join(remap, stratum)
 
 
@@ -91,38 +96,57 @@ def _largest_remainder(counts: DataFrame, stratum: str, fraction: float) -> Data
     return shares.select(stratum, (F.col("__base") + (place <= spare).cast("int")).alias("quota"))
 
 
-def take_share(df: DataFrame, stratum: str, key: str, fraction: float, seed: int, flag: str) -> DataFrame:
-    """Mark ``flag`` on exactly ceil(fraction * N) rows, proportionally per stratum."""
-    counts = df.groupBy(stratum).count()
-    quotas = _largest_remainder(counts, stratum, fraction).withColumn("cut", F.lit(1))
+def share_cuts(df: DataFrame, stratum: str, key: str, fraction: float, seed: int, merge: bool = False) -> DataFrame:
+    """(stratum, cut_hash, cut_id): rows up to the cut make ceil(fraction * N) rows in all.
+
+    Two passes over (stratum, key); the tables in between have one row per stratum
+    and hash range.
+    """
     h = row_hash(seed, F.col(key))
-    cuts = rank_cuts(df, [stratum], h, key, quotas).drop("cut")
-    marked = df.join(cuts, stratum, "left").withColumn("__h", h)
-    inside = (F.col("__h") < F.col("cut_hash")) | ((F.col("__h") == F.col("cut_hash")) & (F.col(key) <= F.col("cut_id")))
-    return marked.withColumn(flag, F.coalesce(inside, F.lit(False))).drop("__h", "cut_hash", "cut_id")
+    ranges = settle(hash_ranges(df.select(stratum, key), [stratum], h))
+    counts = ranges.groupBy(stratum).agg(F.sum("__c").alias("count"))
+    remap = rare_remap(counts, stratum, "__m") if merge else counts.select(stratum, F.col(stratum).alias("__m"))
+    remap = settle(remap)
+    merged = ranges.join(remap, stratum).groupBy("__m", "__b").agg(F.sum("__c").alias("__c"))
+    quotas = _largest_remainder(merged.groupBy("__m").agg(F.sum("__c").alias("count")), "__m", fraction)
+    rows = df.select(stratum, key).join(remap, stratum)
+    cuts = rank_cuts(rows, ["__m"], h, key, merged, quotas.withColumn("cut", F.lit(1)))
+    return settle(remap.join(cuts, "__m").select(stratum, "cut_hash", "cut_id"))
+
+
+def take_share(df: DataFrame, stratum: str, key: str, fraction: float, seed: int, flag: str, merge: bool = False) -> DataFrame:
+    """Mark ``flag`` on exactly ceil(fraction * N) rows, proportionally per stratum."""
+    cuts = share_cuts(df, stratum, key, fraction, seed, merge)
+    at = F.struct(row_hash(seed, F.col(key)).alias("cut_hash"), F.col(key).alias("cut_id"))
+    inside = at <= F.struct("cut_hash", "cut_id")
+    marked = df.join(cuts, stratum, "left")
+    return marked.withColumn(flag, F.col("cut_hash").isNotNull() & F.coalesce(inside, F.lit(False))).drop("cut_hash", "cut_id")
 
 
 def stratified_split(
     df: DataFrame, stratum: str, key: str, test: float = 0.15, val: float = 0.15, seed: int = 42
 ) -> DataFrame:
-    """Add ``split`` (train / val / test) with exact proportions inside strata."""
-    merged = merge_rare(df, stratum, "__m1")
-    first = take_share(merged, "__m1", key, test, seed, "__is_test").drop("__m1")
-    rest = merge_rare(first.filter(~F.col("__is_test")), stratum, "__m2")
-    second = take_share(rest, "__m2", key, val / (1 - test), seed, "__is_val").drop("__m2")
-    label = F.when(F.col("__is_val"), "val").otherwise("train")
-    return (
-        second.withColumn("split", label)
-        .unionByName(first.filter("__is_test").withColumns({"split": F.lit("test"), "__is_val": F.lit(False)}))
-        .drop("__is_test", "__is_val")
-    )
+    """Add ``split`` (train / val / test) with exact proportions inside strata.
+
+    The validation share is taken from what the test share leaves.  Rows are only
+    compared with two cut tables; no row is shuffled to receive its label.
+    """
+    held = take_share(df, stratum, key, test, seed, "__is_test", merge=True)
+    rest = held.filter(~F.col("__is_test")).select(stratum, key)
+    cuts = share_cuts(rest, stratum, key, val / (1 - test), seed, merge=True)
+    at = F.struct(row_hash(seed, F.col(key)).alias("cut_hash"), F.col(key).alias("cut_id"))
+    inside = F.col("cut_hash").isNotNull() & F.coalesce(at <= F.struct("cut_hash", "cut_id"), F.lit(False))
+    label = F.when(F.col("__is_test"), "test").when(inside, "val").otherwise("train")
+    return held.join(cuts, stratum, "left").withColumn("split", label).drop("__is_test", "cut_hash", "cut_id")
 
 
 def assign_folds(df: DataFrame, key: str, folds: int, seed: int, stratum: str | None = None) -> DataFrame:
     """Add ``fold`` in 0..folds-1: consecutive blocks of the random order inside each stratum."""
     base = df if stratum else df.withColumn("__one", F.lit(0))
     by = stratum or "__one"
-    counts = base.groupBy(by).count()
+    h = row_hash(seed, F.col(key))
+    ranges = settle(hash_ranges(base.select(by, key), [by], h))
+    counts = ranges.groupBy(by).agg(F.sum("__c").alias("count"))
     if stratum:
         least, n = counts.agg(F.min("count"), F.count(F.lit(1))).first()
         if n < 2:
@@ -136,9 +160,8 @@ def assign_folds(df: DataFrame, key: str, folds: int, seed: int, stratum: str |
         ]
     )
     quotas = counts.select(by, F.inline(ends))
-    h = row_hash(seed, F.col(key))
-    cuts = (
-        rank_cuts(base, [by], h, key, quotas)
+    cuts = settle(
+        rank_cuts(base, [by], h, key, ranges, quotas)
         .groupBy(by).pivot("cut", list(range(1, folds)))
         .agg(F.first(F.struct("cut_hash", "cut_id")))
     )
@@ -152,14 +175,14 @@ def assign_folds(df: DataFrame, key: str, folds: int, seed: int, stratum: str |
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows in hash order (all rows when there are fewer)."""
-    total = df.groupBy(F.lit(0).alias("__one")).count()
-    quotas = total.select("__one", F.lit(1).alias("cut"), F.least(F.lit(n), F.col("count")).alias("quota"))
     h = row_hash(seed, F.col(key))
-    cuts = rank_cuts(df.withColumn("__one", F.lit(0)), ["__one"], h, key, quotas)
+    base = df.withColumn("__one", F.lit(0))
+    ranges = settle(hash_ranges(base.select("__one", key), ["__one"], h))
+    total = ranges.groupBy("__one").agg(F.sum("__c").alias("count"))
+    quotas = total.select("__one", F.lit(1).alias("cut"), F.least(F.lit(n), F.col("count")).alias("quota"))
+    cuts = rank_cuts(base, ["__one"], h, key, ranges, quotas)
     at = F.struct(F.col("__h").alias("cut_hash"), F.col(key).alias("cut_id"))
     return (
-        df.withColumns({"__h": h, "__one": F.lit(0)})
-        .join(cuts, "__one")
-        .filter(at <= F.struct("cut_hash", "cut_id"))
+        base.withColumn("__h", h).join(cuts, "__one").filter(at <= F.struct("cut_hash", "cut_id"))
         .drop("__h", "__one", "cut", "cut_hash", "cut_id")
     )

@@ -1,6 +1,6 @@
 """Registered queries, one module per part of the operator inventory."""
 
-from scalemetrics.plans import ingest, itemstats, population, rows  # noqa: F401
+from scalemetrics.plans import evaluation, ingest, itemstats, masking, population, rows  # noqa: F401
 from scalemetrics.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,7 +43,7 @@ def row_hash(seed: object, id_sql: str) -> str:
 def uniform(seed: object, stream: str, id_sql: str, index_sql: str) -> str:
     """Four 32-bit draws per digest; ``index_sql`` is the draw number."""
     word = (
-        f"substr(md5(concat('{seed}|{stream}|', CAST({id_sql} AS VARCHAR), '|', CAST(({index_sql}) // 4 AS VARCHAR))),"
+        f"substr(md5(concat({seed}, '|{stream}|', CAST({id_sql} AS VARCHAR), '|', CAST(({index_sql}) // 4 AS VARCHAR))),"
         f" CAST((({index_sql}) % 4) * 8 + 1 AS INTEGER), 8)"
     )
     return f"((CAST(CAST('0x' || {word} AS BIGINT) AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE))"

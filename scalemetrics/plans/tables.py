@@ -146,3 +146,8 @@ def selected(spark: SparkSession, sf: str) -> DataFrame:
 def sweep_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Score cells of every selection over all respondents."""
     return written(spark, f"cells|{sf}", lambda: sweep.score_cells(clean(spark, sf), selected(spark, sf), SPEC))
+
+
+def item_ranks(spark: SparkSession, sf: str) -> dict[str, int]:
+    """Item -> rank; as many entries as the scale has items."""
+    return {r["item"]: r["rank"] for r in item_pool(spark, sf).select("item", "rank").limit(SPEC.n_items).collect()}

@@ -33,8 +33,9 @@ def write_item_pool(pool: DataFrame, path: str, camel: bool = False) -> None:
     """One document holding the pool (as many records as the scale has items)."""
     fields = [F.col(n).alias(c if camel and c else n) for n, c, _ in _POOL_FIELDS]
     name = "itemPool" if camel else "item_pool"
-    doc = pool.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("i")))).alias("p"))
-    doc.select(F.transform("p", lambda x: x["i"]).alias(name)).coalesce(1).write.mode("overwrite").json(path)
+    by_rank = lambda a, b: a["rank"] - b["rank"]
+    doc = pool.groupBy().agg(F.array_sort(F.collect_list(F.struct(*fields)), by_rank).alias(name))
+    doc.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_domain_table(spark: SparkSession, path: str, fields: str) -> DataFrame:

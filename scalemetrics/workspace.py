@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,14 @@ def written(spark: SparkSession, key: str, build: Callable[[], DataFrame], *part
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _written[app_key] = path
     return spark.read.parquet(_written[app_key])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table and read it back.
+
+    Later uses scan the file instead of recomputing the plan, and its size is
+    known, so Spark broadcasts it exactly when it is small enough.
+    """
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
