@@ -6,7 +6,7 @@ partitioning gives the same values.  One MD5 digest yields four 32-bit draws.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DRAWS_PER_DIGEST = 4
@@ -22,10 +22,11 @@ def row_hash(seed: int | str, key: Column) -> Column:
     return _hex_to_long(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 15))
 
 
-def digest(seed: int | str | Column, stream: str, key: Column, block: int) -> Column:
+def digest(seed: int | str | Column, stream: str, key: Column, block: int | Column) -> Column:
     """Digest holding draws 4 * block .. 4 * block + 3 of a stream."""
     seed_c = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat(seed_c.cast("string"), F.lit(f"|{stream}|"), key.cast("string"), F.lit(f"|{block}")))
+    block_c = block if isinstance(block, Column) else F.lit(block)
+    return F.md5(F.concat(seed_c.cast("string"), F.lit(f"|{stream}|"), key.cast("string"), F.lit("|"), block_c.cast("string")))
 
 
 def draw_from(digest_column: Column, slot: int) -> Column:
@@ -39,18 +40,23 @@ def uniform(seed: int | str | Column, stream: str, key: Column, index: int) -> C
     return draw_from(digest(seed, stream, key, block), slot)
 
 
-def with_draws(df: DataFrame, seed: int | Column, stream: str, key: Column, n: int) -> tuple[DataFrame, list[Column], list[str]]:
-    """Add the digests of ``n`` draws as columns: (table, draws, columns to drop later)."""
-    blocks = range((n + DRAWS_PER_DIGEST - 1) // DRAWS_PER_DIGEST)
-    names = [f"__{stream}{b}" for b in blocks]
-    out = df.withColumns({name: digest(seed, stream, key, b) for name, b in zip(names, blocks)})
-    return out, [draw_from(F.col(names[i // DRAWS_PER_DIGEST]), i % DRAWS_PER_DIGEST) for i in range(n)], names
+def draw_array(seed: int | str | Column, stream: str, key: Column, n: int) -> Column:
+    """Draws 0 .. n-1 of a stream as an array.
 
+    Written with ``transform`` so that a row with dozens of draws stays one small
+    expression; spelled out per draw it outgrows the JVM's method limit.
+    """
+    digests = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // DRAWS_PER_DIGEST)), lambda b: digest(seed, stream, key, b))
+    words = F.flatten(
+        F.transform(digests, lambda d: F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(8)), lambda at: F.substr(d, at, F.lit(8))))
+    )
+    return F.transform(F.slice(words, 1, n), lambda w: (_hex_to_long(w).cast("double") + 0.5) / _SCALE)
 
-def race_time(u: Column, weight: float) -> Column:
+
+def race_time(u: Column, weight: Column) -> Column:
     """Arrival time of an exponential race: the k smallest are k draws without
     replacement, proportional to weight (the same order as Gumbel top-k)."""
-    return -F.log(u) / F.lit(weight)
+    return -F.log(u) / weight
 
 
 def integer_between(u: Column, lo: int | Column, hi: int | Column) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalemetrics.functions.draws import integer_between, race_time, with_draws
+from scalemetrics.functions.draws import draw_array, integer_between, race_time
 from scalemetrics.operators.strata import take_share
 from scalemetrics.spec import ScaleSpec
 
@@ -34,10 +34,11 @@ class Draws:
     kind: Column
     domains_hit: Column
     other_count: Column
-    domain: list[Column]
     in_domain: list[Column]
     uniform_order: Column
     weighted_order: Column
+    domain_order: dict[str, Column]
+    shuffled_domains: Column
 
 
 N_SCALAR = 5
@@ -45,36 +46,41 @@ N_SCALAR = 5
 
 def _with_orders(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], seed: int | Column, key: Column) -> tuple[DataFrame, Draws, list[str]]:
     n_dom = len(spec.domains)
-    out, row, drop_row = with_draws(df, seed, "row", key, N_SCALAR + 2 * n_dom)
-    out, base, drop_base = with_draws(out, seed, "base", key, spec.n_items)
-    out, fill, drop_fill = with_draws(out, seed, "fill", key, spec.n_items)
-    weight = [1.0 / (ranks[i] + 1) for i in spec.items]
-    order = lambda keys: F.sort_array(F.array(*[F.struct(k.alias("at"), F.lit(n).alias("no")) for n, k in enumerate(keys, start=1)]))["no"]
-    out = out.withColumns({
-        "__uniform": order(base), "__weighted": order([race_time(u, w) for u, w in zip(fill, weight)])
+    weights = F.array(*[F.lit(1.0 / (ranks[i] + 1)) for i in spec.items])
+    numbered = lambda keys: F.transform(keys, lambda k, n: F.struct(k.alias("at"), (n + 1).alias("no")))
+    in_order = lambda keys: F.sort_array(numbered(keys))["no"]
+    out = df.withColumns({
+        "__row": draw_array(seed, "row", key, N_SCALAR + 2 * n_dom),
+        "__uniform": in_order(draw_array(seed, "base", key, spec.n_items)),
+        "__weighted": in_order(
+            F.transform(draw_array(seed, "fill", key, spec.n_items), lambda u, n: race_time(u, F.get(weights, n)))
+        ),
     })
-    draws = Draws(*row[:N_SCALAR], row[N_SCALAR:N_SCALAR + n_dom], row[N_SCALAR + n_dom:], F.col("__uniform"), F.col("__weighted"))
-    return out, draws, [*drop_row, *drop_base, *drop_fill, "__uniform", "__weighted"]
+    inside = {d: f"__in_{d}" for d in spec.domains}
+    domain_order = in_order(F.slice("__row", N_SCALAR + 1, n_dom))
+    out = out.withColumns({c: F.array_intersect("__uniform", _numbers(spec, d)) for d, c in inside.items()} | {"__domains": domain_order})
+    row = [F.get("__row", F.lit(n)) for n in range(N_SCALAR + 2 * n_dom)]
+    draws = Draws(
+        *row[:N_SCALAR], row[N_SCALAR + n_dom:], F.col("__uniform"), F.col("__weighted"),
+        {d: F.col(c) for d, c in inside.items()}, F.col("__domains"),
+    )
+    return out, draws, ["__row", "__uniform", "__weighted", "__domains", *inside.values()]
 
 
 def _numbers(spec: ScaleSpec, domain: str) -> Column:
     return F.array(*[F.lit(spec.item_no[i]) for i in spec.domain_items(domain)])
 
 
-def _first_of_domain(d: Draws, spec: ScaleSpec, domain: str, n: Column) -> Column:
-    return F.slice(F.array_intersect(d.uniform_order, _numbers(spec, domain)), F.lit(1), n)
-
-
 def weighted(d: Draws, spec: ScaleSpec, lo: int = 8, hi: int = 40) -> Column:
     """K items drawn without replacement with weights 1 / (rank + 1)."""
     return F.slice(d.weighted_order, F.lit(1), integer_between(d.count, lo, min(hi, spec.n_items)))
 
 
-def balanced(d: Draws, spec: ScaleSpec, per_domain: int = 4, lo: int = 20, hi: int = 40) -> Column:
+def balanced(d: Draws, spec: ScaleSpec, per_domain: int | Column = 4, lo: int | Column = 20, hi: int | Column = 40) -> Column:
     """``per_domain`` random items of every domain, then a weighted fill up to K."""
-    base = F.concat(*[_first_of_domain(d, spec, dom, F.lit(per_domain)) for dom in spec.domains])
-    k = integer_between(d.count, lo, min(hi, spec.n_items))
-    spare = F.greatest(F.lit(0), k - per_domain * len(spec.domains))
+    n = F.lit(per_domain) if isinstance(per_domain, int) else per_domain
+    base = F.concat(*[F.slice(d.domain_order[dom], F.lit(1), n) for dom in spec.domains])
+    spare = F.greatest(F.lit(0), integer_between(d.count, lo, hi) - n * len(spec.domains))
     return F.concat(base, F.slice(F.array_except(d.weighted_order, base), F.lit(1), spare))
 
 
@@ -83,16 +89,18 @@ def imbalanced(d: Draws, spec: ScaleSpec, ranks: Mapping[str, int]) -> Column:
     by_rank = F.array(*[F.lit(spec.item_no[i]) for i in sorted(spec.items, key=lambda i: ranks[i])])
     top = F.slice(by_rank, F.lit(1), integer_between(d.other_count, 5, 25))
 
-    shuffled = F.sort_array(F.array(*[F.struct(u.alias("at"), F.lit(dom).alias("name")) for u, dom in zip(d.domain, spec.domains)]))["name"]
-    hit = lambda p_one: F.slice(shuffled, F.lit(1), F.when(d.domains_hit < p_one, 1).otherwise(2))
+    hit = lambda p_one: F.slice(d.shuffled_domains, F.lit(1), F.when(d.domains_hit < p_one, 1).otherwise(2))
     dropped = hit(0.6)
     empty = F.array().cast("array<int>")
-    gone = F.concat(*[F.when(F.array_contains(dropped, dom), _numbers(spec, dom)).otherwise(empty) for dom in spec.domains])
+    gone = F.concat(*[F.when(F.array_contains(dropped, spec.domain_no[dom]), _numbers(spec, dom)).otherwise(empty) for dom in spec.domains])
     skewed = F.slice(F.array_except(d.uniform_order, gone), F.lit(1), integer_between(d.other_count, 5, 20))
 
     heavy = hit(0.4)
     loaded = F.concat(*[
-        _first_of_domain(d, spec, dom, F.when(F.array_contains(heavy, dom), integer_between(u, 6, 8)).otherwise(integer_between(u, 0, 1)))
+        F.slice(
+            d.domain_order[dom], F.lit(1),
+            F.when(F.array_contains(heavy, spec.domain_no[dom]), integer_between(u, 6, 8)).otherwise(integer_between(u, 0, 1)),
+        )
         for dom, u in zip(spec.domains, d.in_domain)
     ])
     return F.when(d.kind < 0.5, top).when(d.kind < 0.8, skewed).otherwise(loaded)
@@ -114,15 +122,15 @@ def bucketed(
     """Mixture of balanced masks of three lengths, the short form and imbalanced patterns."""
     shares = bucket_shares(short_form and bool(spec.short_items), with_imbalanced)
     edges = [sum(shares[: n + 1]) for n in range(len(shares))]
-    short = F.array(*[F.lit(spec.item_no[i]) for i in spec.short_items])
-    small, medium, large = (balanced(d, spec, *b) for b in BUCKETS)
-    out = F.when(d.bucket < edges[0], small)
+    # the three balanced buckets are one expression with different parameters
+    by_bucket = lambda n: F.when(d.bucket < edges[0], BUCKETS[0][n]).when(d.bucket < edges[2], BUCKETS[1][n]).otherwise(BUCKETS[2][n])
+    out = balanced(d, spec, by_bucket(0), by_bucket(1), by_bucket(2))
     if shares[1]:
-        out = out.when(d.bucket < edges[1], short)
-    out = out.when(d.bucket < edges[2], medium)
-    if not shares[4]:
-        return out.otherwise(large)
-    return out.when(d.bucket < edges[3], large).otherwise(imbalanced(d, spec, ranks))
+        short = F.array(*[F.lit(spec.item_no[i]) for i in spec.short_items])
+        out = F.when((d.bucket >= edges[0]) & (d.bucket < edges[1]), short).otherwise(out)
+    if shares[4]:
+        out = F.when(d.bucket >= edges[3], imbalanced(d, spec, ranks)).otherwise(out)
+    return out
 
 
 @dataclass(frozen=True)
@@ -180,4 +188,5 @@ def hold_out_then_mask(
 
 
 def kept_names(spec: ScaleSpec, kept: str = "kept") -> Column:
-    return F.array_compact(F.array(*[F.when(F.array_contains(kept, spec.item_no[i]), F.lit(i)) for i in spec.items]))
+    names = F.array(*[F.lit(i) for i in spec.items])
+    return F.transform(kept, lambda n: F.get(names, n - 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,14 @@ def averaging_predictions(
 
     The interval ends are the means of the first and of the second half of a
     domain's selected items, moved out by ``spread``.  The rows of one respondent
-    are built inside that respondent's row; nothing is joined.
+    are built inside that respondent's row; nothing is joined.  Two methods share
+    a projection: more would outgrow the JVM's method limit.
     """
+    if len(selections) > 2:
+        names = list(selections)
+        pairs = [{m: selections[m] for m in names[n:n + 2]} for n in range(0, len(names), 2)]
+        parts = [averaging_predictions(df, spec, pair, norms, spread) for pair in pairs]
+        return reduce(DataFrame.unionByName, parts)
     rows: list[Column] = []
     for method, items in selections.items():
         for d in spec.domains:

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scalemetrics.functions.draws import draw_array, integer_between, uniform
 from scalemetrics.operators import cleaning, items, norms as norm_ops, predict, scoring, selection, strata, sweep
+from scalemetrics.operators.sessions import PoolItem
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 from scalemetrics.workspace import written
 
@@ -151,3 +153,36 @@ def sweep_cells(spark: SparkSession, sf: str) -> DataFrame:
 def item_ranks(spark: SparkSession, sf: str) -> dict[str, int]:
     """Item -> rank; as many entries as the scale has items."""
     return {r["item"]: r["rank"] for r in item_pool(spark, sf).select("item", "rank").limit(SPEC.n_items).collect()}
+
+
+def answer_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions: every respondent answers 8 to 50 items in a random order of their own."""
+
+    def build() -> DataFrame:
+        rid = F.col("respondent_id")
+        names, values = F.array(*[F.lit(i) for i in SPEC.items]), F.array(*[F.col(i) for i in SPEC.items])
+        entries = F.sort_array(F.transform(
+            draw_array("log", "order", rid, SPEC.n_items),
+            lambda u, n: F.struct(u.alias("u"), n.alias("no"), F.get(names, n).alias("item"), F.get(values, n).alias("value")),
+        ))
+        length = integer_between(uniform("log", "len", rid, 0), 8, SPEC.n_items)
+        taken = clean(spark, sf).select(rid.alias("session"), F.posexplode(F.slice(entries, F.lit(1), length)).alias("at", "e"))
+        return taken.select("session", (F.col("at") + 1).alias("pos"), "e.item", "e.value")
+
+    return written(spark, f"answer_log|{sf}", build)
+
+
+def r_bar_values(spark: SparkSession, sf: str) -> dict[str, float]:
+    return {r["domain"]: r["r_bar"] for r in r_bars(spark, sf).limit(len(SPEC.domains)).collect()}
+
+
+def sds(spark: SparkSession, sf: str) -> dict[str, float]:
+    return {d: sd for d, (_, sd) in full_norms(spark, sf).items()}
+
+
+def pool_rows(spark: SparkSession, sf: str) -> list[PoolItem]:
+    rows = item_pool(spark, sf).orderBy("rank").limit(SPEC.n_items).collect()
+    return [
+        PoolItem(r["item"], r["home_domain"], SPEC.domain_no[r["home_domain"]], r["own_r"], r["rank"], r["domain_correlations"])
+        for r in rows
+    ]
