@@ -1,0 +1,145 @@
+"""Quantile regression by boosted trees on answers that may be missing.
+
+The trees come from ``pyspark.ml``; this module only adds what Spark lacks, the
+pinball loss.  Each round fits one tree to the sign of the residuals, then sets
+the value of every leaf to the wanted quantile of its residuals with one
+aggregation.  The driver sees leaf values (at most 2^depth numbers) and one loss.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scalemetrics.functions.stats import pinball
+from scalemetrics.spec import ScaleSpec
+from scalemetrics.workspace import settle
+
+# The quantiles of the three models of a domain.
+QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+LEAF_ACCURACY = 100_000
+
+
+def features(spec: ScaleSpec) -> Column:
+    """Every item twice: missing below the answer range and missing above it, so that a
+    split can send missing answers to either side."""
+    low = [F.coalesce(F.col(i).cast("double"), F.lit(float(spec.lo - 1))) for i in spec.items]
+    high = [F.coalesce(F.col(i).cast("double"), F.lit(float(spec.hi + 1))) for i in spec.items]
+    return array_to_vector(F.array(*low, *high))
+
+
+@dataclass(frozen=True)
+class BoostSettings:
+    rounds: int = 60
+    depth: int = 5
+    rate: float = 0.3
+    patience: int = 25
+    min_leaf: int = 20
+    max_bins: int = 16  # more than the distinct values of an answer with both fillers
+    cut_every: int = 10  # rounds after which the working table is written out
+    seed: int = 42
+
+
+@dataclass
+class QuantileModel:
+    quantile: float
+    base: float
+    stages: list[tuple[DecisionTreeRegressionModel, list[float]]] = field(default_factory=list)
+    history: list[tuple[int, float, float | None]] = field(default_factory=list)
+
+    def add_prediction(self, df: DataFrame, output: str, features_column: str = "features") -> DataFrame:
+        """Add the predicted raw score; ``features_column`` comes from ``features``."""
+        out = df.withColumn(output, F.lit(self.base))
+        for tree, values in self.stages:
+            out = _step(tree.setFeaturesCol(features_column).transform(out), output, values).drop("leaf", "prediction")
+        return out
+
+
+def _step(df: DataFrame, score: str, values: list[float]) -> DataFrame:
+    table = F.array(*[F.lit(v) for v in values])
+    return df.withColumn(score, F.col(score) + F.get(table, F.col("leaf").cast("int")))
+
+
+def fit_quantile(df: DataFrame, label: str, quantile: float, settings: BoostSettings, held_out: Column | None = None) -> QuantileModel:
+    """Fit one quantile.  ``df`` has ``features`` and ``label``; rows where ``held_out`` is
+    true only decide when to stop."""
+    held = F.lit(False) if held_out is None else held_out
+    work = settle(df.select("features", F.col(label).cast("double").alias("y"), held.alias("held")))
+    base = work.filter("NOT held").agg(F.percentile_approx("y", quantile, LEAF_ACCURACY)).first()[0]
+    model = QuantileModel(quantile, float(base))
+    work = work.withColumn("score", F.lit(model.base)).persist(StorageLevel.MEMORY_AND_DISK)
+    cached, best, best_round = work, None, 0
+
+    def losses(t: DataFrame) -> tuple[float, float | None]:
+        loss = pinball(F.col("y"), F.col("score"), quantile)
+        row = t.agg(F.avg(F.when(~F.col("held"), loss)).alias("fit"), F.avg(F.when(F.col("held"), loss)).alias("held")).first()
+        return row["fit"], row["held"]
+
+    model.history.append((0, *losses(work)))
+    for n in range(1, settings.rounds + 1):
+        sign = F.when(F.col("y") > F.col("score"), F.lit(quantile)).otherwise(F.lit(quantile - 1.0))
+        tree = DecisionTreeRegressor(
+            featuresCol="features", labelCol="gradient", leafCol="leaf", maxDepth=settings.depth, maxBins=settings.max_bins,
+            minInstancesPerNode=settings.min_leaf, seed=settings.seed + n,
+        ).fit(work.filter("NOT held").select("features", sign.alias("gradient")))
+        leafed = tree.transform(work)
+        rows = leafed.filter("NOT held").groupBy("leaf").agg(
+            F.percentile_approx(F.col("y") - F.col("score"), quantile, LEAF_ACCURACY).alias("v")
+        ).collect()  # at most 2^depth rows
+        by_leaf = {int(r["leaf"]): r["v"] for r in rows}
+        values = [settings.rate * float(by_leaf.get(leaf, 0.0)) for leaf in range(max(by_leaf) + 1)]
+        model.stages.append((tree, values))
+        work = _step(leafed, "score", values).select("features", "y", "held", "score")
+        work = settle(work) if n % settings.cut_every == 0 else work
+        work = work.persist(StorageLevel.MEMORY_AND_DISK)
+        fit_loss, held_loss = losses(work)
+        cached.unpersist()
+        cached = work
+        model.history.append((n, fit_loss, held_loss))
+        if held_loss is not None:
+            if best is None or held_loss < best:
+                best, best_round = held_loss, n
+            elif n - best_round >= settings.patience:
+                break
+    cached.unpersist()
+    if best is not None:
+        model.stages = model.stages[:best_round]
+    return model
+
+
+def fit_domains(df: DataFrame, spec: ScaleSpec, settings: BoostSettings, domains: tuple[str, ...] | None = None, held_out: Column | None = None) -> dict[tuple[str, str], QuantileModel]:
+    """Three quantile models per domain on (masked) answers and ``<domain>_score`` targets."""
+    ready = df.withColumn("features", features(spec))
+    return {
+        (d, name): fit_quantile(ready, f"{d}_score", q, settings, held_out)
+        for d in (domains or spec.domains) for name, q in QUANTILES.items()
+    }
+
+
+def predict_domains(df: DataFrame, models: dict[tuple[str, str], QuantileModel], spec: ScaleSpec) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """Add raw predictions of all models; returns the table and the column of each model."""
+    out = df.withColumn("features", features(spec))
+    for (d, name), model in models.items():
+        out = model.add_prediction(out, f"raw_{d}_{name}")
+    clipped = {k: F.greatest(F.lit(float(spec.lo)), F.least(F.lit(float(spec.hi)), F.col(f"raw_{k[0]}_{k[1]}"))) for k in models}
+    return out.drop("features"), clipped
+
+
+def cross_validate(df: DataFrame, fold: str, folds: int, evaluate: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``evaluate(train, test)`` for every fold, as one table with a ``fold`` column.
+
+    Only fold numbers are looped over; each fold is a filter.
+    """
+    parts = [
+        evaluate(df.filter(F.col(fold) != n), df.filter(F.col(fold) == n)).withColumn("fold", F.lit(n)) for n in range(folds)
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

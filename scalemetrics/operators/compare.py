@@ -47,10 +47,10 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str, atol: float
 
 def signature_matches(artifacts: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """Mark each artifact accepted when all its keys equal those of a model."""
-    known = models.select(*keys).distinct().withColumn("__known", F.lit(True))
-    cond = [artifacts[k].eqNullSafe(known[k]) for k in keys]
-    joined = artifacts.join(known, cond, "left").drop(*[known[k] for k in keys])
-    return joined.withColumn("accepted", F.col("__known").isNotNull()).drop("__known")
+    known = models.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct().withColumn("__known", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = artifacts.join(known, same, "left")
+    return joined.withColumn("accepted", F.col("__known").isNotNull()).drop("__known", *[f"__{k}" for k in keys])
 
 
 def overview(variants: DataFrame, sources: dict[str, DataFrame], key: str = "variant") -> DataFrame:
