@@ -63,7 +63,7 @@ class QuantileModel:
 
 def _step(df: DataFrame, score: str, values: list[float]) -> DataFrame:
     table = F.array(*[F.lit(v) for v in values])
-    return df.withColumn(score, F.col(score) + F.get(table, F.col("leaf").cast("int")))
+    return df.withColumn(score, F.col(score) + F.coalesce(F.get(table, F.col("leaf").cast("int")), F.lit(0.0)))
 
 
 def fit_quantile(df: DataFrame, label: str, quantile: float, settings: BoostSettings, held_out: Column | None = None) -> QuantileModel:

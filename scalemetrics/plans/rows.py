@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from scalemetrics.functions.stats import pinball, r6
 from scalemetrics.operators import cleaning, evaluate, predict, requests, scoring
-from scalemetrics.plans.ingest import digits
-from scalemetrics.plans.registry import query
+from scalemetrics.plans.ingest import digits, scratch
+from scalemetrics.plans.registry import ORACLES, query
 from scalemetrics.plans.sqlparts import part, pct, r6 as sr6, sql
 from scalemetrics.plans.tables import SPEC, answers, full_norms, predictions, scored
+from scalemetrics.streaming import score_stream
 
 
 @query(
@@ -193,23 +194,32 @@ def p13(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def p16(spark: SparkSession, sf: str) -> DataFrame:
-    out = score_requests(request_rows(spark, sf), full_norms(spark, sf))
+    out = requests.score(request_rows(spark, sf), SPEC, full_norms(spark, sf))
     return out.select("respondent_id", "domain", F.col("result.raw.q50").alias("raw"), F.col("result.percentile.q50").alias("percentile"))
 
 
-def score_requests(rows: DataFrame, norms: scoring.Norms) -> DataFrame:
-    """Valid requests to one rounded result per domain: one narrow stage, batch or stream."""
-    good = requests.validate(rows, SPEC).filter("valid")
-    keyed = good.withColumn("answers", requests.reverse_map(F.col("answers"), SPEC))
-    wide = requests.dense(keyed, SPEC)
-    raw = F.array(*[
-        F.struct(F.lit(d).alias("domain"), scoring.mean_of(SPEC.domain_items(d)).alias("raw")) for d in SPEC.domains
-    ])
-    long = scoring.long_percentiles(wide.select("respondent_id", F.inline(raw)), {"percentile": "raw"}, norms)
-    return long.select(
-        "respondent_id", "domain",
-        requests.rounded_result({"q50": F.col("raw")}, {"q50": F.col("percentile")}).alias("result"),
-    )
+@query("s6_stream_scoring", ORACLES["p16_rounded_result"])
+def s6(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests arriving as files and scored by a stream until none is left."""
+    base = scratch(spark, sf, "stream")
+    request_rows(spark, sf).write.mode("overwrite").json(f"{base}/requests")
+    requests_in = score_stream.read_requests(spark, f"{base}/requests", max_files=4)
+    score_stream.write_results(
+        requests.score(requests_in, SPEC, full_norms(spark, sf)), f"{base}/results", f"{base}/results-state"
+    ).awaitTermination()
+    out = spark.read.parquet(f"{base}/results")
+    return out.select("respondent_id", "domain", F.col("result.raw.q50").alias("raw"), F.col("result.percentile.q50").alias("percentile"))
+
+
+@query("s6_stream_rejects", sql(
+    "SELECT rid AS respondent_id, unknown_items, bad_values FROM reqv WHERE NOT (unknown_items = '' AND bad_values = '')", "reqv"))
+def s6_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch(spark, sf, "stream-rejects")
+    request_rows(spark, sf).write.mode("overwrite").json(f"{base}/requests")
+    bad = requests.rejected(score_stream.read_requests(spark, f"{base}/requests"), SPEC)
+    score_stream.write_results(bad, f"{base}/rejects", f"{base}/rejects-state").awaitTermination()
+    out = spark.read.parquet(f"{base}/rejects")
+    return out.select("respondent_id", F.array_join("unknown_items", ",").alias("unknown_items"), F.array_join("bad_values", ",").alias("bad_values"))
 
 
 @query(
