@@ -9,7 +9,7 @@ from scalemetrics.functions.stats import r6
 from scalemetrics.operators import cleaning, scoring
 from scalemetrics.plans.registry import query
 from scalemetrics.plans.sqlparts import r6 as sr6, sql
-from scalemetrics.plans.tables import SPEC, answers, clean, norms, responses, scored
+from scalemetrics.plans.tables import SPEC, answers, clean, clean_rows, norms, responses, scored
 from scalemetrics.sources import artifacts, delimited, metric_csv, tables
 from scalemetrics.workspace import shared_dir
 
@@ -51,7 +51,7 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
 @query("s3_write_clean", sql("SELECT count(*) AS written, count(*) AS stored FROM good", "good"))
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, sf, "clean")
-    n = tables.write_counted(clean(spark, sf), path)
+    n = tables.write_counted(clean_rows(spark, sf), path)
     return spark.read.parquet(path).agg(F.lit(n).cast("bigint").alias("written"), F.count(F.lit(1)).alias("stored"))
 
 
@@ -155,12 +155,12 @@ def p2_counted(spark: SparkSession, sf: str) -> DataFrame:
     sql("SELECT rid AS respondent_id, string_agg(CAST(x AS VARCHAR), '' ORDER BY ino) AS answers FROM cl GROUP BY rid", "cl"),
 )
 def p3(spark: SparkSession, sf: str) -> DataFrame:
-    return clean(spark, sf).select("respondent_id", digits().alias("answers"))
+    return clean_rows(spark, sf).select("respondent_id", digits().alias("answers"))
 
 
 @query("p4_domain_score", sql(f"SELECT rid AS respondent_id, domain, {sr6('score')} AS score FROM sc", "sc"))
 def p4(spark: SparkSession, sf: str) -> DataFrame:
-    long = clean(spark, sf).unpivot(["respondent_id"], list(SPEC.scores), "domain", "score")
+    long = clean_rows(spark, sf).unpivot(["respondent_id"], list(SPEC.scores), "domain", "score")
     return long.select("respondent_id", F.substring("domain", 1, 3).alias("domain"), r6(F.col("score")).alias("score"))
 
 

@@ -9,7 +9,7 @@ from scalemetrics.functions.stats import r6
 from scalemetrics.operators import norms as norm_ops, scoring, similarity, strata
 from scalemetrics.plans.registry import query
 from scalemetrics.plans.sqlparts import merged, pct, quota, r6 as sr6, row_hash, sql
-from scalemetrics.plans.tables import SEED, SPEC, clean, full_norms, norms, responses, scored, table
+from scalemetrics.plans.tables import SEED, SPEC, clean, clean_rows, full_norms, norms, responses, scored, table
 
 DOCS = "SELECT doc_id, lang || '/' || source AS s FROM documents"
 
@@ -116,7 +116,7 @@ def a6_sizes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
     """From raw answers to a percentile summary: filter, key, score, norm, percentile."""
-    df = scoring.score_percentiles(clean(spark, sf), full_norms(spark, sf), SPEC)
+    df = scoring.score_percentiles(clean_rows(spark, sf), full_norms(spark, sf), SPEC)
     both = F.array(*[
         F.struct(F.lit(d).alias("domain"), F.col(f"{d}_score").alias("score"), F.col(f"{d}_percentile").alias("pct"))
         for d in SPEC.domains

@@ -59,6 +59,11 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned and scored answers, written once as the table all statistics start from."""
+    return written(spark, f"clean|{sf}", lambda: clean_rows(spark, sf))
+
+
+def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Valid answers of unique origins, reverse-keyed, with domain scores: one narrow stage."""
     df = cleaning.unique_origin(cleaning.valid_answers(answers(spark, sf), SPEC))
     return scoring.domain_scores(cleaning.reverse_key(df, SPEC), SPEC).drop("origin", "origin_count")
