@@ -1,15 +1,21 @@
 """Random draws as pure functions of keys.
 
 A draw depends only on (seed, stream, row id, index): a retried task or another
-partitioning gives the same values.  One MD5 digest yields four 32-bit draws.
+partitioning gives the same values.  As a Column, one MD5 digest yields four
+32-bit draws; inside Arrow batches, a 60-bit row hash is expanded to any number of
+draws with SplitMix64.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DRAWS_PER_DIGEST = 4
+
+# SplitMix64 increment and multipliers (public-domain generator).
+STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SCALE = float(1 << 32)
 
 
@@ -17,9 +23,10 @@ def _hex_to_long(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def row_hash(seed: int | str, key: Column) -> Column:
+def row_hash(seed: int | str | Column, key: Column) -> Column:
     """60-bit integer used to put rows in random order; ties are broken by the key."""
-    return _hex_to_long(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 15))
+    seed_c = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return _hex_to_long(F.substring(F.md5(F.concat(seed_c.cast("string"), F.lit("|"), key.cast("string"))), 1, 15))
 
 
 def digest(seed: int | str | Column, stream: str, key: Column, block: int | Column) -> Column:
@@ -53,14 +60,18 @@ def draw_array(seed: int | str | Column, stream: str, key: Column, n: int) -> Co
     return F.transform(F.slice(words, 1, n), lambda w: (_hex_to_long(w).cast("double") + 0.5) / _SCALE)
 
 
-def race_time(u: Column, weight: Column) -> Column:
-    """Arrival time of an exponential race: the k smallest are k draws without
-    replacement, proportional to weight (the same order as Gumbel top-k)."""
-    return -F.log(u) / weight
-
-
 def integer_between(u: Column, lo: int | Column, hi: int | Column) -> Column:
     """Uniform integer in [lo, hi] from a uniform draw."""
     lo_c = F.lit(lo) if isinstance(lo, int) else lo
     hi_c = F.lit(hi) if isinstance(hi, int) else hi
     return (lo_c + F.floor(u * (hi_c - lo_c + 1))).cast("int")
+
+
+def expand(hashes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Draw number ``index`` (from 1) of each row hash, in [0, 1); the arguments broadcast."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.uint64) + index.astype(np.uint64) * np.uint64(STEP)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)

@@ -1,9 +1,10 @@
 """Missing-answer masks: which items of a row stay answered.
 
-A mask is worked out inside its row from hash draws, so there is no shuffle and a
-retried task draws the same mask.  Two orders of the item numbers per row carry
-everything: a uniform order and a weighted one; each mask kind is a combination
-of slices of them.  The result column ``kept`` holds item numbers in layout order.
+A mask depends only on the row's hash, so there is no shuffle and a retried task
+draws the same mask.  One Arrow function takes the 8-byte hash of each row and
+returns the kept items as 8 bytes of flags, vectorised over the batch: sorting some
+hundred draws per row with array expressions costs about twenty times as much.
+Answers never leave the JVM; they are blanked by comparing flags.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalemetrics.functions.draws import draw_array, integer_between, race_time
+from scalemetrics.functions.draws import expand, row_hash
 from scalemetrics.operators.strata import take_share
 from scalemetrics.spec import ScaleSpec
 
@@ -23,87 +26,10 @@ SHARES = (0.50, 0.10, 0.25, 0.15, 0.0)
 SHARES_IMBALANCED = (0.40, 0.10, 0.20, 0.15, 0.15)
 # Fixed values: (items per domain, fewest, most) of the three balanced buckets.
 BUCKETS = ((2, 10, 20), (4, 21, 35), (4, 36, 50))
-
-
-@dataclass(frozen=True)
-class Draws:
-    """Columns a mask expression may use."""
-
-    count: Column
-    bucket: Column
-    kind: Column
-    domains_hit: Column
-    other_count: Column
-    in_domain: list[Column]
-    uniform_order: Column
-    weighted_order: Column
-    domain_order: dict[str, Column]
-    shuffled_domains: Column
-
-
+# Draws 1..5 of a row decide counts and kinds; then come one per domain for the order of
+# the domains, one per domain for the items inside it, and two per item.
 N_SCALAR = 5
-
-
-def _with_orders(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], seed: int | Column, key: Column) -> tuple[DataFrame, Draws, list[str]]:
-    n_dom = len(spec.domains)
-    weights = F.array(*[F.lit(1.0 / (ranks[i] + 1)) for i in spec.items])
-    numbered = lambda keys: F.transform(keys, lambda k, n: F.struct(k.alias("at"), (n + 1).alias("no")))
-    in_order = lambda keys: F.sort_array(numbered(keys))["no"]
-    out = df.withColumns({
-        "__row": draw_array(seed, "row", key, N_SCALAR + 2 * n_dom),
-        "__uniform": in_order(draw_array(seed, "base", key, spec.n_items)),
-        "__weighted": in_order(
-            F.transform(draw_array(seed, "fill", key, spec.n_items), lambda u, n: race_time(u, F.get(weights, n)))
-        ),
-    })
-    inside = {d: f"__in_{d}" for d in spec.domains}
-    domain_order = in_order(F.slice("__row", N_SCALAR + 1, n_dom))
-    out = out.withColumns({c: F.array_intersect("__uniform", _numbers(spec, d)) for d, c in inside.items()} | {"__domains": domain_order})
-    row = [F.get("__row", F.lit(n)) for n in range(N_SCALAR + 2 * n_dom)]
-    draws = Draws(
-        *row[:N_SCALAR], row[N_SCALAR + n_dom:], F.col("__uniform"), F.col("__weighted"),
-        {d: F.col(c) for d, c in inside.items()}, F.col("__domains"),
-    )
-    return out, draws, ["__row", "__uniform", "__weighted", "__domains", *inside.values()]
-
-
-def _numbers(spec: ScaleSpec, domain: str) -> Column:
-    return F.array(*[F.lit(spec.item_no[i]) for i in spec.domain_items(domain)])
-
-
-def weighted(d: Draws, spec: ScaleSpec, lo: int = 8, hi: int = 40) -> Column:
-    """K items drawn without replacement with weights 1 / (rank + 1)."""
-    return F.slice(d.weighted_order, F.lit(1), integer_between(d.count, lo, min(hi, spec.n_items)))
-
-
-def balanced(d: Draws, spec: ScaleSpec, per_domain: int | Column = 4, lo: int | Column = 20, hi: int | Column = 40) -> Column:
-    """``per_domain`` random items of every domain, then a weighted fill up to K."""
-    n = F.lit(per_domain) if isinstance(per_domain, int) else per_domain
-    base = F.concat(*[F.slice(d.domain_order[dom], F.lit(1), n) for dom in spec.domains])
-    spare = F.greatest(F.lit(0), integer_between(d.count, lo, hi) - n * len(spec.domains))
-    return F.concat(base, F.slice(F.array_except(d.weighted_order, base), F.lit(1), spare))
-
-
-def imbalanced(d: Draws, spec: ScaleSpec, ranks: Mapping[str, int]) -> Column:
-    """Patterns that may leave a domain empty: top of the ranking, dropped domains, loaded domains."""
-    by_rank = F.array(*[F.lit(spec.item_no[i]) for i in sorted(spec.items, key=lambda i: ranks[i])])
-    top = F.slice(by_rank, F.lit(1), integer_between(d.other_count, 5, 25))
-
-    hit = lambda p_one: F.slice(d.shuffled_domains, F.lit(1), F.when(d.domains_hit < p_one, 1).otherwise(2))
-    dropped = hit(0.6)
-    empty = F.array().cast("array<int>")
-    gone = F.concat(*[F.when(F.array_contains(dropped, spec.domain_no[dom]), _numbers(spec, dom)).otherwise(empty) for dom in spec.domains])
-    skewed = F.slice(F.array_except(d.uniform_order, gone), F.lit(1), integer_between(d.other_count, 5, 20))
-
-    heavy = hit(0.4)
-    loaded = F.concat(*[
-        F.slice(
-            d.domain_order[dom], F.lit(1),
-            F.when(F.array_contains(heavy, spec.domain_no[dom]), integer_between(u, 6, 8)).otherwise(integer_between(u, 0, 1)),
-        )
-        for dom, u in zip(spec.domains, d.in_domain)
-    ])
-    return F.when(d.kind < 0.5, top).when(d.kind < 0.8, skewed).otherwise(loaded)
+MAX_ITEMS = 62  # flags of a row fit one long
 
 
 def bucket_shares(short_form: bool, with_imbalanced: bool) -> tuple[float, ...]:
@@ -116,23 +42,6 @@ def bucket_shares(short_form: bool, with_imbalanced: bool) -> tuple[float, ...]:
     return (shares[0] * grow, 0.0, shares[2] * grow, shares[3] * grow, shares[4])
 
 
-def bucketed(
-    d: Draws, spec: ScaleSpec, ranks: Mapping[str, int], short_form: bool = True, with_imbalanced: bool = False
-) -> Column:
-    """Mixture of balanced masks of three lengths, the short form and imbalanced patterns."""
-    shares = bucket_shares(short_form and bool(spec.short_items), with_imbalanced)
-    edges = [sum(shares[: n + 1]) for n in range(len(shares))]
-    # the three balanced buckets are one expression with different parameters
-    by_bucket = lambda n: F.when(d.bucket < edges[0], BUCKETS[0][n]).when(d.bucket < edges[2], BUCKETS[1][n]).otherwise(BUCKETS[2][n])
-    out = balanced(d, spec, by_bucket(0), by_bucket(1), by_bucket(2))
-    if shares[1]:
-        short = F.array(*[F.lit(spec.item_no[i]) for i in spec.short_items])
-        out = F.when((d.bucket >= edges[0]) & (d.bucket < edges[1]), short).otherwise(out)
-    if shares[4]:
-        out = F.when(d.bucket >= edges[3], imbalanced(d, spec, ranks)).otherwise(out)
-    return out
-
-
 @dataclass(frozen=True)
 class MaskPlan:
     """Which mask to draw: bucketed wins over balanced, balanced over weighted."""
@@ -146,25 +55,109 @@ class MaskPlan:
     with_imbalanced: bool = False
     only_imbalanced: bool = False
 
-    def expression(self, d: Draws, spec: ScaleSpec, ranks: Mapping[str, int]) -> Column:
-        if self.only_imbalanced:
-            return imbalanced(d, spec, ranks)
-        if self.focused:
-            return bucketed(d, spec, ranks, self.short_form, self.with_imbalanced)
-        if self.balanced:
-            return balanced(d, spec, self.per_domain, self.lo, self.hi)
-        return weighted(d, spec)
+
+def _place(values: np.ndarray) -> np.ndarray:
+    """0-based place of every entry in the ascending order of its row (last axis)."""
+    return values.argsort(axis=-1, kind="stable").argsort(axis=-1, kind="stable")
+
+
+def _between(u: np.ndarray, lo, hi) -> np.ndarray:
+    return lo + np.floor(u * (np.asarray(hi) - lo + 1)).astype(np.int64)
+
+
+class MaskDraws:
+    """The draws of a batch of rows and the masks made from them (rows x items)."""
+
+    def __init__(self, hashes: np.ndarray, ranks: np.ndarray, n_domains: int):
+        n_items = len(ranks)
+        u = expand(hashes[:, None], np.arange(1, N_SCALAR + 2 * n_domains + 2 * n_items + 1)[None, :])
+        cut = np.cumsum([N_SCALAR, n_domains, n_domains, n_items])
+        scalars, by_domain, self.inside, uniform, fill = np.split(u, cut, axis=1)
+        self.count, self.bucket, self.kind, self.hit, self.other = scalars.T
+        self.ranks, self.n_domains, self.width = ranks, n_domains, n_items // n_domains
+        self.uniform = uniform
+        # an exponential race: the smallest k are k draws without replacement, weight 1 / (rank + 1)
+        self.race = -np.log(fill) * (ranks + 1)
+        self.domain_place = _place(by_domain)
+        self.place_in_domain = _place(uniform.reshape(len(u), n_domains, self.width)).reshape(uniform.shape)
+
+    def _per_item(self, by_domain: np.ndarray) -> np.ndarray:
+        return np.repeat(by_domain, self.width, axis=1)
+
+    def weighted(self, lo: int = 8, hi: int = 40) -> np.ndarray:
+        """K items drawn with weights 1 / (rank + 1)."""
+        return _place(self.race) < _between(self.count, lo, min(hi, len(self.ranks)))[:, None]
+
+    def balanced(self, per_domain, lo, hi) -> np.ndarray:
+        """Some random items of every domain, then a weighted fill up to K."""
+        per_domain = np.broadcast_to(per_domain, self.count.shape)
+        first = self.place_in_domain < per_domain[:, None]
+        spare = np.maximum(0, _between(self.count, lo, hi) - per_domain * self.n_domains)
+        return first | (_place(np.where(first, np.inf, self.race)) < spare[:, None])
+
+    def imbalanced(self) -> np.ndarray:
+        """Patterns that may leave a domain empty: top of the ranking, dropped domains, loaded domains."""
+        top = self.ranks[None, :] <= _between(self.other, 5, 25)[:, None]
+        dropped = self._per_item(self.domain_place < np.where(self.hit < 0.6, 1, 2)[:, None])
+        skewed = ~dropped & (_place(np.where(dropped, np.inf, self.uniform)) < _between(self.other, 5, 20)[:, None])
+        heavy = self.domain_place < np.where(self.hit < 0.4, 1, 2)[:, None]
+        amount = np.where(heavy, _between(self.inside, 6, 8), _between(self.inside, 0, 1))
+        loaded = self.place_in_domain < self._per_item(amount)
+        kind = self.kind[:, None]
+        return np.where(kind < 0.5, top, np.where(kind < 0.8, skewed, loaded))
+
+    def bucketed(self, shares: tuple[float, ...], short: np.ndarray) -> np.ndarray:
+        """Mixture of balanced masks of three lengths, the short form and imbalanced patterns."""
+        edges = [sum(shares[: n + 1]) for n in range(len(shares))]
+        length = np.where(self.bucket < edges[0], 0, np.where(self.bucket < edges[2], 1, 2))
+        settings = np.array(BUCKETS)[length]
+        out = self.balanced(settings[:, 0], settings[:, 1], settings[:, 2])
+        if shares[1]:
+            out[(self.bucket >= edges[0]) & (self.bucket < edges[1])] = short
+        if shares[4]:
+            odd = self.bucket >= edges[3]
+            out[odd] = self.imbalanced()[odd]
+        return out
+
+
+def kept_flags(hashes: Column, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan) -> Column:
+    """Bit n - 1 of the result tells whether item number n stays answered."""
+    if spec.n_items > MAX_ITEMS:
+        raise ValueError(f"masks support up to {MAX_ITEMS} items, the scale has {spec.n_items}")
+    rank_of = np.array([ranks[i] for i in spec.items], dtype=np.int64)
+    short = np.array([i in spec.short_items for i in spec.items])
+    bits = np.left_shift(np.int64(1), np.arange(spec.n_items, dtype=np.int64))
+    n_domains = len(spec.domains)
+    shares = bucket_shares(plan.short_form and bool(spec.short_items), plan.with_imbalanced)
+
+    @F.pandas_udf("bigint")
+    def flags(h: pd.Series) -> pd.Series:
+        d = MaskDraws(h.to_numpy(), rank_of, n_domains)
+        if plan.only_imbalanced:
+            keep = d.imbalanced()
+        elif plan.focused:
+            keep = d.bucketed(shares, short)
+        elif plan.balanced:
+            keep = d.balanced(plan.per_domain, plan.lo, min(plan.hi, len(rank_of)))
+        else:
+            keep = d.weighted()
+        return pd.Series(keep.astype(np.int64) @ bits)
+
+    return flags(hashes)
 
 
 def with_mask(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan, key: str = "respondent_id", seed: int | Column = 42) -> DataFrame:
-    """Add ``kept``: the item numbers that stay answered."""
-    out, draws, drop = _with_orders(df, spec, ranks, seed, F.col(key))
-    return out.withColumn("kept", F.sort_array(plan.expression(draws, spec, ranks))).drop(*drop)
+    """Add ``kept``: flags of the items that stay answered."""
+    return df.withColumn("kept", kept_flags(row_hash(seed, F.col(key)), spec, ranks, plan))
+
+
+def is_kept(spec: ScaleSpec, item: str) -> Column:
+    return F.col("kept").bitwiseAND(F.lit(1 << (spec.item_no[item] - 1))) != 0
 
 
 def apply_mask(df: DataFrame, spec: ScaleSpec) -> DataFrame:
     """Set the items outside ``kept`` missing."""
-    return df.withColumns({i: F.when(F.array_contains("kept", spec.item_no[i]), F.col(i)) for i in spec.items})
+    return df.withColumns({i: F.when(is_kept(spec, i), F.col(i)) for i in spec.items})
 
 
 def multi_pass(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan, passes: int = 3, key: str = "respondent_id", seed: int = 42) -> DataFrame:
@@ -187,6 +180,10 @@ def hold_out_then_mask(
     return with_mask(repeated, spec, ranks, plan, key, F.col("pass") + seed)
 
 
-def kept_names(spec: ScaleSpec, kept: str = "kept") -> Column:
-    names = F.array(*[F.lit(i) for i in spec.items])
-    return F.transform(kept, lambda n: F.get(names, n - 1))
+def kept_names(spec: ScaleSpec) -> Column:
+    """Names of the kept items, comma-separated in layout order."""
+    return F.concat_ws(",", *[F.when(is_kept(spec, i), F.lit(i)) for i in spec.items])
+
+
+def n_kept() -> Column:
+    return F.bit_count("kept")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scalemetrics.operators.cleaning import reverse_key
 from scalemetrics.operators.scoring import Norms, long_percentiles, mean_of
 from scalemetrics.spec import ScaleSpec
 
@@ -48,7 +49,7 @@ def rounded_result(raw: dict[str, Column], percentile: dict[str, Column]) -> Col
 def score(rows: DataFrame, spec: ScaleSpec, norms: Norms) -> DataFrame:
     """Valid requests to one rounded result per domain: one narrow stage, batch or stream."""
     good = validate(rows, spec).filter("valid")
-    wide = dense(good.withColumn("answers", reverse_map(F.col("answers"), spec)), spec)
+    wide = reverse_key(dense(good, spec), spec)
     raw = F.array(*[F.struct(F.lit(d).alias("domain"), mean_of(spec.domain_items(d)).alias("raw")) for d in spec.domains])
     long = long_percentiles(wide.select("respondent_id", F.inline(raw)), {"percentile": "raw"}, norms)
     result = rounded_result({"q50": F.col("raw")}, {"q50": F.col("percentile")})

@@ -9,23 +9,21 @@ from scalemetrics.operators import masks
 from scalemetrics.operators.masks import MaskPlan
 from scalemetrics.plans import itemstats  # noqa: F401  (registers the pool CTE)
 from scalemetrics.plans.registry import query
-from scalemetrics.plans.sqlparts import part, quota, row_hash, sql, uniform
+from scalemetrics.plans.sqlparts import expanded, part, quota, row_hash, sql
 from scalemetrics.plans.tables import SEED, SPEC, item_ranks, scored
 
 
 def draws_sql(passes: int) -> tuple[str, str]:
-    seed = "CAST(42 + pass AS VARCHAR)"
-    u = lambda stream, index: uniform(seed, stream, "rid", index)
-    rows = f"""SELECT rid, pass, {u('row', '0')} AS u_k, {u('row', '1')} AS u_bucket, {u('row', '2')} AS u_kind, {u('row', '3')} AS u_hit,
-      {u('row', '4')} AS u_k2 FROM good CROSS JOIN range(0, {passes}) p(pass)"""
-    cells = f"""SELECT r.*, item, ino, home, rank, in_short,
-      row_number() OVER (PARTITION BY r.rid, r.pass ORDER BY ub, ino) AS upos,
-      row_number() OVER (PARTITION BY r.rid, r.pass, home ORDER BY ub, ino) AS dpos, ub, race, dord, u_in FROM
-      (SELECT rid, pass, pool.item, pool.ino, home, rank, in_short, {u('base', 'pool.ino - 1')} AS ub, -ln({u('fill', 'pool.ino - 1')}) * (rank + 1) AS race
-       FROM good CROSS JOIN range(0, {passes}) p(pass) CROSS JOIN pool JOIN itm USING (item))
-      JOIN (SELECT rid, pass, domain AS home, row_number() OVER (PARTITION BY rid, pass ORDER BY {u('row', 'dno + 4')}, domain) AS dord,
-            {u('row', 'dno + 9')} AS u_in FROM good CROSS JOIN range(0, {passes}) p(pass) CROSS JOIN dom) USING (rid, pass, home)
-      JOIN mrow{passes} r USING (rid, pass)"""
+    """Row and item draws: number 1..5 per row, 6..10 and 11..15 per domain, 16..65 and 66..115 per item."""
+    u = lambda index: expanded("hh", index)
+    rows = f"""SELECT rid, pass, hh, {u('1')} AS u_k, {u('2')} AS u_bucket, {u('3')} AS u_kind, {u('4')} AS u_hit, {u('5')} AS u_k2 FROM
+      (SELECT rid, pass, {row_hash("' || CAST(42 + pass AS VARCHAR) || '", 'rid')} AS hh FROM good CROSS JOIN range(0, {passes}) p(pass))"""
+    cells = f"""SELECT c.*, row_number() OVER (PARTITION BY rid, pass ORDER BY ub, ino) AS upos,
+      row_number() OVER (PARTITION BY rid, pass, home ORDER BY ub, ino) AS dpos, dord, u_in FROM
+      (SELECT r.*, pool.item, pool.ino, home, rank, in_short, {u('15 + pool.ino')} AS ub, -ln({u('65 + pool.ino')}) * (rank + 1) AS race
+       FROM mrow{passes} r CROSS JOIN pool JOIN itm USING (item)) c
+      JOIN (SELECT rid, pass, domain AS home, row_number() OVER (PARTITION BY rid, pass ORDER BY {u('5 + dno')}, dno) AS dord, {u('10 + dno')} AS u_in
+            FROM mrow{passes} CROSS JOIN dom) USING (rid, pass, home)"""
     return rows, cells
 
 
@@ -71,8 +69,7 @@ def mask_sql(rule: str, passes: int = 1, extra: str = "") -> str:
 
 def listed(df: DataFrame, *keys: str) -> DataFrame:
     names = masks.kept_names(SPEC)
-    text = F.when(F.size("kept") > 0, F.array_join(names, ","))
-    return df.select("respondent_id", *keys, text.alias("kept"), F.size("kept").cast("bigint").alias("n_kept"))
+    return df.select("respondent_id", *keys, F.when(F.col("kept") != 0, names).alias("kept"), masks.n_kept().cast("bigint").alias("n_kept"))
 
 
 def masked(spark: SparkSession, sf: str, plan: MaskPlan) -> DataFrame:
@@ -124,7 +121,7 @@ def w18(spark: SparkSession, sf: str) -> DataFrame:
     plans = {"weighted": MaskPlan(balanced=False), "balanced": MaskPlan(), "focused": MaskPlan(focused=True, balanced=True)}
     df = scored(spark, sf).select("respondent_id")
     parts = [
-        masks.with_mask(df, SPEC, item_ranks(spark, sf), p, seed=SEED).select(F.lit(name).alias("plan"), F.size("kept").alias("n"))
+        masks.with_mask(df, SPEC, item_ranks(spark, sf), p, seed=SEED).select(F.lit(name).alias("plan"), masks.n_kept().alias("n"))
         for name, p in plans.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("plan").agg(

@@ -6,6 +6,7 @@ DataFrame operators work on wide ones, so the two sides share no formulation.
 
 from __future__ import annotations
 
+from scalemetrics.functions.draws import MIX1, MIX2, STEP
 from scalemetrics.functions.normal import DENOMINATOR, NUMERATOR, SQRT_2PI, TAIL_FROM
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 
@@ -49,6 +50,22 @@ def uniform(seed: object, stream: str, id_sql: str, index_sql: str) -> str:
     return f"((CAST(CAST('0x' || {word} AS BIGINT) AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE))"
 
 
+def _mod64(x: str) -> str:
+    return f"CAST(({x}) & CAST(18446744073709551615 AS UHUGEINT) AS UBIGINT)"
+
+
+def _u128(x: object) -> str:
+    return f"CAST({x} AS UHUGEINT)"
+
+
+def expanded(hash_sql: str, index_sql: str) -> str:
+    """SplitMix64 expansion of a row hash; unsigned 128-bit products stand for wrap-around."""
+    mix = lambda z, shift, by: f"list_transform([{z}], lambda v: {_mod64(_u128(f'xor(v, v >> {shift})') + ' * ' + _u128(by))})[1]"
+    z1 = _mod64(f"{_u128(hash_sql)} + {_u128(index_sql)} * {_u128(STEP)}")
+    z3 = mix(mix(z1, 30, MIX1), 27, MIX2)
+    return f"list_transform([{z3}], lambda v: CAST(xor(v, v >> 31) >> 11 AS DOUBLE) / 9007199254740992)[1]"
+
+
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     acc = f"CAST({coefficients[0]!r} AS DOUBLE)"
     for c in coefficients[1:]:

@@ -23,22 +23,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _h(key: str) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{key}|"), F.col("o_orderkey").cast("string")))
+def _h(key: Column) -> Column:
+    digest = F.md5(F.concat(key, F.lit("|"), F.col("o_orderkey").cast("string")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def derive_answers(orders: DataFrame) -> DataFrame:
-    base = orders.select(
-        "o_orderkey",
-        F.when(_h("ip") % 10 < 6, F.col("o_orderkey")).otherwise(F.lit(10**12) + F.col("o_custkey")).alias("origin"),
-        (_h("g") % 1000).alias("g"),
-        (_h("bad") % 100 < 3).alias("bad"),
-        *[(_h(d) % 1000).alias(f"dv_{d}") for d in SPEC.domains],
-    )
+    parts = (("domain", SPEC.domains), ("item", SPEC.items))
+    hashed = {f"h_{n}": F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: _h(k) % 1000) for n, keys in parts}
+    base = orders.withColumns(hashed | {
+        "origin": F.when(_h(F.lit("ip")) % 10 < 6, F.col("o_orderkey")).otherwise(F.lit(10**12) + F.col("o_custkey")),
+        "g": _h(F.lit("g")) % 1000, "bad": _h(F.lit("bad")) % 100 < 3,
+    })
 
     def answer(item: str) -> Column:
-        latent = F.floor((5 * F.col(f"dv_{SPEC.domain_of[item]}") + F.col("g") + 4 * (_h(item) % 1000)) / 10)
+        domain = F.get("h_domain", F.lit(SPEC.domain_no[SPEC.domain_of[item]] - 1))
+        latent = F.floor((5 * domain + F.col("g") + 4 * F.get("h_item", F.lit(SPEC.item_no[item] - 1))) / 10)
         value = (1 + F.floor(latent / 200)).cast("int")
         raw = SPEC.lo + SPEC.hi - value if item in SPEC.reversed_items else value
         return (F.when(F.col("bad"), 0).otherwise(raw) if item == "ext1" else raw).alias(item)

@@ -133,7 +133,10 @@ def test_too_few_answers_give_no_statistics(spark):
 
 
 def kept(spark, plan, n=4000, seed=42, parts=4):
-    return masks.with_mask(spark.range(n).withColumnRenamed("id", "respondent_id").repartition(parts), SPEC, RANKS, plan, seed=seed).toPandas()
+    rows = spark.range(n).withColumnRenamed("id", "respondent_id").repartition(parts)
+    out = masks.with_mask(rows, SPEC, RANKS, plan, seed=seed).toPandas()
+    out["kept"] = out["kept"].map(lambda bits: [n for n in range(1, 51) if bits >> (n - 1) & 1])
+    return out
 
 
 def per_domain(numbers):
@@ -144,7 +147,7 @@ def test_weighted_mask_prefers_better_ranks(spark):
     out = kept(spark, MaskPlan(balanced=False))
     sizes = out["kept"].map(len)
     assert sizes.min() == 8 and sizes.max() == 40
-    freq = np.bincount(np.concatenate(out["kept"].to_numpy()), minlength=51)[1:]
+    freq = np.bincount(np.concatenate(out["kept"].tolist()), minlength=51)[1:]
     rank = pd.Series(np.arange(50)).corr(pd.Series(freq).rank(), method="pearson")
     assert rank < -0.9
 
