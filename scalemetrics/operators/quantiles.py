@@ -92,7 +92,7 @@ def rank_cuts(df: DataFrame, keys: list[str], order: Column, tie: str, ranges: D
     ranked = hashed.join(located.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi").withColumn(
         "__rn", F.row_number().over(inside)
     )
-    return settle(
+    return (
         located.join(ranked, [*keys, "__b"]).filter("__before + __rn = quota")
         .select(*keys, "cut", F.col("__h").alias("cut_hash"), F.col("__id").alias("cut_id"))
     )

@@ -105,8 +105,10 @@ def share_cuts(df: DataFrame, stratum: str, key: str, fraction: float, seed: int
     h = row_hash(seed, F.col(key))
     ranges = settle(hash_ranges(df.select(stratum, key), [stratum], h))
     counts = ranges.groupBy(stratum).agg(F.sum("__c").alias("count"))
-    remap = rare_remap(counts, stratum, "__m") if merge else counts.select(stratum, F.col(stratum).alias("__m"))
-    remap = settle(remap)
+    if not merge:
+        quotas = _largest_remainder(counts, stratum, fraction).withColumn("cut", F.lit(1))
+        return settle(rank_cuts(df.select(stratum, key), [stratum], h, key, ranges, quotas).drop("cut"))
+    remap = settle(rare_remap(counts, stratum, "__m"))
     merged = ranges.join(remap, stratum).groupBy("__m", "__b").agg(F.sum("__c").alias("__c"))
     quotas = _largest_remainder(merged.groupBy("__m").agg(F.sum("__c").alias("count")), "__m", fraction)
     rows = df.select(stratum, key).join(remap, stratum)
@@ -180,7 +182,7 @@ def random_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     ranges = settle(hash_ranges(base.select("__one", key), ["__one"], h))
     total = ranges.groupBy("__one").agg(F.sum("__c").alias("count"))
     quotas = total.select("__one", F.lit(1).alias("cut"), F.least(F.lit(n), F.col("count")).alias("quota"))
-    cuts = rank_cuts(base, ["__one"], h, key, ranges, quotas)
+    cuts = settle(rank_cuts(base, ["__one"], h, key, ranges, quotas))
     at = F.struct(F.col("__h").alias("cut_hash"), F.col(key).alias("cut_id"))
     return (
         base.withColumn("__h", h).join(cuts, "__one").filter(at <= F.struct("cut_hash", "cut_id"))

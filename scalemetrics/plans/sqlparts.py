@@ -10,6 +10,11 @@ from scalemetrics.functions.draws import MIX1, MIX2, STEP
 from scalemetrics.functions.normal import DENOMINATOR, NUMERATOR, SQRT_2PI, TAIL_FROM
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 
+# Half-width of the averaging intervals.  Scores move in tenths and means of n items in 1/n,
+# so no interval end can coincide with a target: at 0.5 some did, and whether they counted as
+# covered depended on the last bit of the norms.
+SPREAD = 0.53
+
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -227,11 +232,11 @@ part(
 
 
 # Two scorers by averaging, both with 20 items: the short form and the first four items of
-# every domain.  The interval ends are the means of the halves, moved out by 0.5.
+# every domain.  The interval ends are the means of the halves, moved out by SPREAD.
 part(
     "pred0",
-    """SELECT rid, domain, method, avg(x) AS raw_pred, avg(x) FILTER (WHERE p <= 2) - 0.5 AS raw_lower,
-    avg(x) FILTER (WHERE p > 2) + 0.5 AS raw_upper FROM (
+    f"""SELECT rid, domain, method, avg(x) AS raw_pred, avg(x) FILTER (WHERE p <= 2) - {SPREAD}::DOUBLE AS raw_lower,
+    avg(x) FILTER (WHERE p > 2) + {SPREAD}::DOUBLE AS raw_upper FROM (
       SELECT rid, domain, x, 'short_form' AS method, spos AS p FROM cl WHERE in_short
       UNION ALL SELECT rid, domain, x, 'first_n', num FROM cl WHERE num <= 4) GROUP BY ALL""",
     "cl",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scalemetrics.functions.draws import draw_array, integer_between, uniform
 from scalemetrics.operators import cleaning, items, norms as norm_ops, predict, scoring, selection, strata, sweep
 from scalemetrics.operators.sessions import PoolItem
+from scalemetrics.plans.sqlparts import SPREAD
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 from scalemetrics.workspace import written
 
@@ -118,7 +119,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return written(
         spark,
         f"predictions|{sf}",
-        lambda: predict.averaging_predictions(scored(spark, sf), SPEC, SELECTIONS, full_norms(spark, sf)),
+        lambda: predict.averaging_predictions(scored(spark, sf), SPEC, SELECTIONS, full_norms(spark, sf), SPREAD),
         "method",
     )
 
