@@ -17,19 +17,20 @@ def ks_two_sample(df: DataFrame, keys: list[str], value: str, first: Column, sec
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p per key.
 
     Rows collapse to one count per distinct value before anything is ordered.
-    The running count is taken inside equal slices of the value range and the
-    slice totals are added on top, so no task orders a whole key.
+    The running count is taken inside slices holding about equally many distinct
+    values and the slice totals are added on top, so no task orders a whole key.
     """
     counts = (
         df.select(*keys, F.col(value).cast("double").alias("v"), first.cast("int").alias("a"), second.cast("int").alias("b"))
         .filter(F.col("v").isNotNull())
         .groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
+    cuts = F.array(*[F.lit(n / SLICES) for n in range(1, SLICES)])
     span = counts.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("n1"), F.sum("b").alias("n2")
+        F.percentile_approx("v", cuts, 10 * SLICES).alias("cuts"), F.sum("a").alias("n1"), F.sum("b").alias("n2")
     )
-    unit = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    sliced = counts.join(span, keys).withColumn("slice", F.least(F.lit(SLICES - 1), F.floor(unit * SLICES).cast("int")))
+    slice_no = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("v")))
+    sliced = counts.join(span, keys).withColumn("slice", slice_no).drop("cuts")
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy(*keys, "slice").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(
         *keys, "slice", F.coalesce(F.sum("a").over(earlier), F.lit(0)).alias("a0"),

@@ -93,3 +93,13 @@ def test_exact_quantiles_match_numpy_on_skewed_data(spark):
     for p, v in out.items():
         assert v == pytest.approx(np.quantile(x, p))
     assert len(out) == 5
+
+
+def test_exact_quantiles_of_a_large_group_use_the_bracket(spark, monkeypatch):
+    from scalemetrics.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 1000)
+    x = np.concatenate([np.random.default_rng(6).lognormal(0, 3, 80_000), np.full(40_000, 2.5)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    out = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, [], "x", [0.05, 0.5, 0.77, 0.999]).collect()}
+    assert {p: pytest.approx(np.quantile(x, p)) for p in out} == out and len(out) == 4

@@ -321,7 +321,7 @@ def test_next_item_follows_coverage_then_strength(spark):
     start = [best["ext"]]
     assert sessions.next_ranked(state(spark, start), p, SPEC).first()["item"] == best["agr"]
     full = list(SPEC.domain_items("agr")) + [i for d in ("ext", "csn", "est", "opn") for i in SPEC.domain_items(d)]
-    assert sessions.next_ranked(state(spark, full), p, SPEC).first()["item"] is None
+    assert sessions.next_ranked(state(spark, full), p, SPEC).first() is None
     # an exhausted domain is passed over
     most = [i for i in full if SPEC.domain_of[i] != "opn"]
     assert sessions.next_ranked(state(spark, most), p, SPEC).first()["item"] == best["opn"]
