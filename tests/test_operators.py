@@ -358,6 +358,12 @@ def test_stop_rules(spark):
         sessions.sem(F.lit(3), 0.0, 0.7)
 
 
+def test_calibration_only_for_the_fitted_settings():
+    assert sessions.calibration_applies(Rules(), "ranked") and not sessions.calibration_applies(Rules(), "weighted")
+    assert not sessions.calibration_applies(Rules(min_items=5), "ranked")
+    assert not sessions.calibration_applies(Rules(use_sem=False, use_ci=True), "balanced")
+
+
 def test_repeated_answers_keep_the_first(spark):
     log = spark.createDataFrame([(1, 1, "ext1", 2), (1, 2, "ext1", 5), (1, 3, "agr1", 4)], "session long, pos int, item string, value int")
     assert {(r["item"], r["value"]) for r in sessions.first_answers(log).collect()} == {("ext1", 2), ("agr1", 4)}
