@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.operators import compare, evaluate, integrity, selection
-from scalemetrics.plans import itemstats, rows  # noqa: F401
+from scalemetrics.operators import compare, evaluate, integrity
+from scalemetrics.plans import itemstats, rows  # noqa: F401  (register the pool and calibration CTEs)
 from scalemetrics.plans.evaluation import metrics
 from scalemetrics.plans.registry import query
-from scalemetrics.plans.sqlparts import part, r6 as sr6, sql, values
+from scalemetrics.plans.sqlparts import part, sql
 from scalemetrics.plans.tables import (
-    SPEC, clean, item_pool, norms, predictions, r_bars, responses, scored, selected, table,
+    SPEC, clean, item_pool, norms, predictions, r_bars, responses, selected, table,
 )
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalemetrics.functions.stats import r6
-from scalemetrics.operators import bootstrap, evaluate, integrity, norms as norm_ops, report, selection, sessions, similarity, sweep
-from scalemetrics.plans import adaptive, checks, itemstats, resampling, rows  # noqa: F401
+from scalemetrics.operators import bootstrap, evaluate, report, selection, sessions, similarity, sweep
+from scalemetrics.plans import adaptive, checks, resampling
 from scalemetrics.plans.evaluation import metric_sql, metrics
-from scalemetrics.plans.itemstats import METRICS, rounded, sweep_metrics
+from scalemetrics.plans.itemstats import rounded, sweep_metrics
 from scalemetrics.plans.population import KS_SQL
 from scalemetrics.plans.registry import query
 from scalemetrics.plans.sqlparts import r6 as sr6, sql
