@@ -37,6 +37,22 @@ def arrow_of_texts(df: DataFrame) -> DataFrame:
     return df
 
 
-def text_bytes(text: str = "text") -> Column:
+def text_bytes(text: str | Column = "text") -> Column:
     """UTF-8 bytes of a text column, empty for null."""
-    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
+
+
+def draw(seed: str, *cols: Column) -> Column:
+    """Reproducible 52-bit integer of (seed, values); nulls differ from every text."""
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 13), 16, 10).cast("long")
+
+
+def source_key(source: Column) -> Column:
+    """A source as a text that is never null, so that joins and windows share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
+
+
+def range_bits(rows: int, per_range: int, most: int) -> int:
+    """Bits of a range number so that a range holds about ``per_range`` of ``rows`` evenly spread rows."""
+    return max(4, min(most, (max(rows, 1) // per_range).bit_length()))
