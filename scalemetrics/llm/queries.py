@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from scalemetrics.llm import token_counts  # noqa: F401
+from scalemetrics.llm import minhash, mixing, packing, quality_rules, sharding, token_counts  # noqa: F401
 from scalemetrics.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
