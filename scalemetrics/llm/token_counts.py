@@ -38,32 +38,23 @@ def chunks(text: bytes) -> list[bytes]:
     return [first, *[b" " + r for r in rest]]
 
 
-def frequent_chunks(docs: DataFrame, tokenizer_json: str, size: int, sample_docs: int, text: str = "text") -> dict[bytes, int]:
-    """Numbers of tokens of the most frequent chunks of a bounded number of documents.
+def frequent_chunks(docs: DataFrame, tokenizer_json: str, size: int, sample_docs: int, sample_chars: int, text: str = "text") -> dict[bytes, int]:
+    """Numbers of tokens of the most frequent chunks in the beginnings of a bounded number of documents.
 
-    The table only saves time; counts do not depend on it. Its size is bounded by ``size`` chunks of at
-    most 64 bytes.
+    The table only saves time; no count depends on it. At most ``sample_docs`` * ``sample_chars`` characters come to
+    the driver, and the table holds at most ``size`` chunks of at most 64 bytes.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(chunks(t))
-        top = [(c, n) for c, n in seen.most_common(size) if len(c) <= 64]
-        yield pa.RecordBatch.from_pydict(
-            {"chunk": pa.array([c for c, _ in top], pa.binary()), "n": pa.array([n for _, n in top], pa.int64())}
-        )
-
-    sample = arrow_of_texts(docs).select(text_bytes(text).alias("t")).limit(sample_docs)
-    rows = sample.mapInArrow(count, "chunk binary, n long").collect()  # a limited table is one partition: at most size rows
+    begin = F.substring(F.col(text), 1, sample_chars)
+    seen: Counter[bytes] = Counter()
+    for row in docs.select(text_bytes(begin).alias("t")).take(sample_docs):
+        seen.update(chunks(bytes(row.t)))
     encoder = ChunkEncoder(tokenizer_json, cased=True)
-    return {bytes(r.chunk): len(encoder.chunk(bytes(r.chunk))) if not UNUSUAL.search(r.chunk) else len(encoder.whole(bytes(r.chunk))) for r in rows}
+    return {c: len(encoder.whole(c) if UNUSUAL.search(c) else encoder.chunk(c)) for c, _ in seen.most_common(size) if len(c) <= 64}
 
 
 def count_tokens(
     docs: DataFrame, tokenizer_json: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text",
-    frequent: int = 32_768, sample_docs: int = 2_048, memo: int = 300_000,
+    frequent: int = 32_768, sample_docs: int = 2_048, sample_chars: int = 4_096, memo: int = 300_000,
 ) -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -72,7 +63,7 @@ def count_tokens(
     bounded by ``frequent`` + ``memo`` chunks of at most 64 bytes and one batch of texts.
     """
     spark = docs.sparkSession
-    first = frequent_chunks(docs, tokenizer_json, frequent, sample_docs, text)
+    first = frequent_chunks(docs, tokenizer_json, frequent, sample_docs, sample_chars, text)
     # the broadcast value lives as long as the Python worker: its memo serves all tasks of the worker
     shared = spark.sparkContext.broadcast({"json": tokenizer_json, "keys": list(first), "lengths": bytes(min(n, 255) for n in first.values())})
 
