@@ -73,12 +73,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
     With N(g) open sequences of gap g > 0, moving one from gap g to g - s changes the sum of squares by
     2 * (N(g - s) - N(g)) + 2, closing it (g = s) by 1 - 2 * N(g), and a new sequence adds 2 * N(capacity - s) + 1.
-    Ties prefer an open sequence, then the smallest gap.
+    Ties prefer an open sequence, then the smallest gap. A new sequence is a choice only while the tokens left to
+    place exceed the room of the open ones, that is, while one must be opened anyway, or where no gap is large enough.
     """
     count = np.zeros(capacity + 1, np.int64)
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    opened = 0
+    opened, left, room = 0, int(lengths.sum()), 0
     for at in np.argsort(-lengths, kind="stable"):
         s = int(lengths[at])
         best, gap = (2 * int(count[capacity - s]) + 1 if s < capacity else 0), capacity
@@ -88,7 +89,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[0] = 1 - 2 * open_now[0]
             change[open_now == 0] = np.iinfo(np.int64).max
             k = int(change.argmin())
-            if change[k] <= best:
+            if change[k] <= best or left <= room:
                 gap = s + k
         if gap == capacity:
             number, opened = opened, opened + 1
@@ -96,6 +97,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             number = waiting[gap].pop()
             count[gap] -= 1
         bins[at], offsets[at] = number, capacity - gap
+        left -= s
+        room += (capacity if gap == capacity else 0) - s
         if gap > s:
             count[gap - s] += 1
             waiting[gap - s].append(number)
