@@ -17,7 +17,7 @@ from scalemetrics.llm.common import draw, range_bits, source_key, table
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
 
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 512
 DRAW_BITS = 52
 
 
