@@ -186,11 +186,12 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
     Whole texts are read; null and empty texts are one chunk of padding. Existing columns of these names are
     replaced; repeated rows are scored each. Memory follows the longest text of a batch.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net.parameters())
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trained = Network(*shared.value)
         for batch in batches:
-            yield pa.array(probabilities(shared.value, batch.to_pylist()), pa.float64()) if len(batch) else pa.array([], pa.float64())
+            yield pa.array(probabilities(trained, batch.to_pylist()), pa.float64()) if len(batch) else pa.array([], pa.float64())
 
     scored = arrow_of_texts(docs).withColumn("score", F.arrow_udf(predict, "double")(text_bytes()))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
