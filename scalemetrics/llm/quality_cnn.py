@@ -24,7 +24,7 @@ WIDTH, DIMS, FILTERS = GROUP * GROUPS, 4, 16
 #: Distances of the repetition channels; each channel counts, in a chunk, the bytes equal to those so far before.
 LAGS = tuple(range(3, 25))
 TRAIN_PER_LABEL = 1_000
-EPOCHS, BATCH, RATE = 6, 32, 0.006
+STEPS, BATCH, RATE = 480, 32, 0.006
 THRESHOLD = 0.3
 GROUPS_AT_ONCE = 1 << 17
 
@@ -135,25 +135,24 @@ def gradients(net: Network, texts: list[bytes], label: np.ndarray, weight: np.nd
     return [d_embedding, (x.T @ share).reshape(net.kernel.shape), repeats.T @ share, g.sum(axis=0), m.T @ r, np.array([r.sum()], np.float32)]
 
 
-def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Adam over shuffled batches of whole texts."""
+def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
+    """Adam over shuffled batches of whole texts; few texts are seen more often."""
     net, rng = Network.start(seed), np.random.default_rng(seed)
     first, second = [[np.zeros_like(p) for p in net.parameters()] for _ in range(2)]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(texts))
-        for a in range(0, len(texts), BATCH):
-            pick = order[a : a + BATCH]
-            step += 1
-            rate = RATE * (1 - 0.9 * epoch / max(epochs - 1, 1))
-            for p, g, m, v in zip(net.parameters(), gradients(net, [texts[i] for i in pick], label[pick], weight[pick]), first, second):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    batches: list[np.ndarray] = []
+    for step in range(1, steps + 1):
+        if not batches:
+            batches = np.array_split(rng.permutation(len(texts)), -(-len(texts) // BATCH))
+        pick = batches.pop()
+        rate = RATE * (1 - 0.9 * step / steps)
+        for p, g, m, v in zip(net.parameters(), gradients(net, [texts[i] for i in pick], label[pick], weight[pick]), first, second):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, epochs: int = EPOCHS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, steps: int = STEPS) -> Network:
     """Network from at most ``per_label`` labelled texts of each label, never from a held-out one.
 
     Both labels are drawn alike and weighted back to their shares, so scores are probabilities. Without labelled
@@ -172,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
         return Network.start()
     total = sum(shares.values())
     weight = np.array([shares[k] / total * len(label) / max((label == k).sum(), 1) for k in label.astype(int)], np.float32)
-    return fit(texts, label, weight, epochs)
+    return fit(texts, label, weight, steps)
 
 
 def held_out(doc_id: Column) -> Column:
