@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from scalemetrics.llm import minhash, mixing, packing, quality_cnn, quality_rules, rotation_codes, sharding, token_counts, toxicity  # noqa: F401
+from scalemetrics.llm import chat_repair, minhash, mixing, packing, quality_cnn, quality_rules, rotation_codes, sharding, token_counts, toxicity  # noqa: F401
 from scalemetrics.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
