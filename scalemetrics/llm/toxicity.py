@@ -180,12 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, fold
     return fit_chain(bags.telling(3, 0.2), np.column_stack([*kinds, toxic]).reshape(-1, 3), drawn % folds)
 
 
-def score(docs: DataFrame, chain: Sequence[Linear], names: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Add p_<category> for each category and ``toxic`` (last probability >= threshold) to the documents.
-
-    Whole texts are read. Null and blank texts score by their lack of words and are not toxic unless the bias says so. Existing columns
-    of these names are replaced; repeated rows are scored each.
-    """
+def with_probabilities(docs: DataFrame, chain: Sequence[Linear], names: Sequence[str]) -> DataFrame:
+    """Add a struct ``__p`` of p_<category> for each category to the documents."""
     used = np.flatnonzero(np.any([m.words != 0 for m in chain], axis=0))
     weights = np.array([m.words[used] for m in chain])
     dense = [(m.earlier, m.bias) for m in chain]
@@ -216,15 +212,24 @@ def score(docs: DataFrame, chain: Sequence[Linear], names: Sequence[str], thresh
             yield pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(len(dense))], names=columns)
 
     predicted = F.arrow_udf(predict, ", ".join(f"{c} double" for c in columns))
-    scored = arrow_of_texts(docs).withColumn("__p", predicted(text_bytes()))
+    return arrow_of_texts(docs).withColumn("__p", predicted(text_bytes()))
+
+
+def score(docs: DataFrame, chain: Sequence[Linear], names: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
+    """Add p_<category> for each category and ``toxic`` (last probability >= threshold) to the documents.
+
+    Whole texts are read. Null and blank texts have no words, so the bias alone decides. Existing columns of these
+    names are replaced; repeated rows are scored each.
+    """
+    columns = [f"p_{n}" for n in names]
     added = {c: F.col(f"__p.{c}") for c in columns} | {"toxic": F.col(f"__p.{columns[-1]}") >= threshold}
-    return scored.withColumns(added).drop("__p")
+    return with_probabilities(docs, chain, names).withColumns(added).drop("__p")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the chain does not call toxic, with their own columns."""
-    scored = score(docs.withColumn("__own", F.struct(*docs.columns)), train(docs, labels), CATEGORIES)
-    return scored.filter(~F.col("toxic")).select("__own.*")
+    scored = with_probabilities(docs, train(docs, labels), CATEGORIES)
+    return scored.filter(F.col(f"__p.p_{CATEGORIES[-1]}") < threshold).drop("__p")
 
 
 @query("op4_toxicity")
