@@ -165,6 +165,13 @@ def output_check(predicted: DataFrame, model: str = "model", value: str = "value
     return stats.withColumn("issues", issues).withColumn("passed", F.size("issues") == 0)
 
 
+def require_sound(checked: DataFrame, model: str = "model") -> None:
+    """Fail when any model of an ``output_check`` table (one row per model) collapsed or left the range."""
+    bad = checked.filter(~F.coalesce("passed", F.lit(False))).select(model, F.array_join("issues", ", ").alias("issues")).collect()
+    if bad:
+        raise ValueError("unsound models: " + "; ".join(f"{r[model]} ({r['issues'] or 'no predictions'})" for r in sorted(bad)))
+
+
 def ordering_check(means: DataFrame) -> DataFrame:
     """Per domain: are the mean predictions of the three quantiles strictly ordered?"""
     return means.withColumn("ordered", (F.col("q05") < F.col("q50")) & (F.col("q50") < F.col("q95")))

@@ -49,8 +49,8 @@ class MaskPlan:
     focused: bool = False
     balanced: bool = True
     per_domain: int = 4
-    lo: int = 20
-    hi: int = 40
+    lo: int | None = None  # 20, or 8 for a weighted mask
+    hi: int | None = None  # 40
     short_form: bool = True
     with_imbalanced: bool = False
     only_imbalanced: bool = False
@@ -130,6 +130,9 @@ def kept_flags(hashes: Column, spec: ScaleSpec, ranks: Mapping[str, int], plan:
     n_domains = len(spec.domains)
     shares = bucket_shares(plan.short_form and bool(spec.short_items), plan.with_imbalanced)
 
+    lo = plan.lo if plan.lo is not None else 20 if plan.balanced else 8
+    hi = plan.hi if plan.hi is not None else 40
+
     @F.pandas_udf("bigint")
     def flags(h: pd.Series) -> pd.Series:
         d = MaskDraws(h.to_numpy(), rank_of, n_domains)
@@ -138,9 +141,9 @@ def kept_flags(hashes: Column, spec: ScaleSpec, ranks: Mapping[str, int], plan:
         elif plan.focused:
             keep = d.bucketed(shares, short)
         elif plan.balanced:
-            keep = d.balanced(plan.per_domain, plan.lo, min(plan.hi, len(rank_of)))
+            keep = d.balanced(plan.per_domain, lo, min(hi, len(rank_of)))
         else:
-            keep = d.weighted()
+            keep = d.weighted(lo, hi)
         return pd.Series(keep.astype(np.int64) @ bits)
 
     return flags(hashes)

@@ -77,10 +77,12 @@ def model_predictions(df: DataFrame, spec: ScaleSpec, predicted: Mapping[tuple[s
 def apply_calibration(predictions: DataFrame, calibration: DataFrame, regime: str) -> DataFrame:
     """Stretch intervals with the fitted factors of one regime.
 
-    ``calibration`` has one row per regime and domain; its values become a CASE.
+    ``calibration`` has one row per regime and domain; its values become a CASE. A
+    prediction of a domain without a factor fails the job.
     """
     rows = calibration.filter(F.col("regime") == regime).select("domain", "scale_factor").collect()
-    scale = F.lit(1.0)
+    scale = F.raise_error(F.concat(F.lit(f"no {regime} calibration factor for domain "), F.col("domain"))).cast("double")
     for r in rows:
-        scale = F.when(F.col("domain") == r["domain"], F.lit(r["scale_factor"])).otherwise(scale)
+        if r["scale_factor"] is not None:
+            scale = F.when(F.col("domain") == r["domain"], F.lit(r["scale_factor"])).otherwise(scale)
     return calibrate(predictions, scale)

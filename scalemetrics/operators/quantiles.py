@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scalemetrics.workspace import settle
 
 ACCURACY = 20_000  # percentile_approx is off by at most 1 / ACCURACY of the rows
-SMALL_GROUP = 1_000_000  # groups up to this size are ordered as they are
+SLACKS = (2.0 / ACCURACY, 0.01, 1.0)  # half widths of a bracket; the narrowest that spans two ranks beyond the error is used
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float]) -> DataFrame:
@@ -23,23 +23,27 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[flo
     An approximate quantile on either side brackets each wanted one.  Rows below
     the bracket collapse to one count, rows above it are dropped, and the distinct
     values inside it (a ten-thousandth of the rows, whatever the distribution) are
-    ordered.
+    ordered. NaN counts as missing.
     """
-    data = df.select(*keys, F.col(column).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    data = df.select(*keys, F.nanvl(F.col(column).cast("double"), F.lit(None)).alias("__x")).filter(F.col("__x").isNotNull())
     if not keys:
         return exact_quantiles(data.withColumn("__all", F.lit(1)), ["__all"], "__x", probs).drop("__all")
-    slack = 2.0 / ACCURACY
-    ends = [F.lit(min(1.0, max(0.0, p + s))) for p in probs for s in (-slack, slack)]
+    ends = [F.lit(min(1.0, max(0.0, p + s))) for slack in SLACKS for p in probs for s in (-slack, slack)]
     spread = settle(data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", F.array(*ends), ACCURACY).alias("__e")
     ))
-    small, inf = F.col("__n") <= SMALL_GROUP, F.lit(float("inf"))
+
+    def end(n: int) -> Column:
+        widest = F.col("__e")[2 * len(probs) * (len(SLACKS) - 1) + n]
+        for level in reversed(range(len(SLACKS) - 1)):
+            wide_enough = F.col("__n") * (SLACKS[level] - 1.0 / ACCURACY) >= 2
+            widest = F.when(wide_enough, F.col("__e")[2 * len(probs) * level + n]).otherwise(widest)
+        return widest
 
     def bracket(n: int, p: float) -> Column:
         position = F.lit(p) * (F.col("__n") - 1)
         return F.struct(
-            F.lit(p).alias("prob"), F.when(small, -inf).otherwise(F.col("__e")[2 * n]).alias("__lo"),
-            F.when(small, inf).otherwise(F.col("__e")[2 * n + 1]).alias("__hi"),
+            F.lit(p).alias("prob"), end(2 * n).alias("__lo"), end(2 * n + 1).alias("__hi"),
             F.floor(position).cast("bigint").alias("__r0"), F.ceil(position).cast("bigint").alias("__r1"),
             (position - F.floor(position)).alias("__frac"),
         )

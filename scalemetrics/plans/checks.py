@@ -19,26 +19,32 @@ def hash_sql(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
+def fields_sql(*columns: str) -> str:
+    """Fields with their lengths, a missing one marked apart."""
+    one = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"concat_ws('|', {', '.join(map(one, columns))})"
+
+
 def fp_sql(text: str, source: str, key: str | None = None) -> str:
     k = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
     return f"SELECT {k}count(*) AS n, CAST(sum(CAST(hh AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(hh) AS hash_xor FROM (SELECT {k}{hash_sql(text)} AS hh FROM {source}) {group}"
 
 
-@query("i1_table_fingerprint", fp_sql("concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)", "orders", "o_orderstatus"))
+@query("i1_table_fingerprint", fp_sql(fields_sql("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "orders", "o_orderstatus"))
 def i1(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.fingerprint(
         table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_orderstatus"]
     )
 
 
-@query("i1_document_fingerprint", fp_sql("concat_ws('|', doc_id, text, lang)", "documents", "lang"))
+@query("i1_document_fingerprint", fp_sql(fields_sql("doc_id", "text", "lang"), "documents", "lang"))
 def i1_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts enter the row hash."""
     return integrity.fingerprint(table(spark, sf, "documents"), ["doc_id", "text", "lang"], ["lang"])
 
 
-part("fps", fp_sql("concat_ws('|', rid, stratum, split)", "sp", "split"), "sp")
+part("fps", fp_sql(fields_sql("rid", "stratum", "split"), "sp", "split"), "sp")
 part("tok", "SELECT split AS artifact, concat_ws(':', n, hash_sum, hash_xor) AS token FROM fps", "fps")
 
 

@@ -39,6 +39,21 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("respondent_id", digits().alias("answers"))
 
 
+@query(
+    "s1_read_reordered",
+    sql(
+        "SELECT rid AS respondent_id, string_agg(CAST(val AS VARCHAR), '' ORDER BY ino) AS answers FROM raw GROUP BY rid",
+        "raw",
+    ),
+)
+def s1_reordered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from a file with its columns in reverse order."""
+    path = scratch(spark, sf, "answers-reversed-tsv")
+    raw = answers(spark, sf).select("origin_count", *[F.col(i).alias(i.upper()) for i in reversed(SPEC.items)], "respondent_id")
+    raw.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    return delimited.read_answers(spark, path, SPEC, id_column="respondent_id").select("respondent_id", digits().alias("answers"))
+
+
 @query(
     "s2_require_columns",
     "SELECT count(*) AS n, 50 AS item_columns FROM orders",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,7 +203,7 @@ def p16(spark: SparkSession, sf: str) -> DataFrame:
 @query("s6_stream_scoring", ORACLES["p16_rounded_result"])
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     """The same requests arriving as files and scored by a stream until none is left."""
-    base = scratch(spark, sf, "stream")
+    base = scratch(spark, sf, f"stream-{uuid.uuid4().hex}")  # a stream of its own each time
     request_rows(spark, sf).write.mode("overwrite").json(f"{base}/requests")
     requests_in = score_stream.read_requests(spark, f"{base}/requests", max_files=4)
     score_stream.write_results(
@@ -214,7 +216,7 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
 @query("s6_stream_rejects", sql(
     "SELECT rid AS respondent_id, unknown_items, bad_values FROM reqv WHERE NOT (unknown_items = '' AND bad_values = '')", "reqv"))
 def s6_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    base = scratch(spark, sf, "stream-rejects")
+    base = scratch(spark, sf, f"stream-rejects-{uuid.uuid4().hex}")
     request_rows(spark, sf).write.mode("overwrite").json(f"{base}/requests")
     bad = requests.rejected(score_stream.read_requests(spark, f"{base}/requests"), SPEC)
     score_stream.write_results(bad, f"{base}/rejects", f"{base}/rejects-state").awaitTermination()

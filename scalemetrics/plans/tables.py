@@ -7,7 +7,7 @@ Each derived table is written once per application in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from scalemetrics.functions.draws import draw_array, integer_between, uniform
@@ -156,9 +156,17 @@ def sweep_cells(spark: SparkSession, sf: str) -> DataFrame:
     return written(spark, f"cells|{sf}", lambda: sweep.score_cells(clean(spark, sf), selected(spark, sf), SPEC))
 
 
+def at_most(df: DataFrame, rows: int) -> list[Row]:
+    """Collect a table whose size the layout gives; a larger one is an error."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"expected at most {rows} rows")
+    return found
+
+
 def item_ranks(spark: SparkSession, sf: str) -> dict[str, int]:
     """Item -> rank; as many entries as the scale has items."""
-    return {r["item"]: r["rank"] for r in item_pool(spark, sf).select("item", "rank").limit(SPEC.n_items).collect()}
+    return {r["item"]: r["rank"] for r in at_most(item_pool(spark, sf).select("item", "rank"), SPEC.n_items)}
 
 
 def answer_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +187,7 @@ def answer_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r_bar_values(spark: SparkSession, sf: str) -> dict[str, float]:
-    return {r["domain"]: r["r_bar"] for r in r_bars(spark, sf).limit(len(SPEC.domains)).collect()}
+    return {r["domain"]: r["r_bar"] for r in at_most(r_bars(spark, sf), len(SPEC.domains))}
 
 
 def sds(spark: SparkSession, sf: str) -> dict[str, float]:
@@ -187,7 +195,7 @@ def sds(spark: SparkSession, sf: str) -> dict[str, float]:
 
 
 def pool_rows(spark: SparkSession, sf: str) -> list[PoolItem]:
-    rows = item_pool(spark, sf).orderBy("rank").limit(SPEC.n_items).collect()
+    rows = at_most(item_pool(spark, sf).orderBy("rank"), SPEC.n_items)
     return [
         PoolItem(r["item"], r["home_domain"], SPEC.domain_no[r["home_domain"]], r["own_r"], r["rank"], r["domain_correlations"])
         for r in rows

@@ -427,3 +427,53 @@ def test_boosting_lowers_the_loss_and_orders_quantiles(spark):
         F.avg(columns["ext", "q05"]), F.avg(columns["ext", "q50"]), F.avg(columns["ext", "q95"]), F.corr("ext_score", columns["ext", "q50"])
     ).first()
     assert q05 < q50 < q95 and r > 0.6
+
+
+def test_fingerprints_tell_separators_and_missing_fields_apart(spark):
+    prints = []
+    for row in (("x|y", "z"), ("x", "y|z"), (None, "z"), ("NULL", "z"), ("-", "z"), ("", "z")):
+        prints.append(integrity.fingerprint(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first()["hash_sum"])
+    assert len(set(prints)) == len(prints)
+
+
+def test_exact_quantiles_ignore_nan(spark):
+    from scalemetrics.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([(float(n),) for n in range(1, 11)] + [(float("nan"),)] * 5 + [(None,)], "x double")
+    assert exact_quantiles(df, [], "x", [0.5]).first()["value"] == 5.5
+
+
+def test_weighted_masks_obey_the_plan(spark):
+    sizes = kept(spark, MaskPlan(balanced=False, lo=10, hi=12))["kept"].map(len)
+    assert set(sizes) == {10, 11, 12}
+
+
+def test_calibration_without_a_factor_fails(spark):
+    from scalemetrics.operators import predict
+
+    rows = spark.createDataFrame([("ext", 1.0, 2.0, 3.0), ("agr", 1.0, 2.0, 3.0)], "domain string, lower double, pred double, upper double")
+    factors = spark.createDataFrame([("r", "ext", 1.2)], "regime string, domain string, scale_factor double")
+    with pytest.raises(Exception, match="no r calibration factor for domain agr"):
+        predict.apply_calibration(rows, factors, "r").collect()
+    assert predict.apply_calibration(rows.filter("domain = 'ext'"), factors, "r").count() == 1
+
+
+def test_a_collapsed_model_stops_the_run(spark):
+    from scalemetrics.operators import evaluate
+
+    flat = spark.createDataFrame([("m", 3.0)] * 5, "model string, value double")
+    with pytest.raises(ValueError, match="low variance"):
+        evaluate.require_sound(evaluate.output_check(flat))
+
+
+def test_all_changed_locks_are_counted(spark):
+    report = spark.createDataFrame([(f"a{n:02}", "mismatch") for n in range(25)], "artifact string, status string")
+    with pytest.raises(ValueError, match="25 locked artifacts"):
+        integrity.require_locked(report)
+
+
+def test_streams_give_the_same_rows_each_time(spark, sf):
+    from scalemetrics.plans import QUERIES
+
+    for name in ("s6_stream_scoring", "s6_stream_rejects"):
+        assert len({QUERIES[name](spark, sf).count() for _ in range(3)}) == 1

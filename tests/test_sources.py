@@ -20,6 +20,35 @@ def test_delimited_dirty_values_become_missing(spark, tmp_path):
         delimited.read_answers(spark, str(tmp_path / "a.tsv"), SPEC, header[1:])
 
 
+def test_columns_are_found_by_the_files_own_header(spark, tmp_path):
+    names = [i.upper() for i in SPEC.items]
+    swapped = [names[1], names[0], *names[2:]]
+    (tmp_path / "s.tsv").write_text("\t".join(swapped) + "\n" + "\t".join(["1", "2"] + ["3"] * 48) + "\n")
+    row = delimited.read_answers(spark, str(tmp_path / "s.tsv"), SPEC).first()
+    assert (row["ext1"], row["ext2"]) == (2, 1)
+    (tmp_path / "short.tsv").write_text("\t".join(names[1:]) + "\n" + "\t".join(["3"] * 49) + "\n")
+    with pytest.raises(ValueError, match="ext1"):
+        delimited.read_answers(spark, str(tmp_path / "short.tsv"), SPEC)
+    both = tmp_path / "both"
+    both.mkdir()
+    for n, header in enumerate((names, swapped)):
+        (both / f"{n}.tsv").write_text("\t".join(header) + "\n" + "\t".join(["3"] * 50) + "\n")
+    with pytest.raises(Exception, match="header"):
+        delimited.read_answers(spark, str(both), SPEC).collect()
+
+
+def test_generated_ids_do_not_depend_on_splits(spark, tmp_path):
+    names = [i.upper() for i in SPEC.items]
+    lines = ["\t".join([str(1 + n % 5)] * 50) for n in range(40)]
+    (tmp_path / "a.tsv").write_text("\n".join(["\t".join(names), *lines]) + "\n")
+    folder = tmp_path / "b"
+    folder.mkdir()
+    for n in range(4):
+        (folder / f"{n}.tsv").write_text("\n".join(["\t".join(names), *lines[n::4]]) + "\n")
+    ids = [sorted(r[0] for r in delimited.read_answers(spark, str(p), SPEC).select("respondent_id").collect()) for p in (tmp_path / "a.tsv", folder)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 40
+
+
 def test_item_pool_in_both_spellings(spark, tmp_path):
     snake = {"item_pool": [{"id": "ext1", "rank": 1, "home_domain": "ext", "own_domain_r": 0.5, "domain_correlations": {"ext": 0.5}}]}
     camel = {"itemPool": [{"id": "ext1", "rank": 1, "homeDomain": "ext", "ownDomainR": 0.5, "domainCorrelations": {"ext": 0.5}}]}
