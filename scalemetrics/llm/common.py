@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 SPACE_RUN = f"[{SPACES}]+"
 
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. One pass over the texts: distinct five-word shingles as 64-bit hashes, their number, a 128-bit key of the
-   set, the keys of 40 bands of four minima, and the two low bits of all 160 minima packed into five longs.
+   set, the keys of 40 bands of four minima, and the two low bits of 1,024 minima packed into 32 longs.
 2. Documents with equal sets are one node from here on.
-3. Nodes that share a band are candidates. Each is compared with the smallest node of the band first; only nodes
-   that are not connected after that are compared with the rest of their band, so a large group of
-   copies costs as many comparisons as it has members, not as many as it has pairs.
+3. Nodes that share a band are candidates. Each is compared with one node first, the smallest that it shares a band
+   with; then with the smallest node of each band that it is not connected to yet; and only nodes that are
+   still apart are compared with the rest of their band. A large group of copies costs about as many
+   comparisons as it has members, not as many as it has pairs.
 4. A candidate pair is dropped when its set sizes rule the similarity out, or when the collision-corrected
-   estimate from the packed bits lies five standard deviations below the threshold; all others are
+   estimate from the packed bits lies 4.5 standard deviations below the threshold; all others are
    confirmed on the full sets.
 5. Connected components of the confirmed links.
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,11 @@ from scalemetrics.workspace import settle
 WIDTH = 5
 PERCENT = 75
 ROWS, BANDS, BITS = 4, 40, 2
-LONGS = ROWS * BANDS * BITS // 64
+HASHES = 1024  # the first ROWS * BANDS of them make the bands
+DEVIATIONS = 4.5
+LONGS = HASHES * BITS // 64
 BLOCK = 4096
+FILTER_BITS = 1 << 26
 MASK = 0x5555555555555555
 
 
@@ -77,7 +82,7 @@ def shingle_sets(texts: list[bytes], lookup) -> Sets:
             for j in range(1, width):
                 h += w[j : n - width + 1 + j] * factors[j]
             if n < WIDTH:
-                h += np.uint64(n) * factors[WIDTH]
+                h += factors[WIDTH : WIDTH + 1] * np.uint64(n)
             h = mixed(h)
             h.sort()
             if len(h) > 1:
@@ -94,10 +99,10 @@ def minima(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     full = np.flatnonzero(sizes)
     starts = (sets.ends - sizes)[full]
     x = (sets.hashes >> np.uint64(32)).astype(np.uint32)
-    factors, shifts = odd_numbers(ROWS * BANDS, 12, np.uint32), odd_numbers(ROWS * BANDS, 13, np.uint32)
-    out = np.empty((ROWS * BANDS, len(full)), np.uint32)
+    factors, shifts = odd_numbers(HASHES, 12, np.uint32), odd_numbers(HASHES, 13, np.uint32)
+    out = np.empty((HASHES, len(full)), np.uint32)
     if len(full):
-        for i in range(ROWS * BANDS):
+        for i in range(HASHES):
             np.minimum.reduceat(x * factors[i] + shifts[i], starts, out=out[i])
     return full, out.T
 
@@ -105,7 +110,7 @@ def minima(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(m: np.ndarray) -> np.ndarray:
     """64-bit key per band; the same minima in another band give another key."""
     factors, offsets = odd_numbers(ROWS, 14), odd_numbers(BANDS, 15)
-    groups = m.reshape(len(m), BANDS, ROWS).astype(np.uint64)
+    groups = m[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
     return mixed(mixed((groups * factors).sum(axis=2, dtype=np.uint64)) + offsets).view(np.int64)
 
 
@@ -115,8 +120,8 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
-def word_hashes(docs: DataFrame):
-    """Broadcast memo of word hashes that lives as long as a Python worker."""
+def word_hashes(docs: DataFrame) -> Broadcast:
+    """Broadcast memo of word hashes: one per Python worker, for all passes over the texts."""
     return docs.sparkSession.sparkContext.broadcast({})
 
 
@@ -124,13 +129,12 @@ def lookup_of(state: dict):
     if "memo" not in state:
         import xxhash
 
-        state["memo"] = Memo(xxhash.xxh3_64_intdigest, 400_000)
+        state["memo"] = Memo(xxhash.xxh3_64_intdigest, 250_000)
     return state["memo"].__getitem__
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, shared: Broadcast, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, key_hi, key_lo, bands and bits of every document (no bands for empty sets)."""
-    shared = word_hashes(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -161,10 +165,10 @@ def text_hash(text: str = "text") -> Column:
 
 
 def least_matches() -> int:
-    """Equal low bits that a pair at the threshold has, less five standard deviations."""
-    k, chance, s = ROWS * BANDS, 0.5**BITS, PERCENT / 100
+    """Equal low bits that a pair at the threshold has, less DEVIATIONS standard deviations."""
+    k, chance, s = HASHES, 0.5**BITS, PERCENT / 100
     p = chance + (1 - chance) * s
-    return int(k * p - 5 * (k * p * (1 - p)) ** 0.5)
+    return int(k * p - DEVIATIONS * (k * p * (1 - p)) ** 0.5)
 
 
 def plausible(a: str, b: str) -> Column:
@@ -179,28 +183,41 @@ def plausible(a: str, b: str) -> Column:
     return sizes & (equal >= least_matches())
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, set) of the given nodes (node, doc_id, key_hi, key_lo), from the documents' texts."""
-    shared = word_hashes(docs)
+def id_filter(ids: DataFrame, column: str) -> bytes:
+    """Bitmap of hashed ids: FILTER_BITS bits at most, whatever the number of ids."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    marked = ids.select(bit.alias("bit"))
+    maps = marked.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    whole = bytearray(FILTER_BITS // 8 + 4096)
+    for r in maps.collect():  # FILTER_BITS / 32768 rows of 4 KB at most
+        whole[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.map
+    return bytes(whole)
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, shared: Broadcast, doc_id: str, text: str) -> DataFrame:
+    """(node, set) of the given nodes (node, doc_id, key_hi, key_lo), from the documents' texts.
+
+    Texts are not shuffled: a bitmap of the wanted ids lets other documents go where they are read. Those that it lets
+    through by chance fall out in the join; a bitmap too full to help only costs time.
+    """
+    wanted_bits = docs.sparkSession.sparkContext.broadcast(id_filter(nodes, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        lookup = lookup_of(shared.value)
+        lookup, bits = lookup_of(shared.value), np.frombuffer(wanted_bits.value, np.uint8)
         for batch in batches:
-            node, hi, lo, texts = (batch.column(i).to_pylist() for i in range(4))
-            out = []
-            for n, h, l, s in zip(node, hi, lo, shingle_sets(texts, lookup)):
-                raw = s.tobytes()
-                # a repeated id may bring other texts along
-                if divmod(xxhash.xxh3_128_intdigest(raw), 1 << 64) == (h % (1 << 64), l % (1 << 64)):
-                    out.append((n, raw))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "set"])
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            raw = [s.tobytes() for s in shingle_sets(batch.column(2).to_pylist(), lookup)]
+            keys = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())], names=["doc_id", "key_hi", "key_lo", "set"])
 
-    wanted = nodes.withColumnRenamed("doc_id", "__id")
-    texts = arrow_of_texts(docs).select(F.col(doc_id).cast("long").alias("__id"), text_bytes(text).alias("__t")).join(wanted, "__id")
-    found = texts.select("node", "key_hi", "key_lo", "__t").mapInArrow(sets, "node long, set binary")
-    return settle(found.dropDuplicates(["node"]))
+    key = F.col(doc_id).cast("long")
+    texts = arrow_of_texts(docs).filter(key.isNotNull()).select(key.alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"), text_bytes(text).alias("t"))
+    found = texts.mapInArrow(sets, "doc_id long, key_hi long, key_lo long, set binary")
+    # a repeated id may bring other texts along, or the same one twice
+    return settle(found.join(nodes.select("doc_id", "key_hi", "key_lo", "node"), ["doc_id", "key_hi", "key_lo"]).select("node", "set").dropDuplicates(["node"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,71 +243,93 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Documents without words, null texts and rows without id link with nothing: they are their own component and
     are kept (component_id null for a null id). Repeated rows are one node and share its component.
     """
-    rows = settle(signatures(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    shared = word_hashes(docs)
+    rows = settle(signatures(docs, shared, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(linked.groupBy("key_hi", "key_lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
     nodes = linked.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
-    marks = nodes.select("node", F.struct("n_shingles", "bits").alias("m"))
-
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = settle(keys.join(shared, "key"))
+    bands = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = settle(keys.join(bands, "key"))
+    # from here on only nodes that share a band matter
+    near = settle(nodes.join(members.select("node").distinct(), "node", "left_semi"))
+    marks = near.select("node", F.struct("n_shingles", "bits").alias("m"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         marked = pairs.join(marks.select(F.col("node").alias("a"), F.col("m").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("m").alias("mb")), "b")
         return settle(marked.filter(plausible("ma", "mb")).select("a", "b"))
 
-    def sets_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    def sets_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if known is not None:
             ends = ends.join(known, "node", "left_anti")
-        wanted = settle(nodes.select("node", "doc_id", "key_hi", "key_lo").join(ends, "node"))
-        found = full_sets(docs, wanted, doc_id, text) if not wanted.isEmpty() else None
+        wanted = settle(near.select("node", "doc_id", "key_hi", "key_lo").join(ends, "node"))
+        found = full_sets(docs, wanted, shared, doc_id, text) if not wanted.isEmpty() else None
         return found if known is None else known if found is None else known.union(found)
 
-    first = judged(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = None
-    sets = None
-    if not first.isEmpty():
-        sets = sets_of(first)
-        links = confirmed(first, sets)
-    rest = settle(unresolved_pairs(members, links, marks).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        sets = sets_of(rest, sets)
-        more = confirmed(rest, sets)
-        links = more if links is None else links.union(more)
-    return labelled(rows, classes, links)
-
-
-def unresolved_pairs(members: DataFrame, links: DataFrame | None, marks: DataFrame) -> DataFrame:
+    parts: DataFrame | None = None
+    sets: DataFrame | None = None
+    tested: DataFrame | None = None
+    for candidates in (nearest_hub, other_hubs, unresolved_pairs):
+        pairs = candidates(members, parts, near)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs) if candidates is unresolved_pairs else judged(pairs)
+        if pairs.isEmpty():
+            continue
+        sets = sets_of(pairs, sets)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = confirmed(pairs, sets)
+        if not links.isEmpty():
+            # components so far are stars, so each round only merges what its links connect
+            edges = links if parts is None else links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            parts = settle(connected_components(edges))
+    return labelled(rows, classes, parts)
+
+
+def nearest_hub(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
+    """Each node with the smallest node that it shares a band with."""
+    return members.filter("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+
+
+def with_parts(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Add c, the component of the node under the links so far."""
+    if parts is None:
+        return members.withColumn("c", F.col("node"))
+    return members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+
+def other_hubs(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
+    """Each node with the smallest node of every band whose component it is not in."""
+    own = settle(with_parts(members, parts))
+    main = own.filter("node = hub").select("key", F.col("c").alias("main"))
+    return own.join(main, "key").filter("c <> main").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def unresolved_pairs(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
     """Plausible pairs of a band that the links so far do not connect.
 
     Such a pair has a node outside the component of the band's smallest node, so only those nodes meet the band's
     others. Large bands are cut into blocks; a task compares two blocks.
     """
-    if links is None:
-        own = members.withColumn("c", F.col("node"))
-    else:
-        parts = settle(connected_components(links)).withColumnRenamed("component", "c")
-        own = members.join(parts, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    own = settle(own)
+    own = settle(with_parts(members, parts))
     main = own.filter("node = hub").select("key", F.col("c").alias("main"))
     open_keys = own.join(main, "key").groupBy("key", "main").agg(F.max((F.col("c") != F.col("main")).cast("int")).alias("x")).filter("x = 1")
-    rows = own.join(open_keys.select("key", "main"), "key").join(marks, "node")
+    rows = own.join(open_keys.select("key", "main"), "key").join(near.select("node", F.struct("n_shingles", "bits", "bands").alias("m")), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.filter("c <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.struct("node", "c", "m.*").alias("x"))
     right = rows.select("key", every.alias("i"), F.col("block").alias("j"), (F.col("c") == F.col("main")).alias("is_main"), F.struct("node", "c", "m.*").alias("y"))
     apart = (F.col("x.c") != F.col("y.c")) & (F.col("is_main") | (F.col("x.node") < F.col("y.node")))
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & apart & plausible("x", "y"))
+    first = F.array_min(F.array_intersect("x.bands", "y.bands")) == left.key  # a pair counts in one of its bands
+    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & apart & plausible("x", "y") & first)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def labelled(rows: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def labelled(rows: DataFrame, classes: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
         named = classes.select("key_hi", "key_lo", F.col("least_id").alias("component_id"))
     else:
-        parts = settle(connected_components(links))
         placed = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
         named = placed.join(ids, "component").select("key_hi", "key_lo", "component_id")
