@@ -41,8 +41,13 @@ def repeated_words(w: Column) -> Column:
     """Words inside three-word windows that occur at least twice in the text.
 
     Windows are compared by a 64-bit hash; they are sorted only in texts that repeat one, so a text of n words
-    costs n log n at most.
+    costs n log n at most. The array is bound first: wherever Spark puts this expression, the text is split once
+    and not once per word.
     """
+    return bind(w, repeated_in).cast("long")
+
+
+def repeated_in(w: Column) -> Column:
     n = F.size(w)
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     hashes = F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>"))
@@ -60,7 +65,7 @@ def repeated_words(w: Column) -> Column:
 
         return bind(bind(placed, starts), width)
 
-    return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))).cast("long")
+    return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
 
 
 def bind(value: Column, body) -> Column:
@@ -146,12 +151,15 @@ def judge(stats: DataFrame, limits: DataFrame, measures: Mapping[str, int], lang
     """Join the fences and add ``__kept``: within every fence, and not failed by the base rules."""
     limits = limits.withColumnsRenamed({"lang_key": "__lang", "source_key": "__source"})
     joined = stats.join(limits, (source_key(F.col(lang)) == F.col("__lang")) & (source_key(F.col(source)) == F.col("__source")), "left")
-    inside = ~F.col("__q.base_failed")
+    inside = F.lit(True)
     for m in measures:
         inside = inside & F.coalesce(F.col(f"__q.{m}") <= F.col(f"__high_{m}"), F.lit(True))
         if m in LOW_FENCE:
             inside = inside & F.coalesce(F.col(f"__q.{m}") >= F.col(f"__low_{m}"), F.lit(True))
-    return joined.withColumn("__kept", inside).drop(*limits.columns)
+    # one expression over both sides of the join: as a conjunct of its own, base_failed would be moved below the
+    # projection of the counts, and these be computed twice
+    kept = F.when(F.col("__q.base_failed"), F.lit(False)).otherwise(inside)
+    return joined.withColumn("__kept", kept).drop(*limits.columns)
 
 
 def quality_rules(docs: DataFrame, measures: Mapping[str, int] = SPREADS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
