@@ -84,7 +84,10 @@ def spearman_brown(k: int | Column, r_bar: Column) -> Column:
 
 
 def poisson_thresholds(upto: int = 12) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(W <= 0), P(W <= 1), ..."""
+    """Cumulative Poisson(1) probabilities P(W <= 0), P(W <= 1), ...
+
+    Draws beyond the last one count as ``upto`` + 1: one draw in 1.6e10 is larger.
+    """
     total, out = 0.0, []
     for k in range(upto + 1):
         total += math.exp(-1.0) / math.factorial(k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scalemetrics.functions.stats import ks_p_value
 from scalemetrics.spec import ScaleSpec
+from scalemetrics.workspace import settle
 
 SLICES = 256
 
@@ -20,15 +21,16 @@ def ks_two_sample(df: DataFrame, keys: list[str], value: str, first: Column, sec
     The running count is taken inside slices holding about equally many distinct
     values and the slice totals are added on top, so no task orders a whole key.
     """
-    counts = (
+    counts = settle(
         df.select(*keys, F.col(value).cast("double").alias("v"), first.cast("int").alias("a"), second.cast("int").alias("b"))
         .filter(F.col("v").isNotNull())
         .groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
     cuts = F.array(*[F.lit(n / SLICES) for n in range(1, SLICES)])
-    span = counts.groupBy(*keys).agg(
+    # written out, so that Spark knows its size and broadcasts it: no key's values meet in one task
+    span = settle(counts.groupBy(*keys).agg(
         F.percentile_approx("v", cuts, 10 * SLICES).alias("cuts"), F.sum("a").alias("n1"), F.sum("b").alias("n2")
-    )
+    ))
     slice_no = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("v")))
     sliced = counts.join(span, keys).withColumn("slice", slice_no).drop("cuts")
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

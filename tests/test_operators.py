@@ -477,3 +477,14 @@ def test_streams_give_the_same_rows_each_time(spark, sf):
 
     for name in ("s6_stream_scoring", "s6_stream_rejects"):
         assert len({QUERIES[name](spark, sf).count() for _ in range(3)}) == 1
+
+
+def test_targets_may_differ_by_domain(spark):
+    row = {f"n_{d}": 2 for d in SPEC.domains} | {"n_items": 10}
+    df = spark.createDataFrame([row])
+    from scalemetrics.operators.sessions import stop_reason
+
+    reason = lambda targets: df.select(stop_reason(SPEC, Rules(use_sem=False, target_per_domain=targets)).alias("r")).first()["r"]
+    unequal = dict.fromkeys(SPEC.domains, 2)
+    assert reason(2) == reason(unequal) == "domain_coverage_met"
+    assert reason(unequal | {"opn": 3}) == "continuing"
