@@ -146,6 +146,23 @@ def test_chain_catches_toxic_words_and_leaves_others(spark):
     assert toxicity.clean_documents(docs, labels.filter("false")).count() == docs.count()
 
 
+def test_words_of_a_large_toxic_copy_group_keep_their_weight(spark):
+    # a third of the labelled rows are copies of one toxic text; other toxic documents hold one word of it each
+    rng = random.Random(8)
+    vocabulary = [f"term{n}" for n in range(300)]
+    markers = ["vilenax", "grobusk"]
+    copy = " ".join([rng.choice(vocabulary) for _ in range(40)] + markers)
+    rows = []
+    for n in range(450):
+        bad = n % 3 == 0 or n % 30 == 1
+        text = copy if n % 3 == 0 else " ".join([rng.choice(vocabulary) for _ in range(60)] + [markers[n % 2]] * bad)
+        rows.append(((n, text, "en", "a"), int(bad)))
+    docs = documents(spark, [r for r, _ in rows])
+    chain = toxicity.train(docs, labelled(spark, rows[:300], "toxic"))
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, chain, toxicity.CATEGORIES).collect()}
+    assert [got[r[0]] for r, _ in rows[300:]] == [bool(k) for _, k in rows[300:]]
+
+
 def test_later_models_learn_from_out_of_fold_predictions():
     # the word of the first category tells nothing about rows outside its fold, so the second must not trust it
     rng = np.random.default_rng(1)
