@@ -9,8 +9,9 @@ from scalemetrics.workspace import settle
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-    return row[0], row[1] or 0
+    # a bigint would overflow at 2^24 edges
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(38,0)"))).first()
+    return row[0], int(row[1] or 0)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -17,7 +18,7 @@ from helpers import base_counts, components, documents, gapless, near_duplicates
 
 import corpus_pipeline  # noqa: E402
 from scalemetrics.llm import chat_repair, minhash, mixing, packing, quality_cnn, quality_rules, rotation_codes, sharding, token_counts, toxicity  # noqa: E402
-from scalemetrics.llm.components import connected_components  # noqa: E402
+from scalemetrics.llm.components import _state, connected_components  # noqa: E402
 from scalemetrics.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 TABLES = "documents embeddings benchmark labels conversations"
@@ -200,6 +201,12 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: 0 for n in range(41)} | {100 + n: 100 for n in range(60)}
 
 
+def test_component_state_of_more_edges_than_a_long_holds(spark):
+    # 40-bit hashes of 2^24 edges add up to about 2^63
+    count, total = _state(spark.range(18_000_000).select(F.col("id").alias("v"), (F.col("id") + 1).alias("u")))
+    assert count == 18_000_000 and total > 1 << 63
+
+
 @pytest.mark.parametrize("bits", [12, 2])
 def test_chats_are_repaired_at_least_cost(spark, monkeypatch, bits):
     monkeypatch.setattr(chat_repair, "BLOCK_BITS", bits)
