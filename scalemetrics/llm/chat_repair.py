@@ -32,7 +32,8 @@ STATES = ("", *ROLES)
 UNKNOWN = len(ROLES)
 
 MERGE, RELABEL, GUESS, INSERT = 1, 2, 1, 3
-NEVER = 1 << 20
+# Far above the cost of any conversation (three a turn at most), and 2^12 of them still fit a long.
+NEVER = 1 << 50
 BLOCK_BITS = 12
 
 
@@ -98,7 +99,7 @@ def walk(steps: Sequence[np.ndarray], state: int, rest: np.ndarray) -> list[int]
     """States before, between and after the steps of a cheapest way; ``rest`` is the cost to go by the state after them."""
     ahead = [rest]
     for m in reversed(steps):
-        ahead.append((m + ahead[-1]).min(axis=1))
+        ahead.append((m + ahead[-1]).min(axis=1).clip(max=NEVER))
     ahead.reverse()
     states = [state]
     for m, g in zip(steps, ahead[1:]):

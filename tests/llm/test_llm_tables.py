@@ -233,6 +233,26 @@ def test_chats_are_repaired_at_least_cost(spark, monkeypatch, bits):
         assert all(b in chat_repair.NEXT[a] for a, b in zip(["", *roles], roles)) and roles[-1] == "assistant" and text.count("<|end|>") == len(roles)
 
 
+def test_a_conversation_of_many_millions_of_costs_is_repaired(spark):
+    # 2^21 merges composed, then a walk over several such parts
+    user = chat_repair.ROLES.index("user") + 1
+    m = chat_repair.COSTS[user - 1]
+    for _ in range(21):
+        m = chat_repair.composed(np.stack([m, m]))
+    assert m[user, user] == 1 << 21 and m[0, user] == (1 << 21) - 1
+    assert chat_repair.walk([m] * 5, 0, chat_repair.END_COSTS)[1:] == [user] * 4 + [chat_repair.STATES.index(chat_repair.LAST)]
+    # one conversation of user turns in one range: those between the first and the last are merged, the last one answers
+    n = 1_060_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = chat_repair.repaired_turns(turns).groupBy("action", "new_role").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert sorted(map(tuple, got)) == [("keep", "user", 1, 0), ("merge", "user", n - 2, n - 2), ("relabel", "assistant", 1, chat_repair.RELABEL)]
+
+
 def test_legal_chats_stay_as_they_are(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
     got = sorted(chat_repair.rendered(chat_repair.repaired_turns(turns)).collect(), key=lambda r: r.place)
