@@ -23,6 +23,7 @@ GROUP, GROUPS = 8, 3  # a chunk is three groups of eight bytes; the next chunk s
 WIDTH, DIMS, FILTERS = GROUP * GROUPS, 4, 16
 #: Distances of the repetition channels; each channel counts, in a chunk, the bytes equal to those so far before.
 LAGS = tuple(range(3, 25))
+AHEAD = -(-max(LAGS) // GROUP)
 TRAIN_PER_LABEL = 1_000
 STEPS, BATCH, RATE = 480, 32, 0.006
 THRESHOLD = 0.3
@@ -53,7 +54,8 @@ class Network:
 
 @dataclass(frozen=True)
 class Chunks:
-    """Bytes of some texts, one after the other, each padded to whole chunks; ``starts`` is each text's first group."""
+    """Bytes of some texts, one after the other, each padded to whole chunks and after ``AHEAD`` empty groups, so that the
+    longest lag stays inside; ``starts`` is the first of each text's empty groups."""
 
     data: np.ndarray  # room for the longest lag, then the texts
     starts: np.ndarray
@@ -62,16 +64,18 @@ class Chunks:
     @staticmethod
     def of(texts: list[bytes]) -> Chunks:
         counts = [max(GROUPS, -(-len(t) // GROUP)) for t in texts]
-        padded = b"".join(t.ljust(c * GROUP, b"\0") for t, c in zip(texts, counts))
-        return Chunks(np.frombuffer(bytes(max(LAGS)) + padded, np.uint8), np.cumsum([0, *counts])[:-1], sum(counts))
+        padded = b"".join(bytes(AHEAD * GROUP) + t.ljust(c * GROUP, b"\0") for t, c in zip(texts, counts))
+        ends = np.cumsum([0, *(c + AHEAD for c in counts)])
+        return Chunks(np.frombuffer(bytes(max(LAGS)) + padded, np.uint8), ends[:-1], int(ends[-1]))
 
     def bytes_from(self, first: int, last: int, lag: int = 0) -> np.ndarray:
         """Bytes of the groups first .. last - 1, or those ``lag`` bytes before."""
         return self.data[first * GROUP + max(LAGS) - lag : last * GROUP + max(LAGS) - lag]
 
     def blocks(self, net: Network) -> Iterator[tuple[int, np.ndarray]]:
-        """(first chunk, responses) of all chunks in blocks; chunks that reach into the next text respond with -inf."""
-        across = np.setdiff1d(np.append(self.starts[1:], self.groups)[:, None] - np.arange(1, GROUPS), -1)
+        """(first chunk, responses) of all chunks in blocks; chunks that reach into the next text or begin before their own respond with -inf."""
+        ends = np.append(self.starts[1:], self.groups)[:, None] - np.arange(1, GROUPS)
+        across = np.setdiff1d(np.append(ends, self.starts[:, None] + np.arange(AHEAD)), -1)
         kernel = np.concatenate(list(net.kernel), axis=1)
         for first in range(0, self.groups, GROUPS_AT_ONCE):
             last = min(first + GROUPS_AT_ONCE, self.groups)

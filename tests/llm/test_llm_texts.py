@@ -202,6 +202,15 @@ def test_the_whole_text_counts_and_blocks_do_not_matter(monkeypatch):
     assert whole[2] != quality_cnn.probabilities(net, [texts[2][:-7]])[0]
 
 
+def test_a_text_scores_the_same_beside_any_neighbour():
+    net = quality_cnn.Network.start()
+    net.out[:] = np.abs(net.out) * 5
+    texts = [b"", b"x", b"ab" * 40, b"", b"\0" * 30, b"x", bytes(range(256)) * 3, b"ab" * 40, b"plain words " * 9, b""]
+    alone = np.concatenate([quality_cnn.probabilities(net, [t]) for t in texts])
+    assert np.allclose(quality_cnn.probabilities(net, texts), alone, atol=1e-5)
+    assert np.allclose(quality_cnn.probabilities(net, texts[::-1])[::-1], alone, atol=1e-5)
+
+
 def test_gradients_equal_differences():
     net = quality_cnn.Network.start()
     texts, label, weight = [b"some text to read, some text", b"ANOTHER ONE!! " * 4], np.array([1, 0], np.float32), np.ones(2, np.float32)
