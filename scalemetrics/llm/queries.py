@@ -1,6 +1,8 @@
 """All queries of this subpackage."""
 
-from scalemetrics.llm import chat_repair, minhash, mixing, packing, quality_cnn, quality_rules, rotation_codes, sharding, token_counts, toxicity  # noqa: F401
+from scalemetrics.llm import (  # noqa: F401
+    chat_repair, minhash, mixing, packing, pieces, quality_cnn, quality_rules, rotation_codes, sharding, token_counts, toxicity,
+)
 from scalemetrics.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
