@@ -105,16 +105,18 @@ def built(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> Automaton
     for d in range(1, ORDER + 1):
         differs[1:, d] = differs[1:, d - 1] | (rows[1:, d - 1] != rows[:-1, d - 1])
     register: dict[bytes, int] = {}
-    kept: list[tuple[bool, np.ndarray, np.ndarray]] = []
+    none = np.empty(0, np.int64)
+    kept = [(True, none, none)] if n else [(False, none, none)]
     below_first, below_state = np.empty(0, np.int64), np.empty(0, np.int64)
     for depth in range(ORDER, -1, -1):
         first = np.flatnonzero(differs[:, depth] & (lengths >= depth))
         ends = lengths[first] == depth
         labels = rows[below_first, depth] if depth < ORDER else np.empty(0, np.int64)
         cuts = np.searchsorted(below_first, np.append(first, n))
-        states = np.empty(len(first), np.int64)
+        states = np.zeros(len(first), np.int64)  # without continuations: the first state
         arcs = np.stack([labels, below_state], axis=1) if depth < ORDER else np.empty((0, 2), np.int64)
-        for k, (a, b, accept) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), ends.tolist())):
+        inner = np.flatnonzero(cuts[1:] > cuts[:-1])
+        for k, a, b, accept in zip(inner.tolist(), cuts[inner].tolist(), cuts[inner + 1].tolist(), ends[inner].tolist()):
             key = arcs[a:b].tobytes() + (b"+" if accept else b"-")
             state = register.get(key)
             if state is None:
@@ -122,8 +124,6 @@ def built(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> Automaton
                 kept.append((accept, labels[a:b], below_state[a:b]))
             states[k] = state
         below_first, below_state = first, states
-    if not kept:
-        kept.append((False, np.empty(0, np.int64), np.empty(0, np.int64)))
     sizes = np.array([len(k[1]) for k in kept], np.int64)
     accepts = np.array([k[0] for k in kept], bool)
     labels, targets = (np.concatenate([k[i] for k in kept]) for i in (1, 2))
@@ -164,15 +164,16 @@ def summed(rows: np.ndarray, counts: np.ndarray, floor: int = 1) -> tuple[np.nda
     return rows[new][keep], sums[keep]
 
 
-def grams(a: np.ndarray, orders: tuple[int, int], passes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams (label rows, counts) of the two ``orders`` in a run of labels; 0 ends a piece, labels count from 1.
+def grams(a: np.ndarray, orders: tuple[int, int], passes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams (label rows of width ORDER) of two consecutive ``orders`` and their counts in a run of labels.
 
-    An n-gram of three words or more counts only where each pair of its neighbours ``passes``. Each order is found from the one
-    before: the number of an n-gram and the label behind its place are one key.
+    In the run 0 ends a piece and labels count from 1; rows hold labels from 0. An n-gram of three words or more counts only where
+    each pair of its neighbours ``passes``. Each order is found from the one before: the number of an n-gram and the label behind
+    its place are one key, which also sorts an n-gram before its continuations.
     """
-    out = []
     wide = np.int64(a.max(initial=0) + 1)
-    index, rows = a.copy(), None
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, counts, keys
+    index, rows = a, None
     for order in range(1, orders[1] + 1):
         if order == 1:
             keys = np.where(a > 0, a, -1)
@@ -183,16 +184,15 @@ def grams(a: np.ndarray, orders: tuple[int, int], passes) -> list[tuple[np.ndarr
         distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         skip = int(len(distinct) > 0 and distinct[0] < 0)
         distinct, counts = distinct[skip:], counts[skip:]
-        if order == 1:
-            rows = distinct[:, None]
-        else:
-            rows = np.concatenate([rows[distinct // wide], (distinct % wide)[:, None]], axis=1)
+        rows = distinct[:, None] if order == 1 else np.concatenate([rows[distinct // wide], (distinct % wide)[:, None]], axis=1)
+        index = inverse - skip
         if order == 2 and orders[1] > 2:
-            good = passes(rows)
-            pair_passes = np.append(good, False)[inverse - skip]  # -1 is the last: no pair
-            index = np.where(pair_passes, inverse - skip, -1)
-        else:
-            index = inverse - skip
-        if orders[0] <= order:
-            out.append((rows, counts))
-    return out
+            pair_passes = np.append(passes(rows - 1), False)[index]  # -1 is the last: no pair
+            index = np.where(pair_passes, index, -1)
+        if order == orders[0]:
+            found.append((rows, counts, np.arange(len(rows)) * wide))
+        elif order == orders[1]:
+            found.append((rows, counts, distinct))
+    order = np.argsort(np.concatenate([k for *_, k in found]), kind="stable")
+    padded = [np.pad(r - 1, ((0, 0), (0, ORDER - r.shape[1])), constant_values=NONE) for r, *_ in found]
+    return np.concatenate(padded)[order], np.concatenate([c for _, c, _ in found])[order]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scalemetrics.llm.common import table, text_bytes
-from scalemetrics.llm.count_automata import NONE, ORDER, STORED, Automaton, built, grams, summed, united
+from scalemetrics.llm.count_automata import NONE, ORDER, STORED, Automaton, built, grams, united
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
 
@@ -106,10 +106,16 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return settle(found.groupBy("lang", "word").agg(F.sum("f").alias("f")))
 
 
+def language_seed(language: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(language.encode())
+
+
 def word_hash(language: str, words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    seed = xxhash.xxh3_64_intdigest(language.encode())
+    seed = language_seed(language)
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
@@ -159,14 +165,15 @@ def pair_bitmap(ranges: DataFrame) -> bytes:
 class Vocabulary(dict):
     """Labels of words from 1, in the order of their coming; 0 for breaks and for words that are too rare."""
 
-    def __init__(self, language: str, bits: np.ndarray) -> None:
+    def __init__(self, language: str, bits: bytes) -> None:
+        import xxhash
+
         super().__init__({BREAK: 0})
-        self.language, self.bits, self.words = language, bits, []
+        self.seed, self.hash, self.bits, self.words = language_seed(language), xxhash.xxh3_64_intdigest, bits, []
 
     def __missing__(self, word: bytes) -> int:
-        place = word_hash(self.language, [word]) % np.uint64(FILTER_BITS)
-        label = 0
-        if marked(self.bits, place)[0]:
+        place, label = self.hash(word, self.seed) % FILTER_BITS, 0
+        if self.bits[place >> 3] >> (place & 7) & 1:
             self.words.append(word)
             label = len(self.words)
         self[word] = label
@@ -177,7 +184,7 @@ def shard_bricks(docs: DataFrame, orders: tuple[int, int], word_bits: Broadcast,
     """Bricks of the n-grams of the given orders: each is the automaton of at most BRICK consecutive n-grams of a shard."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(word_bits.value, np.uint8)
+        bits = word_bits.value
         held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
         size = 0
 
@@ -194,11 +201,9 @@ def shard_bricks(docs: DataFrame, orders: tuple[int, int], word_bits: Broadcast,
             hashes = word_hash(language, words)
 
             def passes(rows: np.ndarray) -> np.ndarray:
-                return marked(np.frombuffer(pairs.value, np.uint8), pair_bits(hashes, rows - 1))
+                return marked(np.frombuffer(pairs.value, np.uint8), pair_bits(hashes, rows))
 
-            found = grams(ranks[a], orders, passes)
-            wide = [np.pad(rows - 1, ((0, 0), (0, ORDER - rows.shape[1])), constant_values=NONE) for rows, _ in found]
-            rows, counts = summed(np.concatenate(wide), np.concatenate([c for _, c in found]))
+            rows, counts = grams(ranks[a], orders, passes)
             for at in range(0, len(rows), BRICK):
                 yield brick(language, rows[at : at + BRICK], counts[at : at + BRICK], words)
 

@@ -64,11 +64,11 @@ def random_texts(n, seed=1):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in {"SHARD_WORDS": 700, "BRICK": 150, "RANGE_BRICKS": 8, "REQUESTS_PER_TASK": 200}.items():
+    for name, value in {"SHARD_WORDS": 700, "BRICK": 150, "RANGE_BRICKS": 8, "REQUESTS_PER_TASK": 20_000}.items():
         monkeypatch.setattr(phrases, name, value)
 
 
-@pytest.mark.parametrize("least, top", [(1, 100_000), (3, 50), (30, 2000)])
+@pytest.mark.parametrize("least, top", [(1, 100_000), (3, 50)])
 def test_phrases_equal_plain_counting(spark, small, least, top):
     texts = random_texts(60)
     rows = [(n, t, ["en", "fr", None, "und"][n % 4], "a") for n, t in enumerate(texts)] + [(1000 + n, *r[1:]) for n, r in enumerate(odd_rows()) if least > 1]
@@ -151,7 +151,11 @@ def test_ngrams_of_a_run():
     a = np.append(rng.integers(0, 5, 400), 0)
     good = lambda rows: (rows.sum(axis=1) % 3) > 0
     for orders in ((1, 2), (3, 4)):
-        for size, (rows, counts) in zip(range(orders[0], orders[1] + 1), grams(a, orders, good)):
-            want = Counter(tuple(a[i : i + size].tolist()) for i in range(len(a) - size + 1))
-            want = {g: n for g, n in want.items() if 0 not in g and (size < 3 or all(sum(g[k : k + 2]) % 3 for k in range(size - 1)))}
-            assert dict(zip(map(tuple, rows.tolist()), counts.tolist())) == want
+        rows, counts = grams(a, orders, good)
+        want = {}
+        for size in orders:
+            found = Counter(tuple((a[i : i + size] - 1).tolist()) for i in range(len(a) - size + 1))
+            want |= {g: n for g, n in found.items() if -1 not in g and (size < 3 or all(sum(g[k : k + 2]) % 3 for k in range(size - 1)))}
+        got = [tuple(x for x in r if x != NONE) for r in rows.tolist()]
+        assert dict(zip(got, counts.tolist())) == want and got == sorted(got) and len(got) == len(want)
+    assert [len(x) for x in grams(np.zeros(1, np.int64), (3, 4), good)] == [0, 0]
