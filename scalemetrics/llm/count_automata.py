@@ -173,22 +173,21 @@ def grams(a: np.ndarray, orders: tuple[int, int], passes) -> tuple[np.ndarray, n
     """
     wide = np.int64(a.max(initial=0) + 1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, counts, keys
-    index, rows = a, None
+    index, rows, counts, distinct = a - 1, np.arange(1, wide)[:, None], np.bincount(a, minlength=wide)[1:], None
     for order in range(1, orders[1] + 1):
-        if order == 1:
-            keys = np.where(a > 0, a, -1)
-        else:
-            keys = np.where((index[:-1] >= 0) & (a[order - 1 :] > 0), index[:-1] * wide + a[order - 1 :], -1)
+        if order > 1:
+            fits = (index[:-1] >= 0) & (a[order - 1 :] > 0)
             if order > 2:
-                keys = np.where(pair_passes[order - 2 : order - 2 + len(keys)], keys, -1)
-        distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        skip = int(len(distinct) > 0 and distinct[0] < 0)
-        distinct, counts = distinct[skip:], counts[skip:]
-        rows = distinct[:, None] if order == 1 else np.concatenate([rows[distinct // wide], (distinct % wide)[:, None]], axis=1)
-        index = inverse - skip
-        if order == 2 and orders[1] > 2:
-            pair_passes = np.append(passes(rows - 1), False)[index]  # -1 is the last: no pair
-            index = np.where(pair_passes, index, -1)
+                fits &= pair_passes[order - 2 : order - 2 + len(fits)]
+            places = np.flatnonzero(fits)
+            if order == 2 and orders[1] > 2:
+                places = places[passes(np.stack([a[places], a[places + 1]], axis=1) - 1)]
+                pair_passes = np.zeros(len(fits), bool)
+                pair_passes[places] = True
+            distinct, inverse, counts = np.unique(index[places] * wide + a[places + order - 1], return_inverse=True, return_counts=True)
+            index = np.full(len(fits), -1)
+            index[places] = inverse
+            rows = np.concatenate([rows[distinct // wide], (distinct % wide)[:, None]], axis=1)
         if order == orders[0]:
             found.append((rows, counts, np.arange(len(rows)) * wide))
         elif order == orders[1]:
