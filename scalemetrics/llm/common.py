@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ SPACES = r"\x20\x09-\x0D"
 SPACE_RUN = f"[{SPACES}]+"
 
 ROWS_PER_BATCH = 256
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +34,26 @@ def word_count(text: Column) -> Column:
     return F.size(parts).cast("long") - ends
 
 
+def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few whole texts each: what a task derives from a batch stays small, whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+            yield batch.slice(at, ROWS_PER_BATCH)
+
+
+_states: dict[Hashable, object] = {}
+MOST_STATES = 8
+
+
+def of_worker(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` returns, kept under the key for as long as the Python worker lives; a few values at most."""
+    if key not in _states:
+        if len(_states) >= MOST_STATES:
+            _states.clear()
+        _states[key] = make()
+    return _states[key]
+
+
 def arrow_of_texts(df: DataFrame) -> DataFrame:
     """Keep Arrow batches of whole texts small: memory follows the longest texts, not the number of rows."""
     conf = df.sparkSession.conf

@@ -3,14 +3,14 @@
 1. One pass over the texts: distinct five-word shingles as 64-bit hashes, their number, a 128-bit key of the
    set, the keys of 40 bands of four minima, and the two low bits of 1,024 minima packed into 32 longs.
 2. Documents with equal sets are one node from here on.
-3. Nodes that share a band are candidates. Each is compared with one node first, the smallest that it shares a band
-   with; then with the smallest node of each band that it is not connected to yet; and only nodes that are
-   still apart are compared with the rest of their band. A large group of copies costs about as many
-   comparisons as it has members, not as many as it has pairs.
-4. A candidate pair is dropped when its set sizes rule the similarity out, or when the collision-corrected
-   estimate from the packed bits lies 4.5 standard deviations below the threshold; all others are
+3. A candidate pair (one that shares a band) is dropped when its set sizes rule the similarity out, or when the
+   collision-corrected estimate from the packed bits lies 4.5 standard deviations below the threshold; all others are
    confirmed on the full sets.
-5. Connected components of the confirmed links.
+4. Rounds in which a node takes part with one pair of its own: first the smallest node that it shares a band with, then, for
+   nodes of large bands that are still apart, the best estimate among the others of a large band. After each round the
+   confirmed links merge components. A large group of copies costs about as many confirmed pairs as it has members.
+5. What is still apart: bands of few nodes give their plausible pairs; in large bands tasks compare block with block, first the
+   bits, then the full sets of the nodes that have a plausible partner, and return connecting links only.
 
 A pair at the threshold misses all bands with probability 3e-7.
 """
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import arrow_of_texts, table, text_bytes
+from scalemetrics.llm.common import few_rows, table, text_bytes
 from scalemetrics.llm.components import connected_components
 from scalemetrics.llm.pretokens import Memo
 from scalemetrics.llm.registry import query
@@ -38,7 +38,9 @@ ROWS, BANDS, BITS = 4, 40, 2
 HASHES = 1024  # the first ROWS * BANDS of them make the bands
 DEVIATIONS = 4.5
 LONGS = HASHES * BITS // 64
-BLOCK = 4096
+SMALL_BAND = 64
+BEST_BLOCK, BEST_ROUNDS = 4096, 2
+BLOCK, ROWS_AT_ONCE = 1024, 16
 FILTER_BITS = 1 << 26
 MASK = 0x5555555555555555
 
@@ -120,27 +122,26 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
-def word_hashes(docs: DataFrame) -> Broadcast:
-    """Broadcast memo of word hashes: one per Python worker, for all passes over the texts."""
-    return docs.sparkSession.sparkContext.broadcast({})
+_hashes: list[Memo] = []
 
 
-def lookup_of(state: dict):
-    if "memo" not in state:
+def word_hashes():
+    """Memo of word hashes: one per Python worker, for all passes over the texts."""
+    if not _hashes:
         import xxhash
 
-        state["memo"] = Memo(xxhash.xxh3_64_intdigest, 250_000)
-    return state["memo"].__getitem__
+        _hashes.append(Memo(xxhash.xxh3_64_intdigest, 250_000))
+    return _hashes[0].__getitem__
 
 
-def signatures(docs: DataFrame, shared: Broadcast, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, key_hi, key_lo, bands and bits of every document (no bands for empty sets)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        lookup = lookup_of(shared.value)
-        for batch in batches:
+        lookup = word_hashes()
+        for batch in few_rows(batches):
             sets = shingle_sets(batch.column(2).to_pylist(), lookup)
             full, m = minima(sets)
             size = batch.num_rows
@@ -156,7 +157,7 @@ def signatures(docs: DataFrame, shared: Broadcast, doc_id: str = "doc_id", text:
                 names=["doc_id", "text_hash", "n_shingles", "key_hi", "key_lo", "bands", "bits"],
             )
 
-    source = arrow_of_texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text), text_bytes(text).alias("t"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text), text_bytes(text).alias("t"))
     return source.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, key_hi long, key_lo long, bands array<long>, bits array<long>")
 
 
@@ -194,7 +195,7 @@ def id_filter(ids: DataFrame, column: str) -> bytes:
     return bytes(whole)
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, shared: Broadcast, doc_id: str, text: str) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, set) of the given nodes (node, doc_id, key_hi, key_lo), from the documents' texts.
 
     Texts are not shuffled: a bitmap of the wanted ids lets other documents go where they are read. Those that it lets
@@ -205,8 +206,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shared: Broadcast, doc_id: str,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        lookup, bits = lookup_of(shared.value), np.frombuffer(wanted_bits.value, np.uint8)
-        for batch in batches:
+        lookup, bits = word_hashes(), np.frombuffer(wanted_bits.value, np.uint8)
+        for batch in few_rows(batches):
             at = batch.column(1).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             raw = [s.tobytes() for s in shingle_sets(batch.column(2).to_pylist(), lookup)]
@@ -214,10 +215,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shared: Broadcast, doc_id: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())], names=["doc_id", "key_hi", "key_lo", "set"])
 
     key = F.col(doc_id).cast("long")
-    texts = arrow_of_texts(docs).filter(key.isNotNull()).select(key.alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"), text_bytes(text).alias("t"))
+    texts = docs.filter(key.isNotNull()).select(key.alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"), text_bytes(text).alias("t"))
     found = texts.mapInArrow(sets, "doc_id long, key_hi long, key_lo long, set binary")
     # a repeated id may bring other texts along, or the same one twice
-    return settle(found.join(nodes.select("doc_id", "key_hi", "key_lo", "node"), ["doc_id", "key_hi", "key_lo"]).select("node", "set").dropDuplicates(["node"]))
+    read = settle(found.join(nodes.select("doc_id", "key_hi", "key_lo", "node"), ["doc_id", "key_hi", "key_lo"]).select("node", "set").dropDuplicates(["node"]))
+    wanted_bits.destroy()
+    return read
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,8 +246,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Documents without words, null texts and rows without id link with nothing: they are their own component and
     are kept (component_id null for a null id). Repeated rows are one node and share its component.
     """
-    shared = word_hashes(docs)
-    rows = settle(signatures(docs, shared, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    rows = settle(signatures(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(linked.groupBy("key_hi", "key_lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
     nodes = linked.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
@@ -253,79 +255,208 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = settle(keys.join(bands, "key"))
     # from here on only nodes that share a band matter
     near = settle(nodes.join(members.select("node").distinct(), "node", "left_semi"))
-    marks = near.select("node", F.struct("n_shingles", "bits").alias("m"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        marked = pairs.join(marks.select(F.col("node").alias("a"), F.col("m").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("m").alias("mb")), "b")
-        return settle(marked.filter(plausible("ma", "mb")).select("a", "b"))
-
-    def sets_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if known is not None:
-            ends = ends.join(known, "node", "left_anti")
-        wanted = settle(near.select("node", "doc_id", "key_hi", "key_lo").join(ends, "node"))
-        found = full_sets(docs, wanted, shared, doc_id, text) if not wanted.isEmpty() else None
-        return found if known is None else known if found is None else known.union(found)
-
-    parts: DataFrame | None = None
-    sets: DataFrame | None = None
-    tested: DataFrame | None = None
-    for candidates in (nearest_hub, other_hubs, unresolved_pairs):
-        pairs = candidates(members, parts, near)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs) if candidates is unresolved_pairs else judged(pairs)
+    state = Links(docs, near, doc_id, text)
+    state.confirm(state.judged(nearest_hub(members)))
+    for place in range(BEST_ROUNDS):
+        state.confirm(best_partners(apart(members, state.parts).filter(F.col("n") > SMALL_BAND), near, place))
+    state.confirm(small_band_pairs(apart(members.filter(F.col("n") <= SMALL_BAND), state.parts), near))
+    blocks = settle(plausible_blocks(apart(members, state.parts).filter(F.col("n") > SMALL_BAND), near))
+    if not blocks.isEmpty():
+        state.merge(settle(links_of_blocks(blocks, state.sets_of(blocks.select("node")))))
+    return labelled(rows, classes, state.parts)
+
+
+class Links:
+    """What the rounds have found: full sets read so far, pairs tested, components (node, component)."""
+
+    def __init__(self, docs: DataFrame, near: DataFrame, doc_id: str, text: str) -> None:
+        self.docs, self.near, self.doc_id, self.text = docs, near, doc_id, text
+        self.sets: DataFrame | None = None
+        self.tested: DataFrame | None = None
+        self.parts: DataFrame | None = None
+
+    def judged(self, pairs: DataFrame) -> DataFrame:
+        marks = self.near.select("node", F.struct("n_shingles", "bits").alias("m"))
+        side = lambda c: marks.select(F.col("node").alias(c), F.col("m").alias(f"m{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(plausible("ma", "mb")).select("a", "b")
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(node, set) of the wanted nodes at least; those read before are not read again."""
+        ends = wanted.select("node").distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets, "node", "left_anti")
+        missing = settle(self.near.select("node", "doc_id", "key_hi", "key_lo").join(ends, "node"))
+        if not missing.isEmpty():
+            found = full_sets(self.docs, missing, self.doc_id, self.text)
+            self.sets = found if self.sets is None else self.sets.union(found)
+        return self.sets
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Test the pairs that have not been tested yet on their full sets, and merge the components that they link."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs)
         if pairs.isEmpty():
-            continue
-        sets = sets_of(pairs, sets)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = confirmed(pairs, sets)
-        if not links.isEmpty():
-            # components so far are stars, so each round only merges what its links connect
-            edges = links if parts is None else links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
-            parts = settle(connected_components(edges))
-    return labelled(rows, classes, parts)
-
-
-def nearest_hub(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
+            return
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        sets = self.sets_of(ends)
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self.merge(confirmed(pairs, sets))
+
+    def merge(self, links: DataFrame) -> None:
+        if links.isEmpty():
+            return
+        # components so far are stars, so each round only merges what its links connect
+        stars = None if self.parts is None else self.parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        self.parts = settle(connected_components(links if stars is None else links.union(stars)))
+
+
+def nearest_hub(members: DataFrame) -> DataFrame:
     """Each node with the smallest node that it shares a band with."""
     return members.filter("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
 
 
-def with_parts(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Add c, the component of the node under the links so far."""
+def apart(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members of the bands that hold several components: key, node, n, c (component) and main (the key's most frequent one)."""
     if parts is None:
-        return members.withColumn("c", F.col("node"))
-    return members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        own = members.withColumn("c", F.col("node"))
+    else:
+        own = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    counts = own.groupBy("key", "c").agg(F.count("*").alias("k"))
+    several = counts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    return settle(own.join(several.select("key", F.col("most.c").alias("main")), "key").select("key", "node", "n", "c", "main"))
+
+
+def equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of equal minima bits of all rows of ``a`` with all rows of ``b``."""
+    x = a[:, None, :] ^ b[None, :, :]
+    return HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(MASK)).sum(axis=2, dtype=np.int32)
+
+
+def bits_of(rows: pa.Table) -> np.ndarray:
+    return rows.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LONGS).view(np.uint64)
 
 
-def other_hubs(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
-    """Each node with the smallest node of every band whose component it is not in."""
-    own = settle(with_parts(members, parts))
-    main = own.filter("node = hub").select("key", F.col("c").alias("main"))
-    return own.join(main, "key").filter("c <> main").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+def possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix) for some rows of ``x`` at a time: equal bits with the rows of ``y``, 0 where the components are the
+    same or the similarity is ruled out."""
+    for at in range(0, len(x["node"]), ROWS_AT_ONCE):
+        part = {n: v[at : at + ROWS_AT_ONCE] for n, v in x.items()}
+        small, large = np.minimum(part["n"][:, None], y["n"]), np.maximum(part["n"][:, None], y["n"])
+        equal = equal_bits(part["bits"], y["bits"])
+        equal[(part["c"][:, None] == y["c"]) | (100 * small < PERCENT * large) | (equal < least_matches())] = 0
+        yield at, equal
 
 
-def unresolved_pairs(members: DataFrame, parts: DataFrame | None, near: DataFrame) -> DataFrame:
-    """Plausible pairs of a band that the links so far do not connect.
+def columns_of(rows: pa.Table) -> dict[str, np.ndarray]:
+    return {n: rows.column(n).to_numpy() for n in ("node", "c")} | {"n": rows.column("n_shingles").to_numpy(), "bits": bits_of(rows)}
 
-    Such a pair has a node outside the component of the band's smallest node, so only those nodes meet the band's
-    others. Large bands are cut into blocks; a task compares two blocks.
+
+def best_partners(open_members: DataFrame, near: DataFrame, place: int) -> DataFrame:
+    """Pairs (a, b) of nodes outside their band's main component with the best estimate among the others of one band.
+
+    Each such node asks in its largest band (``place`` 0) or a smaller one, so it has one pair at most. A band is cut into
+    blocks by hash, and a node sees its own block only: this round only saves work, later ones find what it misses.
     """
-    own = settle(with_parts(members, parts))
-    main = own.filter("node = hub").select("key", F.col("c").alias("main"))
-    open_keys = own.join(main, "key").groupBy("key", "main").agg(F.max((F.col("c") != F.col("main")).cast("int")).alias("x")).filter("x = 1")
-    rows = own.join(open_keys.select("key", "main"), "key").join(near.select("node", F.struct("n_shingles", "bits", "bands").alias("m")), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.filter("c <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.struct("node", "c", "m.*").alias("x"))
-    right = rows.select("key", every.alias("i"), F.col("block").alias("j"), (F.col("c") == F.col("main")).alias("is_main"), F.struct("node", "c", "m.*").alias("y"))
-    apart = (F.col("x.c") != F.col("y.c")) & (F.col("is_main") | (F.col("x.node") < F.col("y.node")))
+    by_size = Window.partitionBy("node").orderBy(F.desc("n"), "key")
+    asks = open_members.filter("c <> main").withColumn("place", F.row_number().over(by_size)).filter(F.col("place") == place + 1)
+    asks = settle(asks.select("key", "node", F.lit(True).alias("asks")))
+    rows = open_members.join(asks.select("key").distinct(), "key").join(asks, ["key", "node"], "left").join(near.select("node", "n_shingles", "bits"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BEST_BLOCK)))
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        asking = group.filter(group.column("asks"))  # null: does not ask
+        x, y = columns_of(asking), columns_of(group)
+        pairs = []
+        for at, equal in possible(x, y):
+            partner = equal.argmax(axis=1)
+            found = equal[np.arange(len(partner)), partner] > 0
+            pairs.append(np.stack([x["node"][at : at + len(partner)][found], y["node"][partner[found]]], axis=1))
+        pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+        return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-1)})
+
+    return rows.select("key", "block", "node", "c", "asks", "n_shingles", "bits").groupBy("key", "block").applyInArrow(best, "a long, b long").distinct()
+
+
+def small_band_pairs(open_members: DataFrame, near: DataFrame) -> DataFrame:
+    """Plausible pairs of different components in bands of at most SMALL_BAND nodes.
+
+    Such a pair has a node outside the band's main component, so only those nodes meet the band's others.
+    """
+    rows = open_members.join(near.select("node", F.struct("n_shingles", "bits", "bands").alias("m")), "node")
+    left = rows.filter("c <> main").select("key", F.struct("node", "c", "m.*").alias("x"))
+    right = rows.select("key", (F.col("c") == F.col("main")).alias("is_main"), F.struct("node", "c", "m.*").alias("y"))
+    different = (F.col("x.c") != F.col("y.c")) & (F.col("is_main") | (F.col("x.node") < F.col("y.node")))
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == left.key  # a pair counts in one of its bands
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & apart & plausible("x", "y") & first)
+    met = left.join(right, (left.key == right.key) & different & plausible("x", "y") & first)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def plausible_blocks(open_members: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, i, j, side, node, c): nodes of two blocks of a band that have a plausible partner in the other block."""
+    rows = open_members.join(near.select("node", "n_shingles", "bits"), "node")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    what = ["node", "c", "n_shingles", "bits"]
+    left = rows.filter("c <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("side"), *what)
+    right = rows.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("side"), *what)
+
+    def meet(group: pa.Table) -> pa.Table:
+        sides = [group.filter(group.column("side")), group.filter(pc.invert(group.column("side")))]
+        x, y = map(columns_of, sides)
+        keep = [np.zeros(len(x["node"]), bool), np.zeros(len(y["node"]), bool)]
+        for at, equal in possible(x, y) if len(y["node"]) else ():
+            keep[0][at : at + len(equal)] = (equal > 0).any(axis=1)
+            keep[1] |= (equal > 0).any(axis=0)
+        return pa.concat_tables([t.filter(pa.array(k)) for t, k in zip(sides, keep)]).select(["key", "i", "j", "side", "node", "c"])
+
+    return left.union(right).groupBy("key", "i", "j").applyInArrow(meet, "key long, i int, j int, side boolean, node long, c long")
+
+
+def links_of_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect the components of two blocks, as few as do so."""
+
+    def connect(group: pa.Table) -> pa.Table:
+        x, y = group.filter(group.column("side")), group.filter(pc.invert(group.column("side")))
+        return pa.table(dict(zip("ab", connecting(*(side_of(t) for t in (x, y))))), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    with_sets = blocks.join(sets.select("node", "set"), "node")
+    return with_sets.select("key", "i", "j", "side", "node", "c", "set").groupBy("key", "i", "j").applyInArrow(connect, "a long, b long")
+
+
+def side_of(rows: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
+    return rows.column("node").to_pylist(), rows.column("c").to_pylist(), [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("set")]
+
+
+def connecting(x: tuple, y: tuple) -> tuple[list[int], list[int]]:
+    """Links between nodes of both sides by their full sets, leaving out those between components linked already."""
+    a, b, parent = [], [], {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sizes = np.array([len(s) for s in y[2]], np.int64)
+    if not len(sizes) or not x[0]:
+        return a, b
+    known, numbers = np.unique(np.concatenate(y[2]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    for node, c, own in zip(*x):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        held = np.zeros(len(known), np.int32)
+        held[at[known[at] == own]] = 1
+        common = np.add.reduceat(held[numbers], starts)
+        for k in np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common)).tolist():
+            one, other = root(c), root(y[1][k])
+            if one != other:
+                parent[one] = other
+                a.append(min(node, y[0][k]))
+                b.append(max(node, y[0][k]))
+    return a, b
+
+
 def labelled(rows: DataFrame, classes: DataFrame, parts: DataFrame | None) -> DataFrame:
     if parts is None:
         named = classes.select("key_hi", "key_lo", F.col("least_id").alias("component_id"))
