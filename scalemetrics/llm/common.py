@@ -54,14 +54,6 @@ def of_worker(key: Hashable, make: Callable[[], T]) -> T:
     return _states[key]
 
 
-def arrow_of_texts(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of whole texts small: memory follows the longest texts, not the number of rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return df
-
-
 def text_bytes(text: str | Column = "text") -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

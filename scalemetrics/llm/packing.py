@@ -10,6 +10,7 @@ random, so every group sees the same mix of lengths and wastes at most a few seq
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import arrow_of_texts, table, text_bytes
+from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes
 from scalemetrics.llm.pretokens import UNUSUAL, ChunkEncoder, Memo
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
@@ -38,17 +39,18 @@ def token_pieces(
     documents longer than a sequence are cut. Null and empty texts give one piece that holds ``end_id`` alone.
     ``tokenizer_json`` is the content of a lower-case word-end BPE tokenizer file; ids equal the library's.
     """
-    # lives as long as the Python worker, so chunks are looked up across its tasks
-    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json})
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    worker_key = ("packing", hashlib.sha256(tokenizer_json.encode()).digest(), memo)
+
+    def tools() -> tuple[ChunkEncoder, Memo]:
+        made = ChunkEncoder(shared.value, cased=False)
+        return made, Memo(lambda c: np.array(made.chunk(c), "<u4").tobytes(), memo)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = shared.value
-        if "encoder" not in state:
-            state["encoder"] = encoder = ChunkEncoder(state["json"], cased=False)
-            state["memo"] = Memo(lambda c: np.array(encoder.chunk(c), "<u4").tobytes(), memo)
-        encoder, lookup = state["encoder"], state["memo"].__getitem__
+        encoder, known = of_worker(worker_key, tools)
+        lookup = known.__getitem__
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[list] = [[], [], [], [], [], []]
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if UNUSUAL.search(raw):
@@ -65,7 +67,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return arrow_of_texts(docs).select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

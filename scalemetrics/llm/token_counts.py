@@ -8,6 +8,7 @@ No chunk is shuffled: the counting is one pass over the documents.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import arrow_of_texts, table, text_bytes
+from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes
 from scalemetrics.llm.pretokens import UNUSUAL, ChunkEncoder, Memo
 from scalemetrics.llm.registry import query
 
@@ -38,23 +39,31 @@ def chunks(text: bytes) -> list[bytes]:
     return [first, *[b" " + r for r in rest]]
 
 
-def frequent_chunks(docs: DataFrame, tokenizer_json: str, size: int, sample_docs: int, sample_chars: int, text: str = "text") -> dict[bytes, int]:
-    """Numbers of tokens of the most frequent chunks in the beginnings of a bounded number of documents.
+def frequent_chunks(docs: DataFrame, tokenizer_json: str, size: int, text: str = "text") -> dict[bytes, int]:
+    """Numbers of tokens of the ``size`` most frequent chunks of at most 64 bytes in all documents.
 
-    The table only saves time; no count depends on it. At most ``sample_docs`` * ``sample_chars`` characters come to
-    the driver, and the table holds at most ``size`` chunks of at most 64 bytes.
+    Each task counts the chunks of all its texts in a bounded table (a full one keeps its most frequent half) and hands on its
+    ``2 * size`` most frequent ones. The table only saves time; no count depends on it.
     """
-    begin = F.substring(F.col(text), 1, sample_chars)
-    seen: Counter[bytes] = Counter()
-    for row in docs.select(text_bytes(begin).alias("t")).take(sample_docs):
-        seen.update(chunks(bytes(row.t)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in few_rows(batches):
+            for t in batch.column(0):
+                seen.update(chunks(t.as_py()))
+            if len(seen) > 16 * size:
+                seen = Counter(dict(seen.most_common(8 * size)))
+        top = [(c, n) for c, n in seen.most_common(2 * size) if len(c) <= 64]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
+
+    counted = docs.select(text_bytes(text).alias("t")).mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     encoder = ChunkEncoder(tokenizer_json, cased=True)
-    return {c: len(encoder.whole(c) if UNUSUAL.search(c) else encoder.chunk(c)) for c, _ in seen.most_common(size) if len(c) <= 64}
+    top = (bytes(r.chunk) for r in counted.orderBy(F.desc("n"), "chunk").limit(size).collect())
+    return {c: len(encoder.whole(c) if UNUSUAL.search(c) else encoder.chunk(c)) for c in top}
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer_json: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text",
-    frequent: int = 32_768, sample_docs: int = 2_048, sample_chars: int = 4_096, memo: int = 300_000,
+    docs: DataFrame, tokenizer_json: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", frequent: int = 32_768, memo: int = 300_000,
 ) -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -62,19 +71,19 @@ def count_tokens(
     count as empty: 0 bytes, 0 tokens. Null ids stay null; repeated rows are counted each. Memory per worker is
     bounded by ``frequent`` + ``memo`` chunks of at most 64 bytes and one batch of texts.
     """
-    spark = docs.sparkSession
-    first = frequent_chunks(docs, tokenizer_json, frequent, sample_docs, sample_chars, text)
-    # the broadcast value lives as long as the Python worker: its memo serves all tasks of the worker
-    shared = spark.sparkContext.broadcast({"json": tokenizer_json, "keys": list(first), "lengths": bytes(min(n, 255) for n in first.values())})
+    first = frequent_chunks(docs, tokenizer_json, frequent, text)
+    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json, "keys": list(first), "lengths": bytes(min(n, 255) for n in first.values())})
+    key = uuid.uuid4().hex
+
+    def tools() -> tuple[ChunkEncoder, Memo]:
+        made = ChunkEncoder(shared.value["json"], cased=True)
+        known = {c: n for c, n in zip(shared.value["keys"], shared.value["lengths"]) if n < 255}
+        return made, Memo(lambda c: len(made.chunk(c)), memo, known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = shared.value
-        if "encoder" not in state:
-            state["encoder"] = encoder = ChunkEncoder(state["json"], cased=True)
-            known = dict(zip(state["keys"], state["lengths"]))
-            state["memo"] = Memo(lambda c: len(encoder.chunk(c)), memo, {c: n for c, n in known.items() if n < 255})
-        encoder, lookup = state["encoder"], state["memo"].__getitem__
-        for batch in batches:
+        encoder, known = of_worker(key, tools)
+        lookup = known.__getitem__
+        for batch in few_rows(batches):
             n_bytes, n_tokens = [], []
             for t in batch.column(1).to_pylist():
                 n_bytes.append(len(t))
@@ -84,7 +93,7 @@ def count_tokens(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    source = arrow_of_texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
     return source.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
