@@ -67,13 +67,43 @@ def ks_p_value(statistic: Column, n1: Column, n2: Column, terms: int = 20) -> Co
     return F.when(t < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
+def log_gamma_step(x: Column, shift: int = 20) -> Column:
+    """ln(Gamma(x + 1/2) / Gamma(x)) for x > 0: ``shift`` steps of the recurrence, then the asymptotic series."""
+    up = F.aggregate(F.sequence(F.lit(0), F.lit(shift - 1)), F.lit(0.0), lambda s, k: s + F.log((x + k) / (x + k + 0.5)))
+    z = x + shift
+    series = 0.5 * F.log(z) - 1 / (8 * z) + 1 / (192 * z * z * z) - 1 / (640 * z * z * z * z * z)
+    return up + series
+
+
+def beta_fraction(a: Column, b: Column, x: Column, terms: int = 600) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated from its beginning (Lentz)."""
+
+    def step(state: Column, k: Column) -> Column:
+        m = F.ceil(k / 2)
+        odd, even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)), (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        q = F.when(k % 2 == 1, odd).otherwise(-even)
+        d, c = 1 / (1 + q * state["d"]), 1 + q / state["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (state["h"] * d * c).alias("h"))
+
+    first = 1 / (1 - (a + b) * x / (a + 1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step)["h"]
+
+
 def pearson_p_value(r: Column, n: Column) -> Column:
-    """Two-sided p of a correlation, normal limit of the t statistic (large samples)."""
-    from scalemetrics.functions.normal import normal_cdf
+    """Two-sided p of a correlation of ``n`` pairs: the t statistic's tail, an incomplete beta function of 1 - r^2.
 
-    one_minus = 1 - r * r
-    z = F.when(one_minus > 0, F.abs(r) * F.sqrt((n - 2) / F.when(one_minus > 0, one_minus)))
-    return F.when(z.isNull(), F.lit(0.0)).otherwise(2 * normal_cdf(-z))
+    NULL below three pairs or without r; 0 for a perfect correlation.
+    """
+    a, square = (n - 2) / 2.0, r * r
+    x = 1 - square
+    usable = (n > 2) & (square > 0) & (x > 0)
+    # what is not usable must not reach a logarithm or a quotient
+    a, square, x = (F.when(usable, c) for c in (a, square, x))
+    front = F.exp(a * F.log(x) + 0.5 * F.log(square) + log_gamma_step(a) - 0.5 * math.log(math.pi))
+    near = x < (a + 1) / (a + 2.5)
+    tail = F.when(near, front * beta_fraction(a, F.lit(0.5), x) / a).otherwise(1 - 2 * front * beta_fraction(F.lit(0.5), a, square))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))
+    return F.when((n > 2) & r.isNotNull(), F.when(usable, p).when(r * r > 0, F.lit(0.0)).otherwise(F.lit(1.0)))
 
 
 def spearman_brown(k: int | Column, r_bar: Column) -> Column:

@@ -2,18 +2,18 @@
 
 A mask depends only on the row's hash, so there is no shuffle and a retried task
 draws the same mask.  One Arrow function takes the 8-byte hash of each row and
-returns the kept items as 8 bytes of flags, vectorised over the batch: sorting some
+returns the kept items as a few words of flags, vectorised over the batch: sorting some
 hundred draws per row with array expressions costs about twenty times as much.
 Answers never leave the JVM; they are blanked by comparing flags.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ BUCKETS = ((2, 10, 20), (4, 21, 35), (4, 36, 50))
 # Draws 1..5 of a row decide counts and kinds; then come one per domain for the order of
 # the domains, one per domain for the items inside it, and two per item.
 N_SCALAR = 5
-MAX_ITEMS = 62  # flags of a row fit one long
+FLAGS = 62  # per word of a row's flags
 
 
 def bucket_shares(short_form: bool, with_imbalanced: bool) -> tuple[float, ...]:
@@ -120,33 +120,39 @@ class MaskDraws:
         return out
 
 
-def kept_flags(hashes: Column, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan) -> Column:
-    """Bit n - 1 of the result tells whether item number n stays answered."""
-    if spec.n_items > MAX_ITEMS:
-        raise ValueError(f"masks support up to {MAX_ITEMS} items, the scale has {spec.n_items}")
+def drawn_by(spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan) -> Callable[[np.ndarray], np.ndarray]:
+    """Function from the hashes of some rows to their masks (rows x items, true: stays answered)."""
     rank_of = np.array([ranks[i] for i in spec.items], dtype=np.int64)
     short = np.array([i in spec.short_items for i in spec.items])
-    bits = np.left_shift(np.int64(1), np.arange(spec.n_items, dtype=np.int64))
     n_domains = len(spec.domains)
     shares = bucket_shares(plan.short_form and bool(spec.short_items), plan.with_imbalanced)
-
     lo = plan.lo if plan.lo is not None else 20 if plan.balanced else 8
     hi = plan.hi if plan.hi is not None else 40
 
-    @F.pandas_udf("bigint")
-    def flags(h: pd.Series) -> pd.Series:
-        d = MaskDraws(h.to_numpy(), rank_of, n_domains)
+    def draw(hashes: np.ndarray) -> np.ndarray:
+        d = MaskDraws(hashes, rank_of, n_domains)
         if plan.only_imbalanced:
-            keep = d.imbalanced()
-        elif plan.focused:
-            keep = d.bucketed(shares, short)
-        elif plan.balanced:
-            keep = d.balanced(plan.per_domain, lo, min(hi, len(rank_of)))
-        else:
-            keep = d.weighted(lo, hi)
-        return pd.Series(keep.astype(np.int64) @ bits)
+            return d.imbalanced()
+        if plan.focused:
+            return d.bucketed(shares, short)
+        return d.balanced(plan.per_domain, lo, min(hi, len(rank_of))) if plan.balanced else d.weighted(lo, hi)
+
+    return draw
+
+
+def kept_flags(hashes: Column, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan) -> Column:
+    """Words of FLAGS flags each: bit b of word w tells whether item number w * FLAGS + b + 1 stays answered."""
+    draw, n_words = drawn_by(spec, ranks, plan), -(-spec.n_items // FLAGS)
+    bits = np.zeros((spec.n_items, n_words), np.int64)
+    number = np.arange(spec.n_items)
+    bits[number, number // FLAGS] = np.left_shift(np.int64(1), number % FLAGS)
+
+    def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for h in batches:
+            words = draw(h.to_numpy()).astype(np.int64) @ bits
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * n_words, pa.int32()), pa.array(words.ravel()))
 
-    return flags(hashes)
+    return F.arrow_udf(flags, "array<bigint>")(hashes)
 
 
 def with_mask(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], plan: MaskPlan, key: str = "respondent_id", seed: int | Column = 42) -> DataFrame:
@@ -155,7 +161,8 @@ def with_mask(df: DataFrame, spec: ScaleSpec, ranks: Mapping[str, int], plan: Ma
 
 
 def is_kept(spec: ScaleSpec, item: str) -> Column:
-    return F.col("kept").bitwiseAND(F.lit(1 << (spec.item_no[item] - 1))) != 0
+    word, bit = divmod(spec.item_no[item] - 1, FLAGS)
+    return F.get("kept", F.lit(word)).bitwiseAND(F.lit(1 << bit)) != 0
 
 
 def apply_mask(df: DataFrame, spec: ScaleSpec) -> DataFrame:
@@ -189,4 +196,4 @@ def kept_names(spec: ScaleSpec) -> Column:
 
 
 def n_kept() -> Column:
-    return F.bit_count("kept")
+    return F.aggregate("kept", F.lit(0), lambda n, word: n + F.bit_count(word))

@@ -70,7 +70,7 @@ def model_predictions(df: DataFrame, spec: ScaleSpec, predicted: Mapping[tuple[s
         for d in spec.domains
         if (d, "q50") in predicted
     ]
-    keep = [c for c in ("respondent_id", "split", "split_stratum", "mask_id") if c in df.columns]
+    keep = [c for c in ("respondent_id", "split", "split_stratum", "mask_id", "fold") if c in df.columns]
     return to_percentile_rows(df.select(*keep, F.inline(F.array(*rows))), norms)
 
 

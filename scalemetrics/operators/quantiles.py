@@ -61,31 +61,45 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[flo
     return found.select(*keys, "prob", (F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__f")).alias("value"))
 
 
+HASH_BITS, RANGE_BITS = 60, 12
+MOST_IN_RANGE = 100_000
+
+
 def hash_ranges(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """(keys..., range, count): how many rows fall in each of 4096 equal ranges of a 60-bit hash."""
+    """(keys..., range, count): how many rows fall in each of 2^RANGE_BITS equal ranges of a 60-bit hash."""
     return df.groupBy(*keys, hash_range(order).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
 
 
-def hash_range(order: Column) -> Column:
-    return F.shiftright(order, 48).cast("int")
+def hash_range(order: Column, bits: int = RANGE_BITS) -> Column:
+    return F.shiftright(order, HASH_BITS - bits)
 
 
-def rank_cuts(df: DataFrame, keys: list[str], order: Column, tie: str, ranges: DataFrame, quotas: DataFrame) -> DataFrame:
+def rank_cuts(df: DataFrame, keys: list[str], order: Column, tie: str, ranges: DataFrame, quotas: DataFrame, most: int = MOST_IN_RANGE) -> DataFrame:
     """The row that closes each quota when rows are ordered by (hash, tie) inside their keys.
 
     ``ranges`` comes from ``hash_ranges`` and ``quotas`` has (keys..., cut, quota).
-    The counts locate the range that holds the quota; only the rows of that range
-    (about 1/4096 of a key) are ranked.  Returns (keys..., cut, cut_hash, cut_id);
-    a quota of zero gives no row.
+    The counts locate the range that holds the quota. As long as the largest range has more than ``most`` rows, the located
+    ranges are counted again in finer ones; then only the rows of the last ranges are ranked, however many a key has. Returns
+    (keys..., cut, cut_hash, cut_id); a quota of zero gives no row.
     """
     upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     cumulative = ranges.withColumn("__cum", F.sum("__c").over(upto)).withColumn("__before", F.col("__cum") - F.col("__c"))
     located = settle(quotas.join(cumulative, keys).filter("quota > __before AND quota <= __cum"))
-    hashed = df.select(*keys, order.alias("__h"), F.col(tie).alias("__id"), hash_range(order).alias("__b"))
+    hashed, bits = df.select(*keys, order.alias("__h"), F.col(tie).alias("__id")), RANGE_BITS
+
+    def of_located(rows: DataFrame, bits: int) -> DataFrame:
+        return rows.withColumn("__b", hash_range(F.col("__h"), bits)).join(located.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
+
+    while bits < HASH_BITS and (located.agg(F.max("__c")).first()[0] or 0) > most:
+        finer = min(HASH_BITS, bits + RANGE_BITS)
+        counts = of_located(hashed, bits).groupBy(*keys, "__b", hash_range(F.col("__h"), finer).alias("__f")).agg(F.count(F.lit(1)).alias("__n"))
+        inside = Window.partitionBy(*keys, "__b").orderBy("__f").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("__to", F.sum("__n").over(inside))
+        found = located.join(counts, [*keys, "__b"]).filter("quota > __before + __to - __n AND quota <= __before + __to")
+        located = settle(found.select(*keys, "cut", "quota", F.col("__f").alias("__b"), F.col("__n").alias("__c"), (F.col("__before") + F.col("__to") - F.col("__n")).alias("__before")))
+        bits = finer
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", "__id")
-    ranked = hashed.join(located.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi").withColumn(
-        "__rn", F.row_number().over(inside)
-    )
+    ranked = of_located(hashed, bits).withColumn("__rn", F.row_number().over(inside))
     return (
         located.join(ranked, [*keys, "__b"]).filter("__before + __rn = quota")
         .select(*keys, "cut", F.col("__h").alias("cut_hash"), F.col("__id").alias("cut_id"))

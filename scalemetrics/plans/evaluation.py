@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.functions.stats import null_if_nan, r6
+from scalemetrics.functions.stats import safe_corr, null_if_nan, r6
 from scalemetrics.operators import compare, evaluate, strata
 from scalemetrics.plans.itemstats import rounded
 from scalemetrics.plans.registry import query
@@ -50,6 +50,14 @@ def rounded_sql(names: list[str]) -> str:
     return ", ".join(f"{sr6(n)} AS {n}" for n in names)
 
 
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation from the finite series of the t distribution with whole degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + k * ln(1 - {r} * {r}))))"
+    odd = f"""2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2),
+        lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(1 - {r} * {r})))), 0))"""
+    return f"CASE WHEN {n} > 2 THEN CASE WHEN abs({r}) >= 1 THEN 0 ELSE greatest(0, 1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END) END END"
+
+
 ACCURACY = ["pearson_r", "mae", "rmse", "mean_error", "within_3_pct", "within_5_pct", "within_10_pct"]
 INTERVALS = ["coverage_90", "coverage_central", "coverage_tail", "mean_interval_width", "std_interval_width"]
 RAW = ["raw_pearson_r", "raw_mae", "raw_rmse"]
@@ -63,7 +71,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a13_accuracy_by_domain", sql(
-    f"SELECT method, m.domain, n, {rounded_sql(ACCURACY)}, {sr6('md')} AS median_error, p < 0.000001 AS significant FROM (SELECT *, 0 AS p FROM ({metric_sql(ACCURACY)}) WHERE domain <> 'overall') m JOIN (SELECT method AS m2, domain AS d2, median(true_pct - pred) AS md FROM pred GROUP BY ALL) ON m2 = method AND d2 = m.domain",
+    f"SELECT method, m.domain, n, {rounded_sql(ACCURACY)}, {sr6('md')} AS median_error, p < 0.000001 AS significant FROM (SELECT *, {p_sql('pearson_r', 'n')} AS p FROM ({metric_sql(ACCURACY)}) WHERE domain <> 'overall') m JOIN (SELECT method AS m2, domain AS d2, median(true_pct - pred) AS md FROM pred GROUP BY ALL) ON m2 = method AND d2 = m.domain",
     "pred"))
 def a13(spark: SparkSession, sf: str) -> DataFrame:
     pred = predictions(spark, sf)
@@ -72,6 +80,17 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, *ACCURACY, "median_error").withColumn("significant", F.col("p_value") < 1e-6).drop("p_value")
 
 
+@query("a13_error_trend", sql(
+    f"""SELECT method, domain, split_stratum, n, {sr6('r')} AS pearson_r, {sr6(p_sql('r', 'n'))} AS p_value FROM
+    (SELECT method, domain, CAST(stratum AS VARCHAR) AS split_stratum, count(*) AS n, {corr('true_pct', 'e')} AS r
+     FROM (SELECT *, abs(true_pct - pred) AS e FROM pred JOIN st USING (rid)) GROUP BY ALL)""", "pred", "st"))
+def a13_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether errors grow with the true value: r and its p in every stratum, most of them small samples."""
+    pred = predictions(spark, sf).withColumn("e", F.abs(F.col("true") - F.col("pred")))
+    r = pred.groupBy("method", "domain", F.col("split_stratum").cast("string").alias("split_stratum")).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("true"), F.col("e")).alias("pearson_r"))
+    return rounded(evaluate.with_p_value(r), "pearson_r", "p_value")
+
+
 @query("a14_overall_metrics", sql(
     f"SELECT method, domain, n, {rounded_sql(ACCURACY + ['coverage_90'])} FROM ({metric_sql(ACCURACY + ['coverage_90'])})", "pred"))
 def a14(spark: SparkSession, sf: str) -> DataFrame:

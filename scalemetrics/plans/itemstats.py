@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from scalemetrics.plans.ingest import scratch
 from scalemetrics.plans.registry import query
 from scalemetrics.plans.sqlparts import corr, part, pct, r6 as sr6, row_hash, sql, values
 from scalemetrics.plans.tables import (
-    SPEC, clean, full_norms, item_pool, item_sums, selected, short_norms, sweep_cells,
+    SEED, SPEC, clean, full_norms, item_pool, item_sums, selected, short_norms, sweep_cells,
 )
 from scalemetrics.sources import artifacts
 
@@ -154,6 +156,36 @@ def s7_pool(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+FIRST_SQL = "SELECT item, home, info FROM pool ORDER BY (abs(skew) < 1 AND entropy > 1.3) DESC, CASE WHEN abs(skew) < 1 AND entropy > 1.3 THEN info END DESC NULLS LAST, rank LIMIT 1"
+
+
+@query("s7_item_info_artifact", sql(
+    f"""SELECT * FROM (SELECT 'first_item' AS part, item AS name, home AS text, NULL::DOUBLE AS value FROM ({FIRST_SQL})
+    UNION ALL SELECT 'inter_item_r_bar', domain, NULL, {sr6('r_bar')} FROM rbar UNION ALL SELECT 'provenance', 'seed', '{SEED}', NULL
+    UNION ALL SELECT 'item_pool', item, home, {sr6('own_r')} FROM pool) CROSS JOIN (SELECT 2 AS spellings)""", "pool", "rbar"))
+def s7_info(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole item document written in both spellings and read back by one reader."""
+    pool = item_pool(spark, sf).select(
+        F.col("item").alias("id"), "rank", "home_domain", F.col("own_r").alias("own_domain_r"),
+        F.col("info").alias("cross_domain_info"), "domain_correlations", "is_reverse_keyed",
+    )
+    first = items.first_item(item_pool(spark, sf)).select(F.col("item").alias("id"), F.lit("").alias("text"), F.col("home_domain").alias("domain"))
+    origin = spark.range(1).select(F.lit("seed").alias("name"), F.lit(str(SEED)).alias("value"))
+    info = artifacts.ItemInfo(pool, first, r_bars(spark, sf), origin)
+    parts = []
+    for camel in (False, True):
+        path = scratch(spark, sf, f"item-info-{camel}")
+        artifacts.write_item_info(info, path, camel)
+        back, number = artifacts.read_item_info(spark, path), F.lit(None).cast("double")
+        parts += [
+            back.first_item.select(F.lit("first_item").alias("part"), F.col("id").alias("name"), F.col("domain").alias("text"), number.alias("value")),
+            back.inter_item_r_bar.select(F.lit("inter_item_r_bar"), "domain", F.lit(None).cast("string"), r6(F.col("r_bar"))),
+            back.provenance.select(F.lit("provenance"), "name", "value", number),
+            back.item_pool.select(F.lit("item_pool"), "id", "home_domain", r6(F.col("own_domain_r"))),
+        ]
+    return reduce(DataFrame.union, parts).groupBy("part", "name", "text", "value").agg(F.count(F.lit(1)).cast("int").alias("spellings"))
+
+
 @query("j1_item_lookup", sql(
     f"SELECT rid AS respondent_id, {sr6('sum(x * own_r) / sum(own_r)')} AS weighted_mean FROM cl JOIN pool USING (item) GROUP BY rid", "cl", "pool"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,7 +69,7 @@ def mask_sql(rule: str, passes: int = 1, extra: str = "") -> str:
 
 def listed(df: DataFrame, *keys: str) -> DataFrame:
     names = masks.kept_names(SPEC)
-    return df.select("respondent_id", *keys, F.when(F.col("kept") != 0, names).alias("kept"), masks.n_kept().cast("bigint").alias("n_kept"))
+    return df.select("respondent_id", *keys, F.when(masks.n_kept() > 0, names).alias("kept"), masks.n_kept().cast("bigint").alias("n_kept"))
 
 
 def masked(spark: SparkSession, sf: str, plan: MaskPlan) -> DataFrame:

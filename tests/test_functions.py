@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scalemetrics.functions import draws, stats
 from scalemetrics.functions.normal import normal_cdf, with_normal_cdf
+from scalemetrics.functions.stats import pearson_p_value
 from scalemetrics.operators import scoring
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 
@@ -95,11 +96,31 @@ def test_exact_quantiles_match_numpy_on_skewed_data(spark):
     assert len(out) == 5
 
 
-def test_exact_quantiles_of_a_large_group_use_the_bracket(spark, monkeypatch):
+def test_exact_quantiles_of_a_large_group_use_the_bracket(spark):
     from scalemetrics.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 1000)
     x = np.concatenate([np.random.default_rng(6).lognormal(0, 3, 80_000), np.full(40_000, 2.5)])
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     out = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, [], "x", [0.05, 0.5, 0.77, 0.999]).collect()}
     assert {p: pytest.approx(np.quantile(x, p)) for p in out} == out and len(out) == 4
+
+
+@pytest.mark.parametrize("n, r", [(3, 0.5), (4, -0.9), (5, 0.1), (5, 0.95), (30, 0.3), (30, -0.02), (31, 0.7), (1000, 0.05), (1000, 0.0007), (100_000, 0.01)])
+def test_p_of_a_correlation_equals_the_integral_of_the_t_density(spark, n, r):
+    df = n - 2
+    t = abs(r) * math.sqrt(df / (1 - r * r))
+    constant = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    x = np.linspace(0, t, 200_001)
+    y = constant * (1 + x * x / df) ** (-(df + 1) / 2)
+    central = 2 * (x[1] - x[0]) * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) / 3
+    got = spark.range(1).select(pearson_p_value(F.lit(r), F.lit(n)).alias("p")).first()["p"]
+    assert got == pytest.approx(1 - central, abs=1e-8)
+
+
+def test_p_of_a_correlation_has_literal_values_and_edges(spark):
+    # fixed values: t tables (two-sided 0.05 at 3 and 28 degrees of freedom, 0.01 at 998)
+    for n, t, p in ((5, 3.182446, 0.05), (30, 2.048407, 0.05), (1000, 2.580765, 0.01)):
+        r = t / math.sqrt(n - 2 + t * t)
+        assert spark.range(1).select(pearson_p_value(F.lit(r), F.lit(n)).alias("p")).first()["p"] == pytest.approx(p, abs=1e-6)
+    edges = spark.createDataFrame([(1.0, 9), (-1.0, 9), (0.0, 9), (0.5, 2), (None, 9), (0.9, 2_000_000_000)], "r double, n long")
+    assert [x.p for x in edges.select(pearson_p_value(F.col("r"), F.col("n")).alias("p")).collect()] == [0.0, 0.0, 1.0, None, None, 0.0]

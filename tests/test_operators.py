@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from scalemetrics.operators import (
-    bootstrap, boosting, cleaning, compare, evaluate, integrity, items, masks, norms, requests, selection, sessions, strata, sweep,
+    bootstrap, cleaning, compare, evaluate, integrity, items, masks, norms, requests, selection, sessions, strata, sweep,
 )
 from scalemetrics.operators.masks import MaskPlan
 from scalemetrics.operators.sessions import PoolItem, Rules
+from scalemetrics.functions.draws import row_hash
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
+from scalemetrics.spec import ScaleSpec
 
 RANKS = {i: n for n, i in enumerate(SPEC.items, start=1)}
 
@@ -135,7 +137,7 @@ def test_too_few_answers_give_no_statistics(spark):
 def kept(spark, plan, n=4000, seed=42, parts=4):
     rows = spark.range(n).withColumnRenamed("id", "respondent_id").repartition(parts)
     out = masks.with_mask(rows, SPEC, RANKS, plan, seed=seed).toPandas()
-    out["kept"] = out["kept"].map(lambda bits: [n for n in range(1, 51) if bits >> (n - 1) & 1])
+    out["kept"] = out["kept"].map(lambda words: [n for n in range(1, 51) if words[0] >> (n - 1) & 1])
     return out
 
 
@@ -412,23 +414,6 @@ def test_selection_order_and_greedy_fallback(spark):
     assert at("short_form", 20) == set(SPEC.short_items) and at("random_42", 20) != at("random_43", 20)
 
 
-def test_boosting_lowers_the_loss_and_orders_quantiles(spark):
-    df, _ = wide(spark, 1500, missing=0.4, seed=8)
-    full, _ = wide(spark, 1500, seed=8)
-    rows = df.drop(*SPEC.scores).join(full.select("respondent_id", *SPEC.scores), "respondent_id")
-    models = boosting.fit_domains(
-        rows.withColumn("held", F.col("respondent_id") % 5 == 0), SPEC, boosting.BoostSettings(rounds=4, depth=3, rate=0.5), ("ext",), F.col("held")
-    )
-    for m in models.values():
-        losses = [h[1] for h in m.history]
-        assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:])) and losses[-1] < losses[0]
-    out, columns = boosting.predict_domains(rows, models, SPEC)
-    q05, q50, q95, r = out.agg(
-        F.avg(columns["ext", "q05"]), F.avg(columns["ext", "q50"]), F.avg(columns["ext", "q95"]), F.corr("ext_score", columns["ext", "q50"])
-    ).first()
-    assert q05 < q50 < q95 and r > 0.6
-
-
 def test_fingerprints_tell_separators_and_missing_fields_apart(spark):
     prints = []
     for row in (("x|y", "z"), ("x", "y|z"), (None, "z"), ("NULL", "z"), ("-", "z"), ("", "z")):
@@ -488,3 +473,30 @@ def test_targets_may_differ_by_domain(spark):
     unequal = dict.fromkeys(SPEC.domains, 2)
     assert reason(2) == reason(unequal) == "domain_coverage_met"
     assert reason(unequal | {"opn": 3}) == "continuing"
+
+
+def test_masks_of_scales_with_more_items_than_a_word_has_flags(spark):
+    spec = ScaleSpec(domains=("one", "two", "three", "four"), items_per_domain=30, reverse_keyed={})
+    ranks = {i: n for n, i in enumerate(spec.items, start=1)}
+    df = spark.range(500).withColumnRenamed("id", "respondent_id").withColumns({i: F.lit(3) for i in spec.items})
+    marked = masks.with_mask(df, spec, ranks, MaskPlan(lo=70, hi=110), seed=1)
+    out = masks.apply_mask(marked, spec).select("respondent_id", masks.n_kept().alias("n"), masks.kept_names(spec).alias("names"), F.array(*spec.items).alias("left")).collect()
+    draw = masks.drawn_by(spec, ranks, MaskPlan(lo=70, hi=110))
+    hashes = {r.respondent_id: r.h for r in df.select("respondent_id", row_hash(1, F.col("respondent_id")).alias("h")).collect()}
+    for r in out:
+        want = draw(np.array([hashes[r.respondent_id]]))[0]
+        assert 70 <= r.n <= 110 and r.n == want.sum()
+        assert r.names.split(",") == [i for i, k in zip(spec.items, want) if k] and [v is not None for v in r.left] == want.tolist()
+
+
+def test_rank_cuts_narrow_until_a_range_holds_few_rows(spark):
+    from scalemetrics.operators import quantiles
+
+    df = spark.range(1_000_000).select(F.col("id"), F.lit("all").alias("stratum"), row_hash(3, F.col("id")).alias("h"))
+    df = df.withColumn("h", F.when(F.col("id") < 50, F.lit(123_456_789)).otherwise(F.col("h"))).persist()
+    ordered = [r.id for r in df.orderBy("h", "id").collect()]
+    quotas = spark.createDataFrame([("all", n, q) for n, q in enumerate((1, 7, 30, 50, 51, 123_456, 999_999, 1_000_000))], "stratum string, cut int, quota long")
+    for most in (1_000_000, 1_000, 10):
+        got = quantiles.rank_cuts(df, ["stratum"], F.col("h"), "id", quantiles.hash_ranges(df, ["stratum"], F.col("h")), quotas, most=most).collect()
+        assert {r.cut: r.cut_id for r in got} == {r.cut: ordered[r.quota - 1] for r in quotas.collect()}, most
+    df.unpersist()

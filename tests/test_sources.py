@@ -77,3 +77,32 @@ def test_counted_write_and_split_pruning(spark, tmp_path):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     first = tables.read_table(spark, str(tmp_path / "t"), ["respondent_id"], first=3)
     assert [r[0] for r in first.orderBy("respondent_id").collect()] == [0, 1, 2]
+
+
+def test_item_documents_round_trip_in_both_spellings(spark, tmp_path):
+    pool = spark.createDataFrame(
+        [("ext1", 2, "ext", 0.5, 1.5, {"ext": 0.5, "agr": -0.1}, True), ("agr2", 1, "agr", 0.7, 2.5, {}, False)],
+        "id string, rank int, home_domain string, own_domain_r double, cross_domain_info double, domain_correlations map<string,double>, is_reverse_keyed boolean",
+    )
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    info = artifacts.ItemInfo(pool, one([("agr2", "I like \"people\"", "agr")], "id string, text string, domain string"), one([("ext", 0.25), ("agr", 0.3)], "domain string, r_bar double"), one([("sha", "ab"), ("at", "now")], "name string, value string"))
+    for camel in (False, True):
+        path = str(tmp_path / f"info-{camel}")
+        artifacts.write_item_info(info, path, camel)
+        back = artifacts.read_item_info(spark, path)
+        for part in ("item_pool", "first_item", "inter_item_r_bar", "provenance"):
+            want = getattr(info, part)
+            assert sorted(map(repr, getattr(back, part).select(want.columns).collect())) == sorted(map(repr, want.collect())), (part, camel)
+
+
+def test_item_documents_with_gaps_and_faults(spark, tmp_path):
+    (tmp_path / "gaps.json").write_text('{"item_pool": [{"id": "opn12", "rank": 1}], "first_item": {"id": "opn12"}, "interItemRBar": {"opn": 0.2}}')
+    back = artifacts.read_item_info(spark, str(tmp_path / "gaps.json"))
+    row = back.item_pool.first()
+    assert (row.home_domain, row.own_domain_r, row.cross_domain_info, row.is_reverse_keyed, row.domain_correlations) == ("opn", 0.0, 0.0, False, {})
+    assert tuple(back.first_item.first()) == ("opn12", "", "") and back.inter_item_r_bar.first().r_bar == 0.2 and back.provenance.count() == 0
+    (tmp_path / "none.json").write_text('{"first_item": {"id": "opn12"}}')
+    (tmp_path / "nan.json").write_text('{"itemPool": [{"id": "a1", "rank": 1, "ownDomainR": NaN}]}')
+    for name, message in (("none", "no pool"), ("nan", "finite")):
+        with pytest.raises(Exception, match=message):
+            artifacts.read_item_info(spark, str(tmp_path / f"{name}.json")).item_pool.collect()
