@@ -19,27 +19,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain calls toxic go."""
+    """Documents that the classifier chain calls toxic go.
+
+    Null and empty texts have no words, so the chain's bias decides and they stay; a table without labels rejects nothing. Repeated rows are
+    judged each; columns named like results stay the documents' own. An empty table stays empty.
+    """
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def within_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the fences of their language and source go."""
+    """Documents that fail the base rules or the fences of their language and source go.
+
+    Null, empty and short texts fail (fewer than 50 words); a null language or source is a group of its own; ties with a fence stay.
+    Repeated rows count and are judged each, and an empty table stays empty.
+    """
     return quality_rules.filter_documents(docs)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest id.
+
+    Texts without words and rows without id link with nothing and stay. Of rows that repeat the id that stays, the one with the smallest
+    checksum of its text stays, once. An empty table stays empty.
+    """
     return minhash.one_of_each_group(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
+    """Each document as many times as the mix of sources takes it.
+
+    A null source is a source, the last one; texts without words have size 0 and never come in. Equal rows share their draw and
+    are taken together; ties in rank are ordered by id and text. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their places in sequences."""
+    """Token pieces of the documents with their places in sequences.
+
+    Null and empty texts are one piece with the end id; null ids stay null; repeated rows are packed each. A text of any
+    length is cut into pieces of a sequence's capacity. An empty table gives no rows.
+    """
     return packing.packed_documents(docs, packing.word_tokenizer())
 
 
