@@ -242,8 +242,8 @@ def fit(rows: DataFrame, spec: ScaleSpec, jobs: list[Job]) -> Fitted:
             if not n_fit:  # nothing to learn from
                 active.remove(m)
                 continue
-            held = held_loss / n_held if n_held else None
-            fitted.history.append((m, n, loss / n_fit, held))
+            held = float(held_loss / n_held) if n_held else None
+            fitted.history.append((m, n, float(loss / n_fit), held))
             better = held is None or held < best[m]
             if better:
                 best[m], best_round[m] = np.inf if held is None else held, n
