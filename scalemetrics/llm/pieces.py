@@ -36,6 +36,7 @@ SPACE = "▁"
 REPLACEMENT = "�"
 
 NOT_IN_VOCABULARY = -1
+NEVER = float("-inf")
 MEMO_CHUNKS, MEMO_PAIRS = 300_000, 1_000_000
 
 
@@ -111,12 +112,13 @@ class Encoder:
         import ahocorasick
 
         self.v, self.ids = vocabulary, vocabulary.normal
+        self.score_of = {p: vocabulary.scores[i] for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.memo = Memo(lambda chunk: np.array(self.chunk(chunk.decode("utf-8", "replace").replace(" ", SPACE)), "<u4").tobytes(), memo)
+        self.memo = Memo(self.packed_chunk, memo)
         spaces_inside = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = rb"\n" if not any("\n" in p for p in self.ids) else rb""
         # the places where no piece can reach across; without them a text is one chunk
@@ -143,42 +145,62 @@ class Encoder:
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            alone = before == NOT_IN_VOCABULARY
-            known = self.merged(("" if alone else self.v.pieces[before]) + self.v.pieces[piece]) == ([piece] if alone else [before, piece])
-            self.pairs[key] = known
+            left = "" if before == NOT_IN_VOCABULARY else self.v.pieces[before]
+            known = self.pairs[key] = self.stays_apart(left, self.v.pieces[piece])
         return known
 
+    def stays_apart(self, left: str, right: str) -> bool:
+        """Whether no merge crosses from ``left`` to ``right`` and both become one piece; ends at the first merge that does."""
+        parts, score = list(left + right), self.score_of.get
+        gains = [score(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        border = len(left)
+        while gains and (best := max(gains)) > NEVER:
+            at = gains.index(best)
+            if at == border - 1:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], NEVER)
+            border -= at < border
+        return parts == ([left, right] if left else [right])
+
     def last_tokens(self, chunk: str) -> tuple[list[int], list[int]]:
-        """For every prefix of the chunk its last token and where that begins; index 0 is the empty prefix."""
-        last, begins = [NOT_IN_VOCABULARY], [0]
-        fits = self.fits
+        """For every prefix of the chunk its last token and where that begins; index 0 is the empty prefix.
+
+        A prefix that no piece ends keeps NOT_IN_VOCABULARY and begins nowhere (-1): its last character joins nothing.
+        """
+        last, begins = [NOT_IN_VOCABULARY] * (len(chunk) + 1), [-1] * (len(chunk) + 1)
+        known, size = self.pairs.get, len(self.v.pieces)
         for end, (piece, length) in self.automaton.iter(chunk):
-            n = end + 1
-            if len(last) > n:
-                continue  # the one token has been found
-            while len(last) < n:  # no piece ends there: a character outside the vocabulary
-                begins.append(len(last) - 1)
-                last.append(NOT_IN_VOCABULARY)
-            if fits(last[n - length], piece):
-                begins.append(n - length)
-                last.append(piece)
-        while len(last) <= len(chunk):
-            begins.append(len(last) - 1)
-            last.append(NOT_IN_VOCABULARY)
+            end += 1
+            if begins[end] < 0:  # else the one token has been found
+                start = end - length
+                before = last[start]
+                fits = known((before + 1) * size + piece)
+                if fits or (fits is None and self.fits(before, piece)):
+                    last[end], begins[end] = piece, start
         return last, begins
 
     def chunk(self, chunk: str) -> list[int]:
         last, begins = self.last_tokens(chunk)
         out, at = [], len(chunk)
         while at:
-            if last[at] == NOT_IN_VOCABULARY:
-                out.extend(self.v.byte_ids[b] for b in reversed(chunk[begins[at] : at].encode()))
+            if begins[at] < 0:
+                out.extend(self.v.byte_ids[b] for b in reversed(chunk[at - 1].encode()))
+                at -= 1
             else:
                 out.append(last[at])
-            at = begins[at]
+                at = begins[at]
         out.reverse()
         return out
 
+    def packed_chunk(self, chunk: bytes) -> bytes:
+        ids = self.chunk(chunk.decode("utf-8", "replace").replace(" ", SPACE))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def packed(self, text: bytes) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
