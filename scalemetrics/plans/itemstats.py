@@ -13,7 +13,7 @@ from scalemetrics.plans.ingest import scratch
 from scalemetrics.plans.registry import query
 from scalemetrics.plans.sqlparts import corr, part, pct, r6 as sr6, row_hash, sql, values
 from scalemetrics.plans.tables import (
-    SEED, SPEC, clean, full_norms, item_pool, item_sums, selected, short_norms, sweep_cells,
+    SEED, SPEC, clean, full_norms, item_pool, item_sums, r_bars, selected, short_norms, sweep_cells,
 )
 from scalemetrics.sources import artifacts
 
