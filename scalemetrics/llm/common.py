@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import TypeVar
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 SPACE_RUN = f"[{SPACES}]+"
 
-ROWS_PER_BATCH = 256
+ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 8 << 20
 T = TypeVar("T")
 
 
@@ -34,6 +35,16 @@ def word_count(text: Column) -> Column:
     return F.size(parts).cast("long") - ends
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """Bound the bytes of an Arrow batch: a worker's memory then follows the longest text, not the batch. Batches of narrow rows, which
+    never reach the bound, stay as they are."""
+    conf = df.sparkSession.conf
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", conf.get(limit))) > BYTES_PER_BATCH:
+        conf.set(limit, f"{BYTES_PER_BATCH}b")
+    return df
+
+
 def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of few whole texts each: what a task derives from a batch stays small, whatever the session's batch size."""
     for batch in batches:
@@ -42,14 +53,12 @@ def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _states: dict[Hashable, object] = {}
-MOST_STATES = 8
 
 
 def of_worker(key: Hashable, make: Callable[[], T]) -> T:
-    """What ``make`` returns, kept under the key for as long as the Python worker lives; a few values at most."""
+    """What ``make`` returns, kept for as long as the Python worker lives or until another key comes: one operator's memos at a time."""
     if key not in _states:
-        if len(_states) >= MOST_STATES:
-            _states.clear()
+        _states.clear()
         _states[key] = make()
     return _states[key]
 

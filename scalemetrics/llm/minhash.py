@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import few_rows, table, text_bytes
+from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes, whole_texts
 from scalemetrics.llm.components import connected_components
 from scalemetrics.llm.pretokens import Memo
 from scalemetrics.llm.registry import query
@@ -122,16 +122,11 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
-_hashes: list[Memo] = []
-
-
 def word_hashes():
     """Memo of word hashes: one per Python worker, for all passes over the texts."""
-    if not _hashes:
-        import xxhash
+    import xxhash
 
-        _hashes.append(Memo(xxhash.xxh3_64_intdigest, 250_000))
-    return _hashes[0].__getitem__
+    return of_worker("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, 250_000)).__getitem__
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +152,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 names=["doc_id", "text_hash", "n_shingles", "key_hi", "key_lo", "bands", "bits"],
             )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text), text_bytes(text).alias("t"))
+    source = whole_texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text), text_bytes(text).alias("t"))
     return source.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, key_hi long, key_lo long, bands array<long>, bits array<long>")
 
 
@@ -215,7 +210,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())], names=["doc_id", "key_hi", "key_lo", "set"])
 
     key = F.col(doc_id).cast("long")
-    texts = docs.filter(key.isNotNull()).select(key.alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"), text_bytes(text).alias("t"))
+    texts = whole_texts(docs).filter(key.isNotNull()).select(key.alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"), text_bytes(text).alias("t"))
     found = texts.mapInArrow(sets, "doc_id long, key_hi long, key_lo long, set binary")
     # a repeated id may bring other texts along, or the same one twice
     read = settle(found.join(nodes.select("doc_id", "key_hi", "key_lo", "node"), ["doc_id", "key_hi", "key_lo"]).select("node", "set").dropDuplicates(["node"]))

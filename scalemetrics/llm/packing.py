@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes
+from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes, whole_texts
 from scalemetrics.llm.pretokens import UNUSUAL, ChunkEncoder, Memo
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
@@ -67,7 +67,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(cut, schema)
+    return whole_texts(docs).select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

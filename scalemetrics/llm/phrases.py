@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import table, text_bytes
+from scalemetrics.llm.common import table, text_bytes, whole_texts
 from scalemetrics.llm.count_automata import NONE, ORDER, STORED, Automaton, built, grams, united
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
@@ -78,7 +78,7 @@ def key_of(words: Iterable[bytes]) -> tuple[bytes, ...]:
 
 
 def text_rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), text_bytes(text).alias("t"))
+    return whole_texts(docs).select(F.coalesce(F.col(lang), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), text_bytes(text).alias("t"))
 
 
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:

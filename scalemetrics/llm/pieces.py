@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import table, text_bytes
+from scalemetrics.llm.common import of_worker, table, text_bytes, whole_texts
 from scalemetrics.llm.pretokens import Memo
 from scalemetrics.llm.registry import query
 
@@ -280,16 +280,14 @@ def is_character(raw: bytes) -> bool:
         return False
 
 
-_tools: dict[bytes, tuple[Encoder, Decoder]] = {}
-
-
 def tools_of(model: bytes) -> tuple[Encoder, Decoder]:
     """Encoder and decoder of a model, one pair per Python worker and model."""
-    key = hashlib.sha256(model).digest()
-    if key not in _tools:
+
+    def make() -> tuple[Encoder, Decoder]:
         vocabulary = Vocabulary.read(model)
-        _tools[key] = Encoder(vocabulary), Decoder(vocabulary)
-    return _tools[key]
+        return Encoder(vocabulary), Decoder(vocabulary)
+
+    return of_worker(("pieces", hashlib.sha256(model).digest()), make)
 
 
 def encoded(docs: DataFrame, model: bytes, begin: str | None = "<s>", end: str | None = "</s>", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,7 +307,7 @@ def encoded(docs: DataFrame, model: bytes, begin: str | None = "<s>", end: str |
             ids = [around[0] + encoder.packed(t.as_py()) + around[1] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
+    source = whole_texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
     return source.mapInArrow(encode, "doc_id long, ids binary")
 
 

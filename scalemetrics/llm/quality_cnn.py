@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import ROWS_PER_BATCH, draw, table, text_bytes
+from scalemetrics.llm.common import ROWS_PER_BATCH, draw, table, text_bytes, whole_texts
 from scalemetrics.llm.registry import query
 
 GROUP, GROUPS = 8, 3  # a chunk is three groups of eight bytes; the next chunk starts one group later
@@ -197,7 +197,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
             parts = [probabilities(trained, batch.slice(at, ROWS_PER_BATCH).to_pylist()) for at in range(0, len(batch), ROWS_PER_BATCH)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    scored = docs.withColumn("score", F.arrow_udf(predict, "double")(text_bytes()))
+    scored = whole_texts(docs).withColumn("score", F.arrow_udf(predict, "double")(text_bytes()))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes
+from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes, whole_texts
 from scalemetrics.llm.pretokens import UNUSUAL, ChunkEncoder, Memo
 from scalemetrics.llm.registry import query
 
@@ -56,7 +56,7 @@ def frequent_chunks(docs: DataFrame, tokenizer_json: str, size: int, text: str =
         top = [(c, n) for c, n in seen.most_common(2 * size) if len(c) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
 
-    counted = docs.select(text_bytes(text).alias("t")).mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = whole_texts(docs).select(text_bytes(text).alias("t")).mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     encoder = ChunkEncoder(tokenizer_json, cased=True)
     top = (bytes(r.chunk) for r in counted.orderBy(F.desc("n"), "chunk").limit(size).collect())
     return {c: len(encoder.whole(c) if UNUSUAL.search(c) else encoder.chunk(c)) for c in top}
@@ -93,7 +93,7 @@ def count_tokens(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
+    source = whole_texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("t"))
     return source.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

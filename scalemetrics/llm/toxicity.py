@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalemetrics.llm.common import draw, few_rows, of_worker, table, text_bytes
+from scalemetrics.llm.common import draw, few_rows, of_worker, table, text_bytes, whole_texts
 from scalemetrics.llm.pretokens import Memo
 from scalemetrics.llm.registry import query
 
@@ -152,7 +152,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, se
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("__label"))
     drawn = usable.withColumn("__draw", draw(seed, F.col("__id"))).orderBy("__draw", "__id", "__label").limit(most)
-    return docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("__draw", text_bytes().alias("__text"), "__label")
+    return whole_texts(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("__draw", text_bytes().alias("__text"), "__label")
 
 
 def kinds_of(bags: Bags, toxic: np.ndarray) -> np.ndarray:
@@ -266,7 +266,7 @@ def with_probabilities(docs: DataFrame, chain: Sequence[Linear], names: Sequence
             yield pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(len(dense))], names=columns)
 
     predicted = F.arrow_udf(predict, ", ".join(f"{c} double" for c in columns))
-    return docs.withColumn("__p", predicted(text_bytes()))
+    return whole_texts(docs).withColumn("__p", predicted(text_bytes()))
 
 
 def score(docs: DataFrame, chain: Sequence[Linear], names: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:

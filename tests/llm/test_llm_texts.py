@@ -1,5 +1,6 @@
 """Token counts, packing, near duplicates, toxicity and quality of texts, against the libraries and brute force."""
 
+import math
 import random
 import sys
 import zlib
@@ -223,6 +224,48 @@ def test_words_of_a_large_toxic_copy_group_keep_their_weight(spark):
     assert [got[r[0]] for r, _ in rows[300:]] == [bool(k) for _, k in rows[300:]]
 
 
+def plain_probabilities(chain, text):
+    """The chain's probabilities of one text: words, beginnings and levels in plain loops."""
+    found = {}
+    for chunk in {x.strip(toxicity.SIGNS) for x in text.encode().lower().split()} - {b""}:
+        word = chunk.decode("utf-8", "replace")
+        for feature in [zlib.crc32(chunk)] + [zlib.crc32(b"^" + word[:n].encode()) for n in (4, 5, 6) if len(word) > n]:
+            found[feature] = found.get(feature, 0) + 1
+    places = {(f + 40_503 * level) % (1 << 18) for f, n in found.items() for level in range(min(n, 3))}
+    out = []
+    for model in chain:
+        z = model.bias + sum(model.words[p] for p in sorted(places)) + sum(w * p for w, p in zip(model.earlier, out))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    chain = []
+    for k in range(3):
+        words = np.where(rng.random(toxicity.BUCKETS) < 0.2, rng.normal(0, 0.3, toxicity.BUCKETS), 0.0)
+        chain.append(toxicity.Linear(words, rng.normal(0, 2, k), float(rng.normal())))
+    texts = ["", "Plain words, plain WORDS!", "running runner runs runnable run", "é漢字 «quoted» ... 12 !!", "x" * 5_000, " ".join(f"prefix{n}" for n in range(300))]
+    got = {r.doc_id: r for r in toxicity.score(documents(spark, [(n, t, "en", "a") for n, t in enumerate(texts)]), chain, toxicity.CATEGORIES).collect()}
+    for n, t in enumerate(texts):
+        want = plain_probabilities(chain, t)
+        assert [got[n][f"p_{c}"] for c in toxicity.CATEGORIES] == pytest.approx(want, abs=1e-9) and got[n].toxic == (want[-1] >= toxicity.THRESHOLD)
+
+
+def test_kinds_part_the_toxic_texts_by_their_words():
+    # texts of one kind share two words, those of the other two others; clean texts have none of them
+    features, lengths, toxic = [], [], []
+    for n in range(300):
+        own = [100 + n % 7, 110 + n % 5] + ([1, 2] if n % 3 == 0 else [3, 4] if n % 3 == 1 else [])
+        features += own
+        lengths.append(len(own))
+        toxic.append(float(n % 3 < 2))
+    kinds = toxicity.kinds_of(toxicity.Bags(np.array(features), np.array(lengths), 200), np.array(toxic))
+    first = kinds[0].argmax()
+    assert all(kinds[n].tolist() == ([0, 0] if n % 3 == 2 else [1, 0] if (n % 3 == 0) == (first == 0) else [0, 1]) for n in range(300))
+    assert not toxicity.kinds_of(toxicity.Bags(np.array(features), np.array(lengths), 200), np.zeros(300)).any()
+
+
 def test_later_models_learn_from_out_of_fold_predictions():
     # the word of the first category tells nothing about rows outside its fold, so the second must not trust it
     rng = np.random.default_rng(1)
@@ -250,6 +293,31 @@ def test_network_tells_held_out_junk(spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_probability(net, text):
+    """Forward pass byte by byte, chunk by chunk."""
+    padded = text.ljust(max(quality_cnn.GROUPS, -(-len(text) // quality_cnn.GROUP)) * quality_cnn.GROUP, b"\0")
+    before = bytes(64) + padded
+    best = [-math.inf] * quality_cnn.FILTERS
+    for at in range(0, len(padded) - quality_cnn.WIDTH + 1, quality_cnn.GROUP):
+        response = np.zeros(quality_cnn.FILTERS)
+        for k in range(quality_cnn.WIDTH):
+            for d in range(quality_cnn.DIMS):
+                response += net.embedding[padded[at + k]][d] * net.kernel[k // quality_cnn.GROUP][k % quality_cnn.GROUP * quality_cnn.DIMS + d]
+        for n, lag in enumerate(quality_cnn.LAGS):
+            same = sum(before[64 + at + k] == before[64 + at + k - lag] for k in range(quality_cnn.WIDTH))
+            response += same * 2 / quality_cnn.WIDTH * net.repeats[n]
+        best = [max(a, b) for a, b in zip(best, response)]
+    z = sum(max(b + shift, 0) * w for b, shift, w in zip(best, net.shift, net.out)) + net.bias[0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_forward_pass_equals_plain_loops():
+    net = quality_cnn.Network.start()
+    net.shift[:] = np.random.default_rng(3).normal(0, 0.2, quality_cnn.FILTERS)
+    texts = [b"", b"x", b"some plain text of more than one chunk", b"abab" * 20, bytes(range(256)), b"\0" * 30]
+    assert quality_cnn.probabilities(net, texts) == pytest.approx([plain_probability(net, t) for t in texts], abs=1e-5)
+
+
 def test_the_whole_text_counts_and_blocks_do_not_matter(monkeypatch):
     net = quality_cnn.Network.start()
     texts = [b"", b"x", b"abc " * 3000 + b"!!###!!", bytes(range(256)) * 30, b"plain words " * 9]
