@@ -29,13 +29,17 @@ def _h(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def derive_answers(orders: DataFrame) -> DataFrame:
+def counted_origins(orders: DataFrame) -> DataFrame:
+    """Respondents with their origin and its number of respondents: two narrow columns meet, not the answers."""
+    origin = F.when(_h(F.lit("ip")) % 10 < 6, F.col("o_orderkey")).otherwise(F.lit(10**12) + F.col("o_custkey"))
+    keyed = orders.select("o_orderkey", origin.alias("origin"))
+    return keyed.join(keyed.groupBy("origin").agg(F.count(F.lit(1)).cast("int").alias("origin_count")), "origin")
+
+
+def derive_answers(respondents: DataFrame) -> DataFrame:
     parts = (("domain", SPEC.domains), ("item", SPEC.items))
     hashed = {f"h_{n}": F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: _h(k) % 1000) for n, keys in parts}
-    base = orders.withColumns(hashed | {
-        "origin": F.when(_h(F.lit("ip")) % 10 < 6, F.col("o_orderkey")).otherwise(F.lit(10**12) + F.col("o_custkey")),
-        "g": _h(F.lit("g")) % 1000, "bad": _h(F.lit("bad")) % 100 < 3,
-    })
+    base = respondents.withColumns(hashed | {"g": _h(F.lit("g")) % 1000, "bad": _h(F.lit("bad")) % 100 < 3})
 
     def answer(item: str) -> Column:
         domain = F.get("h_domain", F.lit(SPEC.domain_no[SPEC.domain_of[item]] - 1))
@@ -44,17 +48,15 @@ def derive_answers(orders: DataFrame) -> DataFrame:
         raw = SPEC.lo + SPEC.hi - value if item in SPEC.reversed_items else value
         return (F.when(F.col("bad"), 0).otherwise(raw) if item == "ext1" else raw).alias(item)
 
-    wide = base.select(F.col("o_orderkey").alias("respondent_id"), "origin", *[answer(i) for i in SPEC.items])
-    origins = base.groupBy("origin").agg(F.count(F.lit(1)).cast("int").alias("origin_count"))
-    return wide.join(origins, "origin")
+    return base.select("origin", F.col("o_orderkey").alias("respondent_id"), *[answer(i) for i in SPEC.items], "origin_count")
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Raw answers: respondent_id, origin, origin_count and one column per item."""
 
     def build() -> DataFrame:
-        orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-        return derive_answers(orders.repartition(spark.sparkContext.defaultParallelism))
+        respondents = counted_origins(table(spark, sf, "orders"))
+        return derive_answers(respondents.repartition(spark.sparkContext.defaultParallelism, "o_orderkey"))
 
     return written(spark, f"answers|{sf}", build)
 
