@@ -36,7 +36,7 @@ BREAKS, CAPITALS = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAK = b"."
 PLAIN = bytes.maketrans(CAPITALS + BREAKS + b"\t", CAPITALS.lower() + BREAK * len(BREAKS) + b" ")
 
-SHARD_WORDS, SHARD_VOCABULARY = 4_000_000, 500_000
+SHARD_WORDS, SHARD_VOCABULARY = 1_500_000, 250_000
 BRICK, RANGE_BRICKS, MOST_RANGES = 1 << 16, 16, 1 << 16
 FILTER_BITS = 1 << 26
 KEY_BYTES = 64
