@@ -3,7 +3,7 @@
 Answers are bins (one byte each, the last bin is "missing"), so what a split needs to know is a histogram: how many rows of a
 node have a bin, and how many of them lie above their prediction. One pass over the table returns these counts for
 every model and node of a level at once, whatever the number of models; quantiles, domains, folds and candidate
-settings are all just models. A pass costs one job: tasks count, counts are added in groups of ADD_AT_ONCE tasks, and the driver
+settings are all just models. A pass costs one job: tasks count by matrix products, the counts of many tasks are added per model, and the driver
 picks splits from sums whose size the layout gives. A last pass per round counts residuals per leaf in fine classes, and
 the leaf takes their quantile; the same rule holds at every size.
 
@@ -13,12 +13,13 @@ values. It is broadcast once and all models are evaluated by one vectorised func
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from scalemetrics.workspace import settle
 QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
 ADD_AT_ONCE = 32
 CLASSES = 1024  # residual classes of a leaf
-ROWS_AT_ONCE = 2048
-CUT_EVERY = 10  # rounds after which the predictions so far are written with the rows
+ROWS_AT_ONCE = 8192
+COUNTED_AT_ONCE = 2048  # rows of one matrix product; its sums stay exact in single precision
+COLUMNS_AT_ONCE = 512  # groups of rows counted by one matrix product
+CUT_EVERY = 10  # rounds after which the predictions so far are written to the shared folder
 EVERY_FOLD = -1
 
 
@@ -75,34 +78,62 @@ class Forest:
 
     def places(self, bins: np.ndarray, model: int, trees: slice, depth: int) -> np.ndarray:
         """Node of every row at a depth of some trees of a model, numbered inside the level: rows x trees."""
-        items, masks = self.items[model, trees], self.masks[model, trees]
-        n, t = len(bins), len(items)
-        tree, row = np.arange(t)[None, :] * items.shape[1], np.arange(n)[:, None] * bins.shape[1]
-        at = np.zeros((n, t), np.int64)
-        flat, items, masks = bins.ravel(), items.ravel(), masks.ravel()
-        for _ in range(depth):
-            node = tree + at
-            left = (masks[node] >> flat[row + items[node]]) & 1
-            at = 2 * at + 2 - left
-        return at - ((1 << depth) - 1)
-
-    def added(self, bins: np.ndarray, model: int, trees: slice) -> np.ndarray:
-        """Sum of the leaf values that some trees of a model give each row."""
+        by_item = np.ascontiguousarray(bins.T)
+        return np.stack([descend(by_item, i, m, depth) for i, m in zip(self.items[model, trees], self.masks[model, trees])], axis=1)
+
+    def added(self, by_item: np.ndarray, model: int, trees: slice) -> np.ndarray:
+        """Sum of the leaf values that some trees of a model give each row; ``by_item``: items x rows."""
         leaves = self.leaves[model, trees]
-        if not leaves.shape[0]:
-            return np.zeros(len(bins))
-        return leaves[np.arange(len(leaves)), self.places(bins, model, trees, self.depth)].sum(axis=1)
+        values = np.empty((by_item.shape[1], len(leaves)))
+        for t, (items, masks) in enumerate(zip(self.items[model, trees], self.masks[model, trees])):
+            values[:, t] = leaves[t][descend(by_item, items, masks, self.depth)]
+        return values.sum(axis=1)
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         """Rows x models."""
         out = np.empty((len(bins), len(self.base)))
         for a in range(0, len(bins), ROWS_AT_ONCE):
-            part = bins[a : a + ROWS_AT_ONCE]
+            part = np.ascontiguousarray(bins[a : a + ROWS_AT_ONCE].T)
             for m in range(len(self.base)):
                 out[a : a + ROWS_AT_ONCE, m] = self.base[m] + self.added(part, m, slice(None))
         return out
 
 
+def goes_right(by_item: np.ndarray, item: int, mask: int) -> np.ndarray:
+    """Rows whose bin of an item is not in the mask: the answers up to the first gap are one comparison."""
+    column, run = by_item[item], 0
+    while mask >> run & 1:
+        run += 1
+    left = column < run
+    for b in range(run + 1, mask.bit_length()):
+        if mask >> b & 1:
+            left |= column == b
+    return ~left
+
+
+def descend(by_item: np.ndarray, items: np.ndarray, masks: np.ndarray, depth: int) -> np.ndarray:
+    """Node of every row (``by_item``: items x rows) at a depth of a tree, numbered inside the level.
+
+    The nodes of a level are compared for all rows and a row's own one is picked by its turns so far: plain
+    operations on bytes, about ten times as fast as looking up node, item and bin row by row.
+    """
+    at = np.zeros(by_item.shape[1], np.uint8 if depth <= 8 else np.int64)
+    items, masks, turns = items.tolist(), masks.tolist(), []
+    for level in range(depth):
+        first = (1 << level) - 1
+        rules = masks[first : 2 * first + 1]
+        if all(r == -1 for r in rules):
+            turn = np.zeros(len(at), bool)
+        else:
+            sides = [np.zeros(len(at), bool) if r == -1 else goes_right(by_item, i, r) for i, r in zip(items[first : 2 * first + 1], rules)]
+            for earlier in reversed(turns):
+                sides = [a ^ (earlier & (a ^ b)) for a, b in zip(sides[::2], sides[1::2])]
+            turn = sides[0]
+        turns.append(turn)
+        at = (at << 1) | turn
+    return at
+
+
 @dataclass
 class Fitted:
     jobs: list[Job]
@@ -135,25 +166,54 @@ def matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(-1, width)
 
 
-def added_up(parts: DataFrame, n_parts: int) -> dict[int, np.ndarray]:
-    """Sums of packed counts per key: ``parts`` (part, key, counts) has a row per task and key, added in groups of tasks."""
+Counts = tuple[bytes, int, bytes, bytes]  # losses, number of counts, places of the counts given (empty: all), counts
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), np.float64) for c in group.column("counts"))
-        return pa.table({"part": group.column("part").slice(0, 1), "key": group.column("key").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    while n_parts > ADD_AT_ONCE:
-        grouped = parts.withColumn("part", F.expr(f"part div {ADD_AT_ONCE}").cast("int")).groupBy("part", "key")
-        parts, n_parts = grouped.applyInArrow(add, "part int, key int, counts binary"), -(-n_parts // ADD_AT_ONCE)
-    out: dict[int, np.ndarray] = {}
-    for r in parts.collect():  # ADD_AT_ONCE rows per key at most
-        counts = np.frombuffer(bytes(r.counts), np.float64)
-        out[r.key] = out[r.key] + counts if r.key in out else counts
-    return out
+def packed_counts(losses: np.ndarray, counts: np.ndarray) -> Counts:
+    """Losses and counts as bytes: counts in the narrowest integers, with their places where most are 0."""
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    places = np.flatnonzero(counts).astype(np.uint32)
+    sparse = 0 < len(places) * (4 + counts.itemsize) < counts.nbytes
+    return losses.astype(np.float64).tobytes(), len(counts), places.tobytes() if sparse else b"", (counts[places] if sparse else counts).tobytes()
+
+
+def unpacked_counts(losses: bytes, size: int, places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(places, np.uint32) if places else slice(None)
+    out = np.zeros(size, np.int64)
+    if size:
+        out[at] = np.frombuffer(counts, f"u{len(counts) // (len(at) if places else size)}")
+    return np.frombuffer(losses, np.float64), out
+
+
+def added_up(parts: RDD, n_keys: int) -> dict[int, np.ndarray]:
+    """Sums of losses and counts per key: ``parts`` has (key, packed counts) once per task and key.
+
+    Those of more than ADD_AT_ONCE tasks are added per key before the driver sees them.
+    """
+
+    def total(rows: Iterable[Counts]) -> tuple[np.ndarray, np.ndarray]:
+        losses, counts = zip(*(unpacked_counts(*r) for r in rows))
+        return sum(losses), sum(counts)
+
+    if parts.getNumPartitions() > ADD_AT_ONCE:
+        parts = parts.reduceByKey(lambda a, b: packed_counts(*total((a, b))), min(n_keys, ADD_AT_ONCE))
+    by_key: dict[int, list[Counts]] = {}
+    for key, counts in parts.collect():  # ADD_AT_ONCE per key at most
+        by_key.setdefault(key, []).append(counts)
+    return {key: np.concatenate(total(rows)) for key, rows in by_key.items()}
+
+
+# Some rows of the table: answers (items x rows), what to predict (domains x rows), held-out flags, folds, and the
+# predictions so far (models x rows).
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Grower:
-    """Rounds of a fit: the table, what is settled of it, and the trees that came since."""
+    """Rounds of a fit: the rows with their predictions so far, and the trees.
+
+    The rows are settled once and then kept as blocks, in memory as far as it goes and on disk beyond; the blocks of a round
+    come from those of the round before, and every CUT_EVERY rounds they are written to the shared folder.
+    """
 
     def __init__(self, rows: DataFrame, spec: ScaleSpec, jobs: list[Job]) -> None:
         self.spec, self.jobs = spec, jobs
@@ -161,63 +221,82 @@ class Grower:
         models, trees = len(jobs), max(j.growth.rounds for j in jobs)
         shape = (models, trees, (1 << self.depth) - 1)
         self.forest = Forest(np.zeros(models), np.zeros(shape, np.int16), np.full(shape, -1, np.int64), np.zeros((models, trees, 1 << self.depth)))
-        self.rows = settle(rows.select("bins", "y", "held", "fold", F.array().cast("array<double>").alias("scores")))
-        self.written = 0  # trees whose values are in ``scores``
-        self.n_parts = self.rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
-        self.n_parts = 1 if self.n_parts is None else self.n_parts + 1
-        self.passes = 0
-
-    def counted(self, count, active: list[int], trees: int) -> dict[int, np.ndarray]:
-        """One pass: ``count(model, bins, residuals, train, held)`` per batch and model, summed over the table.
+        n_items, n_domains = spec.n_items, len(spec.domains)
 
-        ``trees`` is the number of finished trees.
-        """
-        forest, written, jobs, spec = self.forest, self.written, self.jobs, self.spec
-        domain_no = {d: n for n, d in enumerate(spec.domains)}
-        domains, folds = [domain_no[j.domain] for j in jobs], [j.fold for j in jobs]
-        n_items, n_models = spec.n_items, len(jobs)
-        # only the trees since the last writing and the one that grows travel with the pass
-        recent = Forest(forest.base, forest.items[:, written : trees + 1], forest.masks[:, written : trees + 1], forest.leaves[:, written : trees + 1])
-        finished = trees - written
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                     part = batch.slice(at, ROWS_AT_ONCE)
-                    bins, y = matrix(part.column("bins"), n_items, np.uint8), matrix(part.column("y"), len(spec.domains), np.float64)
+                    bins, y = matrix(part.column("bins"), n_items, np.uint8), matrix(part.column("y"), n_domains, np.float64)
                     held, fold = part.column("held").to_numpy(zero_copy_only=False), part.column("fold").to_numpy()
-                    scores = matrix(part.column("scores"), n_models, np.float64) if written else np.broadcast_to(recent.base, (len(bins), n_models))
-                    for m in active:
-                        seen = fold != folds[m]
-                        score = scores[:, m] + recent.added(bins, m, slice(0, finished))
-                        found = count(m, recent, finished, bins, y[:, domains[m]] - score, seen & ~held, seen & held)
-                        total[m] = total[m] + found if m in total else found
-            number = TaskContext.get().partitionId()
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([total[k].astype(np.float64).tobytes() for k in keys], pa.binary())], names=["part", "key", "counts"]
-            )
+                    block = (np.ascontiguousarray(bins.T), np.ascontiguousarray(y.T), held.astype(bool), fold.copy(), np.zeros((models, len(bins))))
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+
+        settled = settle(rows.select("bins", "y", "held", "fold"))
+        self.blocks = settled.mapInArrow(blocks, "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
+        self.before: RDD | None = None  # the blocks of the round before, until those of this one are there
+        self.passes = 0
+
+    def counted(self, count, active: list[int], tree: int) -> dict[int, np.ndarray]:
+        """One pass: ``count(by_item, models, residuals, nodes)`` gives losses and counts per model and block, summed over the table.
+
+        ``residuals(model)`` gives residuals, training rows and held-out rows; ``nodes(model, depth)`` the node of every row
+        in the tree that grows.
+        """
+        domain_no = {d: n for n, d in enumerate(self.spec.domains)}
+        domains, folds = [domain_no[j.domain] for j in self.jobs], [j.fold for j in self.jobs]
+        # only the tree that grows travels with the pass
+        items, masks = self.forest.items[:, tree : tree + 1].copy(), self.forest.masks[:, tree : tree + 1].copy()
+
+        def run(blocks: Iterator[Block]) -> Iterator[tuple[int, Counts]]:
+            total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for by_item, y, held, fold, scores in blocks:
+
+                def residuals(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    seen = fold != folds[m]
+                    return y[domains[m]] - scores[m], seen & ~held, seen & held
+
+                def nodes(m: int, depth: int) -> np.ndarray:
+                    return descend(by_item, items[m, 0], masks[m, 0], depth) if depth else np.zeros(by_item.shape[1], np.uint8)
+
+                for m, losses, counts in count(by_item, active, residuals, nodes):
+                    total[m] = (total[m][0] + losses, total[m][1] + counts) if m in total else (losses, counts)
+            for m, found in total.items():
+                yield m, packed_counts(*found)
 
         self.passes += 1
-        return added_up(self.rows.mapInArrow(run, "part int, key int, counts binary"), self.n_parts)
+        found = added_up(self.blocks.mapPartitions(run), len(active))
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+        return found
 
-    def write_scores(self, trees: int) -> None:
-        """Settle the rows with the predictions of all trees so far, so that passes do not start from the first one."""
-        forest, written, spec, n_models = self.forest, self.written, self.spec, len(self.jobs)
-        recent = Forest(forest.base, forest.items[:, written:trees], forest.masks[:, written:trees], forest.leaves[:, written:trees])
+    def add(self, change: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: bool) -> None:
+        """Let the blocks carry new predictions (models x rows) from the next pass on."""
+        self.before = self.blocks
+        self.blocks = self.blocks.map(lambda b: (*b[:4], change(b[0], b[4]))).persist(StorageLevel.MEMORY_AND_DISK)
+        if cut:
+            self.blocks.checkpoint()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bins = matrix(batch.column("bins"), spec.n_items, np.uint8)
-                old = matrix(batch.column("scores"), n_models, np.float64) - recent.base if written else 0.0
-                scores = old + recent.predict(bins)
-                offsets = pa.array(np.arange(len(bins) + 1) * n_models, pa.int32())
-                arrays = [batch.column(c) for c in ("bins", "y", "held", "fold")] + [pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bins", "y", "held", "fold", "scores"])
+    def add_bases(self) -> None:
+        base = self.forest.base.copy()
+        self.add(lambda by_item, scores: np.repeat(base[:, None], by_item.shape[1], axis=1), False)
 
-        self.rows = settle(self.rows.mapInArrow(run, self.rows.schema))
-        self.written = trees
+    def add_tree(self, tree: int, active: list[int]) -> None:
+        items, masks, leaves, depth = (self.forest.items[:, tree].copy(), self.forest.masks[:, tree].copy(), self.forest.leaves[:, tree].copy(), self.depth)
+
+        def change(by_item: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            scores = scores.copy()
+            for m in active:
+                scores[m] += leaves[m][descend(by_item, items[m], masks[m], depth)]
+            return scores
+
+        self.add(change, (tree + 1) % CUT_EVERY == 0)
+
+    def done(self) -> None:
+        for blocks in (self.before, self.blocks):
+            if blocks is not None:
+                blocks.unpersist()
 
 
 def fit(rows: DataFrame, spec: ScaleSpec, jobs: list[Job]) -> Fitted:
@@ -231,6 +310,7 @@ def fit(rows: DataFrame, spec: ScaleSpec, jobs: list[Job]) -> Fitted:
     quantiles = np.array([QUANTILES[j.quantile] for j in jobs])
     span = float(spec.hi - spec.lo)
     g.forest.base[:] = first_values(g, quantiles, span)
+    g.add_bases()
     best, best_round = np.full(len(jobs), np.inf), np.zeros(len(jobs), int)
     fitted = Fitted(jobs, g.forest, rounds=[0] * len(jobs), stopped=[False] * len(jobs))
     active = list(range(len(jobs)))
@@ -253,8 +333,8 @@ def fit(rows: DataFrame, spec: ScaleSpec, jobs: list[Job]) -> Fitted:
         if not active:
             break
         grow_tree(g, n, active, quantiles, counts, span)
-        if n + 1 - g.written >= CUT_EVERY:
-            g.write_scores(n + 1)
+        g.add_tree(n, active)
+    g.done()
     for m in range(len(jobs)):
         fitted.rounds[m] = int(best_round[m])
         g.forest.leaves[m, best_round[m] :] = 0.0
@@ -283,29 +363,57 @@ def class_quantile(counts: np.ndarray, quantile: float, span: float) -> float:
 def first_values(g: Grower, quantiles: np.ndarray, span: float) -> np.ndarray:
     """Quantile of each model's training scores."""
 
-    def count(m, recent, finished, bins, residual, train, held):
-        return np.bincount(residual_classes(residual[train], span), minlength=CLASSES)
-
     # residuals against 0 reach from 0 to the highest score, so the classes are shifted by the scale's middle
     middle = (g.spec.lo + g.spec.hi) / 2
-    g.forest.base[:] = middle
+
+    def count(by_item, models, residuals, nodes):
+        for m in models:
+            residual, train, _ = residuals(m)
+            yield m, np.zeros(0), np.bincount(residual_classes(residual[train] - middle, span), minlength=CLASSES)
+
     counts = g.counted(count, list(range(len(quantiles))), 0)
     return np.array([middle + class_quantile(counts[m], q, span) if m in counts and counts[m].sum() else 0.0 for m, q in enumerate(quantiles)])
 
 
+def answer_counts(by_item: np.ndarray, groups: np.ndarray, n_answers: int) -> np.ndarray:
+    """Counts of (group, item, bin) for groups of rows given as flags (groups x rows); the bin after the answers is "missing".
+
+    Answers as flags times groups: one matrix product per COUNTED_AT_ONCE rows counts all groups, where counting cell by cell
+    takes some nanoseconds for every row, item and group.
+    """
+    n_items = len(by_item)
+    out = np.zeros((len(groups), n_items, n_answers + 1), np.int64)
+    for at in range(0, by_item.shape[1], COUNTED_AT_ONCE):
+        part = by_item[:, at : at + COUNTED_AT_ONCE]
+        given = np.stack([part == b for b in range(n_answers)], axis=1).astype(np.float32).reshape(n_items * n_answers, -1)
+        for first in range(0, len(groups), COLUMNS_AT_ONCE):
+            flags = groups[first : first + COLUMNS_AT_ONCE, at : at + COUNTED_AT_ONCE]
+            out[first : first + COLUMNS_AT_ONCE, :, :-1] += (flags.astype(np.float32) @ given.T).astype(np.int64).reshape(len(flags), n_items, n_answers)
+    out[:, :, -1] = groups.sum(axis=1)[:, None] - out[:, :, :-1].sum(axis=2)
+    return out
+
+
 def with_losses(g: Grower, quantiles: np.ndarray, depth: int):
     """Counting function: losses, then counts of (node, item, bin, above) of a level."""
-    n_items, width = g.spec.n_items, n_bins(g.spec)
-    cells = (np.arange(n_items, dtype=np.int64) * width)[None, :]
-
-    def count(m, recent, finished, bins, residual, train, held):
-        q = quantiles[m]
-        loss = np.maximum(q * residual, (q - 1) * residual)
-        bins, above = bins[train], residual[train] > 0
-        node = recent.places(bins, m, slice(finished, finished + 1), depth)[:, 0] if depth else np.zeros(len(bins), np.int64)
-        index = ((node[:, None] * (n_items * width) + cells + bins) * 2 + above[:, None]).ravel()
-        histogram = np.bincount(index, minlength=(1 << depth) * n_items * width * 2)
-        return np.concatenate([[train.sum(), loss[train].sum(), held.sum(), loss[held].sum()], histogram])
+    n_answers, nodes = n_bins(g.spec) - 1, 1 << depth
+
+    def count(by_item, models, residuals, nodes_of):
+        at_once = max(1, COLUMNS_AT_ONCE // (2 * nodes))
+        for first in range(0, len(models), at_once):
+            some, losses = models[first : first + at_once], []
+            groups = np.empty((len(some), nodes, 2, by_item.shape[1]), bool)
+            for n, m in enumerate(some):
+                residual, train, held = residuals(m)
+                loss = np.maximum(quantiles[m] * residual, (quantiles[m] - 1) * residual)
+                losses.append(np.array([train.sum(), loss[train].sum(), held.sum(), loss[held].sum()]))
+                node, above = nodes_of(m, depth), residual > 0
+                for k in range(nodes):
+                    inside = train & (node == k)
+                    groups[n, k, 0], groups[n, k, 1] = inside & ~above, inside & above
+            counts = answer_counts(by_item, groups.reshape(len(some) * nodes * 2, -1), n_answers)
+            counts = counts.reshape(len(some), nodes, 2, -1, n_answers + 1).transpose(0, 1, 3, 4, 2)
+            for n, m in enumerate(some):
+                yield m, losses[n], counts[n].ravel()
 
     return count
 
@@ -325,9 +433,11 @@ def grow_tree(g: Grower, tree: int, active: list[int], quantiles: np.ndarray, ro
                 f.items[m, tree, first + k], f.masks[m, tree, first + k] = item, mask
     leaves, depth = 1 << g.depth, g.depth
 
-    def count(m, recent, finished, bins, residual, train, held):
-        leaf = recent.places(bins[train], m, slice(finished, finished + 1), depth)[:, 0]
-        return np.bincount(leaf * CLASSES + residual_classes(residual[train], span), minlength=leaves * CLASSES)
+    def count(by_item, models, residuals, nodes):
+        for m in models:
+            residual, train, _ = residuals(m)
+            leaf = nodes(m, depth)[train].astype(np.int64)
+            yield m, np.zeros(0), np.bincount(leaf * CLASSES + residual_classes(residual[train], span), minlength=leaves * CLASSES)
 
     found = g.counted(count, active, tree)
     for m in active:

@@ -209,3 +209,39 @@ def check(got, rows):
     assert got.n == len(rows) and got.mae == pytest.approx(e.mean()) and got.rmse == pytest.approx(np.sqrt((e * e).mean()))
     assert got.within_5_pct == pytest.approx((e <= 5).mean()) and got.coverage_90 == pytest.approx(((true >= low) & (true <= high)).mean())
     assert (got.pearson_r is None) if mid.std() < 1e-9 else got.pearson_r == pytest.approx(np.corrcoef(true, mid)[0, 1])
+
+
+def test_counts_by_matrix_product_equal_a_plain_count():
+    """Groups and rows beyond one product, every bin, rows of no group."""
+    rng = np.random.default_rng(11)
+    by_item = rng.integers(0, MISSING + 1, (4, forests.COUNTED_AT_ONCE + 300)).astype(np.uint8)
+    groups = rng.random((forests.COLUMNS_AT_ONCE + 3, by_item.shape[1])) < 0.2
+    groups[1] = False
+    got = forests.answer_counts(by_item, groups, MISSING)
+    for g in (0, 1, len(groups) - 1):
+        for item in range(4):
+            assert got[g, item].tolist() == np.bincount(by_item[item, groups[g]], minlength=MISSING + 1).tolist()
+
+
+def test_packed_counts_come_back():
+    for counts in (np.zeros(50, np.int64), np.eye(1, 5000, 7, dtype=np.int64)[0] * 70_000, np.arange(300), np.zeros(0, np.int64), np.array([2**33])):
+        losses, back = forests.unpacked_counts(*forests.packed_counts(np.array([0.5, 2.0]), counts))
+        assert losses.tolist() == [0.5, 2.0] and back.tolist() == counts.tolist()
+
+
+def test_a_pass_carries_only_the_tree_that_grows(spark, monkeypatch):
+    """The rows carry the predictions, so a pass looks at one tree however many there are (before: all since the last writing)."""
+    bins, _, scores = answers(200, 0.2, seed=12)
+    rows = table(spark, bins, scores, np.zeros(200, bool), np.zeros(200, int))
+    sizes, old = [], forests.Grower.counted
+
+    def counted(self, count, active, tree):
+        assert self.blocks.is_cached
+        if tree:
+            block = self.blocks.first()
+            sizes.append(np.allclose(block[4], forests.Forest(self.forest.base, *(a[:, :tree] for a in (self.forest.items, self.forest.masks, self.forest.leaves))).predict(block[0].T).T))
+        return old(self, count, active, tree)
+
+    monkeypatch.setattr(forests.Grower, "counted", counted)
+    forests.fit(rows, SPEC, forests.jobs_of(("csn",), Growth(rounds=12, depth=2, min_leaf=5)))
+    assert sizes and all(sizes)
