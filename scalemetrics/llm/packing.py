@@ -11,6 +11,7 @@ random, so every group sees the same mix of lengths and wastes at most a few seq
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalemetrics.llm.common import few_rows, of_worker, table, text_bytes, whole_texts
-from scalemetrics.llm.pretokens import UNUSUAL, ChunkEncoder, Memo
+from scalemetrics.llm.pretokens import ChunkEncoder, Memo, is_unusual
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
 
@@ -29,6 +30,10 @@ END_ID = 0
 PIECES_PER_GROUP = 200_000
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text",
     memo: int = 500_000, with_ids: bool = False,
@@ -44,7 +49,7 @@ def token_pieces(
 
     def tools() -> tuple[ChunkEncoder, Memo]:
         made = ChunkEncoder(shared.value, cased=False)
-        return made, Memo(lambda c: np.array(made.chunk(c), "<u4").tobytes(), memo)
+        return made, Memo(lambda c: pack_ids(made.chunk(c)), memo)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = of_worker(worker_key, tools)
@@ -53,7 +58,7 @@ def token_pieces(
         for batch in few_rows(batches):
             out: list[list] = [[], [], [], [], [], []]
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if UNUSUAL.search(raw):
+                if is_unusual(raw):
                     ids = np.array(encoder.whole(raw), "<u4").tobytes() + end
                 else:
                     ids = b"".join(map(lookup, raw.lower().split())) + end

@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from helpers import documents, gapless, near_duplicates, odd_rows, shingles  # noqa: E402
 
-from scalemetrics.llm import minhash, packing, quality_cnn, token_counts, toxicity  # noqa: E402
+from scalemetrics.llm import minhash, packing, pretokens, quality_cnn, token_counts, toxicity  # noqa: E402
 
 PIECES = ["a", "b", "The", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "don't", "é", "É", "ß", "İ", "ſ", "1", "23", "²", "٣", "%", "!!", "<|endoftext|>",
           "<|", " ", " ", "　", "\x1c", "\x85", "é", "漢字", "😀", "‍", "-", "_", "\x00", "﻿", "ﬁ", "ΑΣ ", "\x7f", "«"]
@@ -356,3 +356,20 @@ def test_gradients_equal_differences():
             values.append(loss())
         parameter[at] = old
         assert abs((values[0] - values[1]) / 2e-2 - gradient[at]) < 0.05 * abs(gradient[at]) + 1e-3
+
+
+def test_a_word_with_and_without_signs_is_tokenized_once():
+    """Chunks of a word and one sign share the word's ids, which equal the library's."""
+    encoder = pretokens.ChunkEncoder(json_of("word_bpe_49k.json"), cased=False)
+    library, seen, found = Tokenizer.from_str(json_of("word_bpe_49k.json")), [], encoder.memo.fill
+    encoder.memo.fill = lambda part: seen.append(part) or found(part)
+    chunks = [w + s for w in ("heat", "reonnt", "zqxv" * 30, "a", "ünder", "İx", "x1") for s in ("", *".,;:!?)'\"-_~1é", "..", "\x7f", "\x00")]
+    for c in chunks + ["'s", "don't", "1", "-", "(a"]:
+        assert encoder.chunk(c.encode()) == library.encode(c, add_special_tokens=False).ids, c
+    assert seen.count("heat") == 1 and seen.count("reonnt") == 1
+
+
+def test_texts_without_suspicious_bytes_are_plain():
+    for text in (*PIECES, "<", "<|", "a<b", "\u2019", "\u200b", "\u1680", "\ufeff", "\x1b", "\x1c", "\xa0", "", "plain"):
+        raw = text.encode()
+        assert pretokens.is_unusual(raw) == bool(pretokens.UNUSUAL.search(raw)), text
