@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -124,3 +125,13 @@ def test_p_of_a_correlation_has_literal_values_and_edges(spark):
         assert spark.range(1).select(pearson_p_value(F.lit(r), F.lit(n)).alias("p")).first()["p"] == pytest.approx(p, abs=1e-6)
     edges = spark.createDataFrame([(1.0, 9), (-1.0, 9), (0.0, 9), (0.5, 2), (None, 9), (0.9, 2_000_000_000)], "r double, n long")
     assert [x.p for x in edges.select(pearson_p_value(F.col("r"), F.col("n")).alias("p")).collect()] == [0.0, 0.0, 1.0, None, None, 0.0]
+
+
+def test_words_of_batches_are_the_md5_of_columns():
+    keys = np.array([0, 7, 10, 99, -5, 123456, 2**62, 10**6 + 1, -(2**63)])
+    found = np.empty((4, len(keys)), np.uint32)
+    for rows, digits in draws.decimals(keys):
+        found[:, rows] = draws.md5_words(b"log|order|", digits, b"|12")
+    expected = [hashlib.md5(f"log|order|{k}|12".encode()).digest() for k in keys.tolist()]
+    assert [found[:, n].astype(">u4").tobytes() for n in range(len(keys))] == expected
+    assert list(draws.decimals(np.empty(0, np.int64))) == []

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ from scalemetrics.operators import (
 from scalemetrics.operators.masks import MaskPlan
 from scalemetrics.operators.sessions import PoolItem, Rules
 from scalemetrics.functions.draws import row_hash
+from scalemetrics.plans.tables import derive_answers
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 from scalemetrics.spec import ScaleSpec
 
@@ -500,3 +502,15 @@ def test_rank_cuts_narrow_until_a_range_holds_few_rows(spark):
         got = quantiles.rank_cuts(df, ["stratum"], F.col("h"), "id", quantiles.hash_ranges(df, ["stratum"], F.col("h")), quotas, most=most).collect()
         assert {r.cut: r.cut_id for r in got} == {r.cut: ordered[r.quota - 1] for r in quotas.collect()}, most
     df.unpersist()
+
+
+def test_answers_of_unknown_and_negative_keys(spark):
+    rows = spark.createDataFrame([(None, 1, 1), (-12, 2, 1), (123456, 3, 1)], "o_orderkey long, origin long, origin_count int")
+    found = {r["respondent_id"]: r for r in derive_answers(rows).collect()}
+    assert all(found[None][i] is None for i in SPEC.items)
+    for key in (-12, 123456):
+        h = lambda name: int(hashlib.md5(f"{name}|{key}".encode()).hexdigest()[:8], 16)
+        for i in SPEC.items:
+            value = 1 + (5 * (h(SPEC.domain_of[i]) % 1000) + h("g") % 1000 + 4 * (h(i) % 1000)) // 10 // 200
+            expected = 6 - value if i in SPEC.reversed_items else value
+            assert found[key][i] == (0 if i == "ext1" and h("bad") % 100 < 3 else expected)
