@@ -34,8 +34,14 @@ def reverse_map(answers: Column, spec: ScaleSpec) -> Column:
 
 
 def dense(df: DataFrame, spec: ScaleSpec, answers: str = "answers") -> DataFrame:
-    """One column per item, missing where unanswered."""
-    return df.withColumns({i: F.try_element_at(F.col(answers), F.lit(i)) for i in spec.items})
+    """One column per item, missing where unanswered.
+
+    The items are looked up by one small expression: spelled out per item, the lookups outgrow what the JVM compiles. The map
+    is bound to a lambda variable, so that it is worked out once per row, not per item.
+    """
+    items = F.array(*[F.lit(i) for i in spec.items])
+    found = F.transform(F.array(answers), lambda a: F.transform(items, lambda i: F.try_element_at(a, i)))
+    return df.withColumn("__dense", F.get(found, F.lit(0))).withColumns({i: F.get("__dense", F.lit(n)) for n, i in enumerate(spec.items)}).drop("__dense")
 
 
 def rounded_result(raw: dict[str, Column], percentile: dict[str, Column]) -> Column:

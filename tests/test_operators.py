@@ -14,6 +14,7 @@ from scalemetrics.operators import (
 from scalemetrics.operators.masks import MaskPlan
 from scalemetrics.operators.sessions import PoolItem, Rules
 from scalemetrics.functions.draws import row_hash
+from scalemetrics.plans.ingest import digits
 from scalemetrics.plans.tables import derive_answers
 from scalemetrics.spec import FIVE_DOMAIN as SPEC
 from scalemetrics.spec import ScaleSpec
@@ -504,6 +505,30 @@ def test_rank_cuts_narrow_until_a_range_holds_few_rows(spark):
     df.unpersist()
 
 
+def largest_method(df):
+    """Bytes of the largest generated method; the JVM compiles none beyond 8,000."""
+    parts = df._jdf.queryExecution().debug().codegenToSeq()
+    return max((parts.apply(n)._3().maxMethodCodeSize() for n in range(parts.size())), default=0)
+
+
+def sparse_maps(spark):
+    names, cells = F.array(*[F.lit(i) for i in SPEC.items]), F.array(*[(F.col("id") % 5 + n % 2).cast("double") for n in range(SPEC.n_items)])
+    return spark.range(4).select(F.col("id").alias("respondent_id"), F.map_filter(F.map_from_arrays(names, cells), lambda _, v: v > 1).alias("answers"))
+
+
+def test_dense_vectors_stay_small_methods(spark):
+    vectors = requests.dense(sparse_maps(spark), SPEC).withColumns({i: F.col(i).cast("int") for i in SPEC.items})
+    assert largest_method(vectors.select("respondent_id", digits())) < 8000
+
+
+def test_dense_works_a_derived_map_out_once(spark):
+    vectors = requests.dense(sparse_maps(spark), SPEC)
+    by_id = {r["respondent_id"]: r for r in vectors.collect()}
+    assert [by_id[0]["ext1"], by_id[1]["ext1"], by_id[1]["ext2"], by_id[3]["ext1"]] == [None, None, 2.0, 3.0]
+    plan = vectors.select(*SPEC.items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 1 and "element_at(map_filter" not in plan
+
+
 def test_answers_of_unknown_and_negative_keys(spark):
     rows = spark.createDataFrame([(None, 1, 1), (-12, 2, 1), (123456, 3, 1)], "o_orderkey long, origin long, origin_count int")
     found = {r["respondent_id"]: r for r in derive_answers(rows).collect()}
