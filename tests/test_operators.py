@@ -539,3 +539,39 @@ def test_answers_of_unknown_and_negative_keys(spark):
             value = 1 + (5 * (h(SPEC.domain_of[i]) % 1000) + h("g") % 1000 + 4 * (h(i) % 1000)) // 10 // 200
             expected = 6 - value if i in SPEC.reversed_items else value
             assert found[key][i] == (0 if i == "ext1" and h("bad") % 100 < 3 else expected)
+
+
+def test_sessions_in_any_order_and_many_batches_are_counted_whole(spark):
+    from scalemetrics.operators.grouped import whole_groups
+
+    rows = [(s, p, i, 1 + (s + p) % 5) for s in range(40) for p, i in enumerate(SPEC.items[: 8 + s], start=1)]
+    repeats = [(s, p + 60, i, 9) for s, p, i, _ in rows] + [(None, 1, "ext1", 3), (None, 2, "agr1", 3)]
+    log = spark.createDataFrame(rows + repeats, "session long, pos int, item string, value int").repartition(5, "item")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        first = sessions.first_answers(log)
+        assert {tuple(r) for r in first.collect()} == set(rows) | {(None, 1, "ext1", 3), (None, 2, "agr1", 3)}
+        plan = first._jdf.queryExecution().toString()
+        assert "SortAggregate" not in plan and "Window" not in plan  # rows of the log are neither sorted nor grouped one by one
+        found = sessions.prefix_coverage(first, SPEC).filter("session is not null").collect()
+        assert len(found) == len(rows)
+        for r in found:
+            items = SPEC.items[: r["pos"]]
+            assert r["n_items"] == r["pos"] and all(r[f"n_{d}"] == sum(SPEC.domain_of[i] == d for i in items) for d in SPEC.domains)
+        assert sessions.session_state(log, SPEC).filter("session = 3 and size(answered) = 11").count() == 1
+        sizes = whole_groups(log.select("session", "pos"), "session", lambda t: t.slice(0, 0), log.select("session", "pos").schema)
+        assert sizes.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_earliest_stops_hold_length_reason_and_sem(spark):
+    sems = [f"sem_{d}" for d in SPEC.domains]
+    columns = ["session", "pos", "n_items", *(f"n_{d}" for d in SPEC.domains), *sems]
+    row = lambda s, n, sem: (s, n, n, *[n // 5] * 5, *[float(sem)] * 5)
+    prefixes = spark.createDataFrame([row(1, 20, 0.6), row(1, 21, 0.42), row(1, 22, 0.3), row(2, 7, 0.1), row(2, 9, 0.8), row(3, 50, 0.9)], columns)
+    found = {(r["session"], r["threshold"]): tuple(r)[2:] for r in sessions.earliest_stops(prefixes, SPEC, Rules(), [0.35, 0.45]).collect()}
+    assert found == {
+        (1, 0.35): (22, "sem_threshold_met", 0.3), (1, 0.45): (21, "sem_threshold_met", 0.42), (2, 0.35): (9, "log_end", 0.8), (2, 0.45): (9, "log_end", 0.8),
+        (3, 0.35): (50, "max_items_reached", 0.9), (3, 0.45): (50, "max_items_reached", 0.9),
+    }
