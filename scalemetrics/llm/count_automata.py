@@ -47,9 +47,9 @@ class Automaton:
 
     def paths(self) -> np.ndarray:
         """All accepted n-grams in order, as label rows of width ORDER; states are expanded level by level."""
-        out = np.full((len(self.counts), ORDER), NONE, np.int64)
+        out = np.full((len(self.counts), ORDER), NONE, np.int32)
         states, ranks = np.array([self.start]), np.zeros(1, np.int64)
-        rows = np.full((1, ORDER), NONE, np.int64)
+        rows = np.full((1, ORDER), NONE, np.int32)
         for depth in range(ORDER + 1):
             done = self.accepts[states]
             out[ranks[done]] = rows[done]
@@ -145,23 +145,36 @@ def arc_weights(offsets: np.ndarray, accepts: np.ndarray, targets: np.ndarray) -
 
 
 def united(parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]], floor: int) -> Automaton:
-    """Union of sorted n-grams with counts (rows, counts, words): counts of equal ones added, those below ``floor`` dropped."""
+    """Union of sorted n-grams with counts (rows, counts, words): counts of equal ones added, those below ``floor`` dropped.
+
+    Of all n-grams only one copy of their labels is made, column by column; rows are formed for those that stay.
+    """
     words = sorted(set(chain.from_iterable(p[2] for p in parts)))
     place = {w: i for i, w in enumerate(words)}
-    rows = [np.array([place[w] for w in p[2]] + [NONE], np.int64)[p[0]] for p in parts]
-    return built(*summed(np.concatenate(rows), np.concatenate([p[1] for p in parts]), floor), words)
+    labels = np.empty((ORDER, sum(len(p[0]) for p in parts)), np.int32)
+    at = 0
+    for rows, _, own in parts:
+        new = np.array([place[w] for w in own] + [NONE], np.int32)
+        for d in range(ORDER):
+            np.take(new, rows[:, d], out=labels[d, at : at + len(rows)], mode="wrap")  # NONE is the last
+        at += len(rows)
+    return built(*summed(labels.T, np.concatenate([p[1] for p in parts]), floor), words)
 
 
 def summed(rows: np.ndarray, counts: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows and the sums of their counts."""
+    """Sorted distinct rows and the sums of their counts; only rows that stay are copied."""
     if not len(rows):
         return rows, counts
     order = np.lexsort(rows.T[::-1])
-    rows, counts = rows[order], counts[order]
-    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-    sums = np.add.reduceat(counts, np.flatnonzero(new))
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for column in rows.T:
+        column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(counts[order], first)
     keep = sums >= floor
-    return rows[new][keep], sums[keep]
+    return rows[order[first[keep]]], sums[keep]
 
 
 def grams(a: np.ndarray, orders: tuple[int, int], passes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +186,7 @@ def grams(a: np.ndarray, orders: tuple[int, int], passes) -> tuple[np.ndarray, n
     """
     wide = np.int64(a.max(initial=0) + 1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, counts, keys
-    index, rows, counts, distinct = a - 1, np.arange(1, wide)[:, None], np.bincount(a, minlength=wide)[1:], None
+    index, rows, counts, distinct = a - 1, np.arange(1, wide, dtype=np.int32)[:, None], np.bincount(a, minlength=wide)[1:], None
     for order in range(1, orders[1] + 1):
         if order > 1:
             fits = (index[:-1] >= 0) & (a[order - 1 :] > 0)
@@ -187,11 +200,16 @@ def grams(a: np.ndarray, orders: tuple[int, int], passes) -> tuple[np.ndarray, n
             distinct, inverse, counts = np.unique(index[places] * wide + a[places + order - 1], return_inverse=True, return_counts=True)
             index = np.full(len(fits), -1)
             index[places] = inverse
-            rows = np.concatenate([rows[distinct // wide], (distinct % wide)[:, None]], axis=1)
+            rows = np.concatenate([rows[distinct // wide], (distinct % wide).astype(np.int32)[:, None]], axis=1)
         if order == orders[0]:
             found.append((rows, counts, np.arange(len(rows)) * wide))
         elif order == orders[1]:
             found.append((rows, counts, distinct))
     order = np.argsort(np.concatenate([k for *_, k in found]), kind="stable")
-    padded = [np.pad(r - 1, ((0, 0), (0, ORDER - r.shape[1])), constant_values=NONE) for r, *_ in found]
-    return np.concatenate(padded)[order], np.concatenate([c for _, c, _ in found])[order]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    out, at = np.full((len(order), ORDER), NONE, np.int32), 0
+    for r, *_ in found:
+        out[place[at : at + len(r)], : r.shape[1]] = r - 1
+        at += len(r)
+    return out, np.concatenate([c for _, c, _ in found])[order]

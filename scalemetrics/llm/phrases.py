@@ -291,9 +291,10 @@ def unite(bricks: DataFrame, floor: int) -> tuple[DataFrame, list[Key]]:
         yield from rows_out(parts(), RANGED, 1)
 
     def union(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        parts = [(a.paths(), a.counts, a.words) for a in map(Automaton.of, rows)]
-        return pa.Table.from_pylist([{"lang": rows[0]["lang"], "part": rows[0]["part"]} | united(parts, floor).columns()], schema=arrow_schema(RANGED))
+        one_by_one = (group.slice(i, 1).to_pylist()[0] for i in range(group.num_rows))
+        parts = [(a.paths(), a.counts, a.words) for a in map(Automaton.of, one_by_one)]
+        key = {c: group.column(c)[0].as_py() for c in ("lang", "part")}
+        return pa.Table.from_pylist([key | united(parts, floor).columns()], schema=arrow_schema(RANGED))
 
     return settle(bricks.mapInArrow(split, RANGED).groupBy("lang", "part").applyInArrow(union, RANGED)), cuts
 

@@ -159,3 +159,26 @@ def test_ngrams_of_a_run():
         got = [tuple(x for x in r if x != NONE) for r in rows.tolist()]
         assert dict(zip(got, counts.tolist())) == want and got == sorted(got) and len(got) == len(want)
     assert [len(x) for x in grams(np.zeros(1, np.int64), (3, 4), good)] == [0, 0]
+
+
+def test_uniting_many_ngrams_stays_within_a_hundred_bytes_each():
+    import tracemalloc
+
+    import numpy as np
+
+    from scalemetrics.llm.count_automata import ORDER, united
+
+    words = [b"%05d" % i for i in range(20_000)]
+    rng = np.random.default_rng(1)
+    parts = []
+    for _ in range(4):
+        rows = np.unique(rng.integers(0, len(words), (100_000, ORDER), dtype=np.int32), axis=0)
+        parts.append((rows, np.ones(len(rows), np.int64), words))
+    shared = parts[0][0][:1000]
+    parts.append((shared, np.full(len(shared), 29), words))
+    tracemalloc.start()
+    found = united(parts, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found.counts == 30).all() and [[found.words[i] for i in r] for r in found.paths()] == [[words[i] for i in r] for r in shared]
+    assert peak < 100 * sum(len(p[0]) for p in parts), peak
