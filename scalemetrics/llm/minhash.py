@@ -322,6 +322,16 @@ def apart(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return settle(own.join(several.select("key", F.col("most.c").alias("main")), "key").select("key", "node", "n", "c", "main"))
 
 
+def with_marks(memberships: DataFrame, near: DataFrame, *marks: str) -> DataFrame:
+    """Memberships (with key and node) and the marks of their nodes.
+
+    The join has one row per node, whatever the number of its bands; a node's memberships (BANDS at most) wait in an array meanwhile.
+    """
+    places = [c for c in memberships.columns if c != "node"]
+    by_node = memberships.groupBy("node").agg(F.collect_list(F.struct(*places)).alias("places"))
+    return by_node.join(near.select("node", *marks), "node").select("node", *marks, F.inline("places"))
+
+
 def equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of equal minima bits of all rows of ``a`` with all rows of ``b``."""
     x = a[:, None, :] ^ b[None, :, :]
@@ -356,7 +366,8 @@ def best_partners(open_members: DataFrame, near: DataFrame, place: int) -> DataF
     by_size = Window.partitionBy("node").orderBy(F.desc("n"), "key")
     asks = open_members.filter("c <> main").withColumn("place", F.row_number().over(by_size)).filter(F.col("place") == place + 1)
     asks = settle(asks.select("key", "node", F.lit(True).alias("asks")))
-    rows = open_members.join(asks.select("key").distinct(), "key").join(asks, ["key", "node"], "left").join(near.select("node", "n_shingles", "bits"), "node")
+    asked = open_members.join(asks.select("key").distinct(), "key").join(asks, ["key", "node"], "left")
+    rows = with_marks(asked, near, "n_shingles", "bits")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BEST_BLOCK)))
 
     def best(group: pa.Table) -> pa.Table:
@@ -379,9 +390,10 @@ def small_band_pairs(open_members: DataFrame, near: DataFrame) -> DataFrame:
 
     Such a pair has a node outside the band's main component, so only those nodes meet the band's others.
     """
-    rows = open_members.join(near.select("node", F.struct("n_shingles", "bits", "bands").alias("m")), "node")
-    left = rows.filter("c <> main").select("key", F.struct("node", "c", "m.*").alias("x"))
-    right = rows.select("key", (F.col("c") == F.col("main")).alias("is_main"), F.struct("node", "c", "m.*").alias("y"))
+    rows = with_marks(open_members, near, "n_shingles", "bits", "bands")
+    one = F.struct("node", "c", "n_shingles", "bits", "bands")
+    left = rows.filter("c <> main").select("key", one.alias("x"))
+    right = rows.select("key", (F.col("c") == F.col("main")).alias("is_main"), one.alias("y"))
     different = (F.col("x.c") != F.col("y.c")) & (F.col("is_main") | (F.col("x.node") < F.col("y.node")))
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == left.key  # a pair counts in one of its bands
     met = left.join(right, (left.key == right.key) & different & plausible("x", "y") & first)
@@ -390,7 +402,7 @@ def small_band_pairs(open_members: DataFrame, near: DataFrame) -> DataFrame:
 
 def plausible_blocks(open_members: DataFrame, near: DataFrame) -> DataFrame:
     """(key, i, j, side, node, c): nodes of two blocks of a band that have a plausible partner in the other block."""
-    rows = open_members.join(near.select("node", "n_shingles", "bits"), "node")
+    rows = with_marks(open_members, near, "n_shingles", "bits")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     what = ["node", "c", "n_shingles", "bits"]

@@ -4,7 +4,7 @@ import math
 import random
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -172,6 +172,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id for r in minhash.one_of_each_group(twice).collect()) == [8, 9]
 
 
+def rows_of_joins(df):
+    """Rows that each join of a collected table made."""
+    found, open_plans = [], [df._jdf.queryExecution().executedPlan()]
+    while open_plans:
+        plan = open_plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            open_plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            open_plans.append(plan.plan())
+        else:
+            children = plan.children()
+            open_plans += [children.apply(k) for k in range(children.size())]
+            if "Join" in name:
+                found.append(plan.metrics().apply("numOutputRows").value())
+    return found
+
+
+def test_joins_for_marks_do_not_grow_with_the_bands_of_a_node(spark):
+    n, bands = 20, 40
+    members = spark.createDataFrame([(b, k, 100, 0, k % 2) for k in range(n) for b in range(bands)] + [(7, 3, 100, 0, 1)], "key long, node long, n long, c long, main long")
+    near = spark.createDataFrame([(k, 10 + k, [k] * minhash.LONGS) for k in range(n + 5)], "node long, n_shingles long, bits array<long>")
+    got = minhash.with_marks(members, near, "n_shingles", "bits")
+    assert Counter(tuple(r[c] for c in members.columns) for r in got.collect()) == Counter(tuple(r) for r in members.collect())
+    assert all(r.n_shingles == 10 + r.node and r.bits[0] == r.node for r in got.collect())
+    assert rows_of_joins(got) == [n]
+
+
 def test_bits_estimate_the_similarity():
     texts = [" ".join(f"w{n}" for n in range(a, a + 1000)).encode() for a in (0, 100, 400)]
     _, m = minhash.minima(minhash.shingle_sets(texts, minhash.word_hashes()))
