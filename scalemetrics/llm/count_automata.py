@@ -16,8 +16,18 @@ import numpy as np
 ORDER = 4  # longest n-gram; shorter ones are filled up with NONE
 NONE = -1
 
-# How a row holds the arrays; an automaton has fewer than 2^31 n-grams.
-STORED = {"offsets": "<i4", "accepts": "<i1", "labels": "<i4", "targets": "<i4", "weights": "<i4", "counts": "<i8"}
+# What a row holds of an automaton beside its words; the weights follow from it.
+STORED = ("sizes", "accepts", "labels", "targets", "counts")
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as bytes: the width of one, then all in the narrowest width."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0))) if numbers.dtype != bool else np.dtype("u1")
+    return bytes([kind.itemsize]) + numbers.astype(kind.newbyteorder("<")).tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -34,12 +44,14 @@ class Automaton:
 
     def columns(self) -> dict[str, object]:
         """As values of a row: the words, and the arrays as bytes."""
-        return {"words": self.words} | {n: getattr(self, n).astype(t).tobytes() for n, t in STORED.items()}
+        arrays = {"sizes": np.diff(self.offsets)} | {n: getattr(self, n) for n in STORED[1:]}
+        return {"words": self.words} | {n: narrow(a) for n, a in arrays.items()}
 
     @classmethod
     def of(cls, row: dict[str, object]) -> Automaton:
-        arrays = {n: np.frombuffer(row[n], t).astype(np.int64) for n, t in STORED.items()}
-        return cls(words=row["words"], **arrays | {"accepts": arrays["accepts"] > 0})
+        sizes, accepts, labels, targets, counts = (wide(row[n]) for n in STORED)
+        offsets, accepts = np.concatenate([[0], np.cumsum(sizes)]), accepts > 0
+        return cls(row["words"], offsets, accepts, labels, targets, arc_weights(offsets, accepts, targets), counts)
 
     @property
     def start(self) -> int:
@@ -56,8 +68,7 @@ class Automaton:
             sizes = self.offsets[states + 1] - self.offsets[states]
             if depth == ORDER or not sizes.sum():
                 break
-            ends = np.cumsum(sizes)
-            arcs = np.arange(ends[-1]) + np.repeat(self.offsets[states] - (ends - sizes), sizes)
+            arcs = places(self.offsets[states], sizes)
             rows = np.repeat(rows, sizes, axis=0)
             rows[:, depth] = self.labels[arcs]
             ranks = np.repeat(ranks, sizes) + self.weights[arcs]
@@ -92,56 +103,91 @@ def built(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> Automaton
     """Minimal automaton of sorted, distinct n-grams over sorted ``words``.
 
     The rows that share a beginning are one run of the sorted rows. Runs are closed from the longest beginnings to the
-    shortest, in order; a closed run becomes a state, or the equal one that the register already holds.
+    shortest, in order; a closed run becomes a state, or the equal one that the register already holds. Runs of a level are
+    closed together and found by hash; each is compared with its state, and if hashes ever met by chance, others are taken.
     """
-    used = np.unique(rows[rows != NONE])
+    used = np.flatnonzero(np.bincount(rows[rows != NONE]))
     new = np.full(len(words) + 1, NONE, np.int64)
     new[used] = np.arange(len(used))
     rows = new[rows]
+    seed = 0
+    while (states := minimal_states(rows, seed)) is None:
+        seed += 1
+    offsets, accepts, labels, targets = states
+    return Automaton([words[i] for i in used], offsets, accepts, labels, targets, arc_weights(offsets, accepts, targets), counts)
+
+
+def run_hashes(labels: np.ndarray, states: np.ndarray, starts: np.ndarray, accepts: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each run of arcs; the labels of a run are distinct and in order, so a sum tells runs apart."""
+    factors = np.random.default_rng(seed).integers(0, 1 << 64, 3, np.uint64, endpoint=False) | np.uint64(1)
+    x = (labels.astype(np.uint64) + np.uint64(1)) * factors[0] + states.astype(np.uint64) * factors[1]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return np.add.reduceat(x * factors[2], starts) + accepts.astype(np.uint64)
+
+
+def minimal_states(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(offsets, accepts, labels, targets) of the states of sorted, distinct rows; None if two different runs have one hash."""
     lengths = (rows != NONE).sum(axis=1)
     n = len(rows)
     differs = np.ones((n, ORDER + 1), bool)  # row differs from the one before within its first d labels
     differs[:, 0] = np.arange(n) == 0
     for d in range(1, ORDER + 1):
         differs[1:, d] = differs[1:, d - 1] | (rows[1:, d - 1] != rows[:-1, d - 1])
-    register: dict[bytes, int] = {}
-    none = np.empty(0, np.int64)
-    kept = [(True, none, none)] if n else [(False, none, none)]
+    offsets, accepts = np.zeros(2, np.int64), np.array([n > 0])  # the first state: without continuations
+    kept_labels, kept_targets = np.empty(0, np.int64), np.empty(0, np.int64)
+    register, registered = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes and their states
     below_first, below_state = np.empty(0, np.int64), np.empty(0, np.int64)
     for depth in range(ORDER, -1, -1):
         first = np.flatnonzero(differs[:, depth] & (lengths >= depth))
-        ends = lengths[first] == depth
-        labels = rows[below_first, depth] if depth < ORDER else np.empty(0, np.int64)
-        cuts = np.searchsorted(below_first, np.append(first, n))
-        states = np.zeros(len(first), np.int64)  # without continuations: the first state
-        arcs = np.stack([labels, below_state], axis=1) if depth < ORDER else np.empty((0, 2), np.int64)
-        inner = np.flatnonzero(cuts[1:] > cuts[:-1])
-        for k, a, b, accept in zip(inner.tolist(), cuts[inner].tolist(), cuts[inner + 1].tolist(), ends[inner].tolist()):
-            key = arcs[a:b].tobytes() + (b"+" if accept else b"-")
-            state = register.get(key)
-            if state is None:
-                state = register[key] = len(kept)
-                kept.append((accept, labels[a:b], below_state[a:b]))
-            states[k] = state
+        states = np.zeros(len(first), np.int64)
+        if len(below_first):
+            labels = rows[below_first, depth]
+            cuts = np.searchsorted(below_first, np.append(first, n))
+            inner = np.flatnonzero(cuts[1:] > cuts[:-1])  # their runs of arcs follow each other without gaps
+            starts, sizes, ends = cuts[inner], np.diff(cuts)[inner], lengths[first[inner]] == depth
+            found, example, which = np.unique(run_hashes(labels, below_state, starts, ends, seed), return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(register, found), max(len(register) - 1, 0))
+            held = register[place] == found if len(register) else np.zeros(len(found), bool)
+            state_of = np.empty(len(found), np.int64)
+            state_of[held] = registered[place[held]]
+            fresh = np.flatnonzero(~held)
+            fresh = fresh[np.argsort(example[fresh])]
+            state_of[fresh] = len(accepts) + np.arange(len(fresh))
+            run = example[fresh]
+            arcs = places(starts[run], sizes[run])
+            offsets = np.concatenate([offsets, offsets[-1] + np.cumsum(sizes[run])])
+            accepts = np.concatenate([accepts, ends[run]])
+            kept_labels, kept_targets = np.concatenate([kept_labels, labels[arcs]]), np.concatenate([kept_targets, below_state[arcs]])
+            register, registered = np.concatenate([register, found[fresh]]), np.concatenate([registered, state_of[fresh]])
+            order = np.argsort(register)
+            register, registered = register[order], registered[order]
+            of_run = state_of[which]
+            if (offsets[of_run + 1] - offsets[of_run] != sizes).any() or (accepts[of_run] != ends).any():
+                return None
+            same = places(offsets[of_run], sizes)
+            if (kept_labels[same] != labels).any() or (kept_targets[same] != below_state).any():
+                return None
+            states[inner] = of_run
         below_first, below_state = first, states
-    sizes = np.array([len(k[1]) for k in kept], np.int64)
-    accepts = np.array([k[0] for k in kept], bool)
-    labels, targets = (np.concatenate([k[i] for k in kept]) for i in (1, 2))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    return Automaton([words[i] for i in used], offsets, accepts, labels, targets, arc_weights(offsets, accepts, targets), counts)
+    return offsets, accepts, kept_labels, kept_targets
+
+
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs given by their starts and sizes, run after run."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def arc_weights(offsets: np.ndarray, accepts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Number of accepted n-grams before each arc of its state; a state's targets come before it."""
+    """Number of accepted n-grams before each arc of its state, found for states with longer and longer continuations."""
     below = np.zeros(len(accepts), np.int64)
-    weights = np.empty(len(targets), np.int64)
-    at, to, ends = offsets.tolist(), targets, accepts.tolist()
-    for s in range(len(ends)):
-        a, b = at[s], at[s + 1]
-        passed = np.cumsum(below[to[a:b]])
-        weights[a:b] = passed - below[to[a:b]] + ends[s]
-        below[s] = (passed[-1] if b > a else 0) + ends[s]
-    return weights
+    while True:
+        sums = np.concatenate([[0], np.cumsum(below[targets])])
+        more = accepts + sums[offsets[1:]] - sums[offsets[:-1]]
+        if (more == below).all():
+            return sums[:-1] + np.repeat(accepts - sums[offsets[:-1]], np.diff(offsets))
+        below = more
 
 
 def united(parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]], floor: int) -> Automaton:

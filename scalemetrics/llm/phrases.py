@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,7 @@ PLAIN = bytes.maketrans(CAPITALS + BREAKS + b"\t", CAPITALS.lower() + BREAK * le
 
 SHARD_WORDS, SHARD_VOCABULARY = 1_500_000, 250_000
 BRICK, RANGE_BRICKS, MOST_RANGES = 1 << 16, 16, 1 << 16
+PROBES = 16  # of a full brick
 FILTER_BITS = 1 << 26
 KEY_BYTES = 64
 REQUESTS_PER_TASK = 1 << 21
@@ -45,11 +47,11 @@ REQUESTS_PER_TASK = 1 << 21
 Key = tuple[str, tuple[bytes, ...]]
 
 AUTOMATON = ", ".join(["words array<binary>", *(f"{n} binary" for n in STORED)])
-BRICKS = f"lang string, lo array<binary>, hi array<binary>, {AUTOMATON}"
+BRICKS = f"lang string, lo array<binary>, hi array<binary>, probes array<array<binary>>, {AUTOMATON}"
 RANGED = f"lang string, part int, {AUTOMATON}"
 
 
-TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<array<binary>>": pa.list_(pa.list_(pa.binary()))}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -228,21 +230,26 @@ def shard_bricks(docs: DataFrame, orders: tuple[int, int], word_bits: Broadcast,
 
 
 def brick(language: str, rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> dict:
-    ends = [list(key_of(words[i] for i in rows[k] if i != NONE)) for k in (0, -1)]
-    return {"lang": language, "lo": ends[0], "hi": ends[1]} | built(rows, counts, words).columns()
+    """A brick as a row. ``probes``: every so manyth of its n-grams, from a place of its own, so that probes of many shards spread."""
+    step = BRICK // PROBES
+    probes = range(zlib.crc32(counts.tobytes() + rows[-1].tobytes()) % step, len(rows), step)
+    ends, keys = ([list(key_of(words[i] for i in rows[k] if i != NONE)) for k in at] for at in ((0, -1), probes))
+    return {"lang": language, "lo": ends[0], "hi": ends[1], "probes": keys} | built(rows, counts, words).columns()
 
 
-def cut_points(bricks: DataFrame, n_bricks: int) -> list[Key]:
+def cut_points(bricks: DataFrame) -> list[Key]:
     """Sorted beginnings of the ranges: at most MOST_RANGES keys of at most ORDER * KEY_BYTES bytes.
 
-    Spark's range partitioning of the bricks' first n-grams chooses them; no result depends on the choice.
+    Spark's range partitioning of the bricks' probes chooses them; no result depends on the choice. Probes stand for equal numbers of
+    n-grams: the bricks' first n-grams would not do, since the k-th bricks of all shards begin at about the same place.
     """
-    ranges = min(MOST_RANGES, n_bricks // RANGE_BRICKS + 1)
+    n_probes = bricks.agg(F.sum(F.size("probes"))).first()[0] or 0
+    ranges = min(MOST_RANGES, n_probes // (RANGE_BRICKS * PROBES) + 1)
     if ranges == 1:
         return []
-    keys = bricks.select(F.struct("lang", "lo").alias("key")).repartitionByRange(ranges, "key")
+    keys = bricks.select("lang", F.explode("probes").alias("probe")).select(F.struct("lang", "probe").alias("key")).repartitionByRange(ranges, "key")
     firsts = keys.withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.min("key").alias("key")).collect()
-    return sorted({(r.key.lang, tuple(bytes(w) for w in r.key.lo)) for r in firsts})[1:]
+    return sorted({(r.key.lang, tuple(bytes(w) for w in r.key.probe)) for r in firsts})[1:]
 
 
 def range_edges(cuts: list[Key], language: str, automaton_words: list[bytes], rows: np.ndarray) -> list[tuple[int, int, int]]:
@@ -270,7 +277,7 @@ def range_edges(cuts: list[Key], language: str, automaton_words: list[bytes], ro
 
 def unite(bricks: DataFrame, floor: int) -> tuple[DataFrame, list[Key]]:
     """Automaton of each language and range (lang, part, automaton) with counts of at least ``floor``, and the cut points."""
-    cuts = cut_points(bricks, bricks.count())
+    cuts = cut_points(bricks)
     shared = bricks.sparkSession.sparkContext.broadcast(cuts)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +288,7 @@ def unite(bricks: DataFrame, floor: int) -> tuple[DataFrame, list[Key]]:
                 for row in batch.to_pylist():
                     ends = [bisect_right(cuts, (row["lang"], tuple(row[e]))) for e in ("lo", "hi")]
                     if ends[0] == ends[1]:
-                        yield {c: v for c, v in row.items() if c not in ("lo", "hi")} | {"part": ends[0]}
+                        yield {c: v for c, v in row.items() if c not in ("lo", "hi", "probes")} | {"part": ends[0]}
                         continue
                     automaton = Automaton.of(row)
                     rows = automaton.paths()

@@ -182,3 +182,47 @@ def test_uniting_many_ngrams_stays_within_a_hundred_bytes_each():
     tracemalloc.stop()
     assert (found.counts == 30).all() and [[found.words[i] for i in r] for r in found.paths()] == [[words[i] for i in r] for r in shared]
     assert peak < 100 * sum(len(p[0]) for p in parts), peak
+
+
+def test_stored_automata_are_narrow():
+    rng = np.random.default_rng(5)
+    rows = np.unique(np.concatenate([rng.integers(0, 300, (20_000, 2)), np.full((20_000, 2), NONE)], axis=1).astype(np.int32), axis=0)
+    counts = rng.integers(1, 200, len(rows))
+    automaton = built(rows, counts, [b"%03d" % i for i in range(300)])
+    row = automaton.columns()
+    assert sum(len(v) for v in row.values() if isinstance(v, bytes)) < 6 * len(rows)  # labels, targets and counts; 20 bytes each before
+    again = Automaton.of(row)
+    assert np.array_equal(again.paths(), rows) and np.array_equal(again.counts, counts) and np.array_equal(again.weights, automaton.weights)
+
+
+def test_runs_with_one_hash_stay_apart(monkeypatch):
+    from scalemetrics.llm import count_automata
+
+    rows = np.array([[0, 1, NONE, NONE], [0, 2, NONE, NONE], [1, 2, NONE, NONE], [2, 1, NONE, NONE], [2, 2, NONE, NONE]], np.int32)
+    words, counts, honest, seeds = [b"a", b"b", b"c"], np.arange(1, 6), count_automata.run_hashes, []
+
+    def meeting(labels, states, starts, accepts, seed):
+        seeds.append(seed)
+        return honest(labels, states, starts, accepts, seed) * np.uint64(seed > 1)
+
+    plain = built(rows, counts, words)
+    monkeypatch.setattr(count_automata, "run_hashes", meeting)
+    again = built(rows, counts, words)
+    assert max(seeds) == 2 and len(plain.accepts) == 4  # equal continuations are one state
+    assert np.array_equal(again.paths(), rows) and np.array_equal(again.offsets, plain.offsets) and np.array_equal(again.targets, plain.targets)
+
+
+def test_ranges_hold_like_numbers_of_n_grams(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BRICK", 256)
+    monkeypatch.setattr(phrases, "RANGE_BRICKS", 4)
+    rng, words = np.random.default_rng(8), [b"%04d" % i for i in range(4000)]
+    shards = [np.sort(rng.choice(4000, 1024, replace=False)) for _ in range(40)]
+    rows = [np.concatenate([s[:, None], np.full((1024, 3), NONE)], axis=1).astype(np.int32) for s in shards]
+    bricks = [phrases.brick("en", r[at : at + 256], np.ones(256, np.int64) + k, words) for k, r in enumerate(rows) for at in range(0, 1024, 256)]
+    cuts = phrases.cut_points(spark.createDataFrame(bricks, phrases.BRICKS).repartition(4))
+    sizes = Counter()
+    for r in rows:
+        for part, a, b in phrases.range_edges(cuts, "en", words, r):
+            sizes[part] += b - a
+    assert 30 < len(sizes) < 50 and sum(sizes.values()) == 40 * 1024
+    assert max(sizes.values()) < 3 * 4 * 256  # by the bricks' first n-grams: about 40 * 256
