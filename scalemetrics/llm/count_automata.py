@@ -8,6 +8,7 @@ word, a beginning before its continuations.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from itertools import chain
 
@@ -16,8 +17,17 @@ import numpy as np
 ORDER = 4  # longest n-gram; shorter ones are filled up with NONE
 NONE = -1
 
-# What a row holds of an automaton beside its words; the weights follow from it.
-STORED = ("sizes", "accepts", "labels", "targets", "counts")
+# What a row holds of an automaton; the weights follow from it.
+STORED = ("words", "sizes", "accepts", "labels", "targets", "counts")
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words (of one byte at least and without white space) as compressed bytes: sorted ones share much with their neighbours."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split()
 
 
 def narrow(numbers: np.ndarray) -> bytes:
@@ -42,16 +52,16 @@ class Automaton:
     weights: np.ndarray
     counts: np.ndarray
 
-    def columns(self) -> dict[str, object]:
-        """As values of a row: the words, and the arrays as bytes."""
-        arrays = {"sizes": np.diff(self.offsets)} | {n: getattr(self, n) for n in STORED[1:]}
-        return {"words": self.words} | {n: narrow(a) for n, a in arrays.items()}
+    def columns(self) -> dict[str, bytes]:
+        """As values of a row."""
+        arrays = {"sizes": np.diff(self.offsets)} | {n: getattr(self, n) for n in STORED[2:]}
+        return {"words": packed_words(self.words)} | {n: narrow(a) for n, a in arrays.items()}
 
     @classmethod
     def of(cls, row: dict[str, object]) -> Automaton:
-        sizes, accepts, labels, targets, counts = (wide(row[n]) for n in STORED)
+        sizes, accepts, labels, targets, counts = (wide(row[n]) for n in STORED[1:])
         offsets, accepts = np.concatenate([[0], np.cumsum(sizes)]), accepts > 0
-        return cls(row["words"], offsets, accepts, labels, targets, arc_weights(offsets, accepts, targets), counts)
+        return cls(unpacked_words(row["words"]), offsets, accepts, labels, targets, arc_weights(offsets, accepts, targets), counts)
 
     @property
     def start(self) -> int:

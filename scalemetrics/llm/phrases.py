@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scalemetrics.llm.common import table, text_bytes, whole_texts
-from scalemetrics.llm.count_automata import NONE, ORDER, STORED, Automaton, built, grams, united
+from scalemetrics.llm.count_automata import NONE, ORDER, STORED, Automaton, built, grams, narrow, packed_words, united, unpacked_words, wide
 from scalemetrics.llm.registry import query
 from scalemetrics.workspace import settle
 
@@ -46,7 +46,7 @@ REQUESTS_PER_TASK = 1 << 21
 
 Key = tuple[str, tuple[bytes, ...]]
 
-AUTOMATON = ", ".join(["words array<binary>", *(f"{n} binary" for n in STORED)])
+AUTOMATON = ", ".join(f"{n} binary" for n in STORED)
 BRICKS = f"lang string, lo array<binary>, hi array<binary>, probes array<array<binary>>, {AUTOMATON}"
 RANGED = f"lang string, part int, {AUTOMATON}"
 
@@ -157,9 +157,10 @@ def pair_bitmap(ranges: DataFrame) -> bytes:
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows = Automaton.of(row).paths()
+                automaton = Automaton.of(row)
+                rows = automaton.paths()
                 rows = rows[rows[:, 1] != NONE]
-                yield pa.RecordBatch.from_arrays([pa.array(pair_bits(word_hash(row["lang"], row["words"]), rows).astype(np.int64))], names=["place"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair_bits(word_hash(row["lang"], automaton.words), rows).astype(np.int64))], names=["place"])
 
     return bitmap(ranges.mapInArrow(place, "place long"), "place")
 
@@ -292,7 +293,7 @@ def unite(bricks: DataFrame, floor: int) -> tuple[DataFrame, list[Key]]:
                         continue
                     automaton = Automaton.of(row)
                     rows = automaton.paths()
-                    for part, a, b in range_edges(cuts, row["lang"], row["words"], rows):
+                    for part, a, b in range_edges(cuts, row["lang"], automaton.words, rows):
                         yield {"lang": row["lang"], "part": part} | built(rows[a:b], automaton.counts[a:b], automaton.words).columns()
 
         yield from rows_out(parts(), RANGED, 1)
@@ -323,18 +324,10 @@ def as_bricks(ranges: DataFrame) -> DataFrame:
 
 # What a candidate asks for: first parts and rests by the number of words cut off, and the middle pair of four words.
 FIRST, REST, MIDDLE = (0, 2, 4), (1, 3, 5), 6
-REQUESTS = "lang string, part int, source int, n long, words array<binary>, rows binary, ranks binary, slots binary, counts binary"
+REQUESTS = "lang string, part int, source int, n long, words binary, rows binary, ranks binary, slots binary, counts binary"
 NUMBERS = "lang string, part int, rank long, slot int, value long"
 
 
-def as_bytes(numbers: np.ndarray) -> bytes:
-    return numbers.astype("<i8").tobytes()
-
-
-def as_numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i8")
-
-
 def part_requests(ranges: DataFrame, cuts: list[Key]) -> DataFrame:
     """Parts of the candidates of each range, by the range that holds the part."""
     shared = ranges.sparkSession.sparkContext.broadcast(cuts)
@@ -352,8 +345,8 @@ def part_requests(ranges: DataFrame, cuts: list[Key]) -> DataFrame:
                         labels = np.searchsorted(used, rows[a:b])
                         labels[rows[a:b] == NONE] = NONE
                         yield {
-                            "lang": row["lang"], "part": part, "source": row["part"], "n": b - a, "words": [automaton.words[i] for i in used], "rows": as_bytes(labels),
-                            "ranks": as_bytes(ranks[a:b]), "slots": as_bytes(slots[a:b]), "counts": as_bytes(automaton.counts[ranks[a:b]]),
+                            "lang": row["lang"], "part": part, "source": row["part"], "n": b - a, "words": packed_words([automaton.words[i] for i in used]), "rows": narrow(labels - NONE),
+                            "ranks": narrow(ranks[a:b]), "slots": narrow(slots[a:b]), "counts": narrow(automaton.counts[ranks[a:b]]),
                         }
 
         yield from rows_out(requests(), REQUESTS, 1)
@@ -392,13 +385,13 @@ def answers(ranges: DataFrame, requests: DataFrame) -> DataFrame:
         automaton = Automaton.of(row)
         around = np.zeros(len(automaton.counts), np.int64)
         for r in asked.to_pylist():
-            ranks = automaton.ranks_of(as_numbers(r["rows"]).reshape(-1, ORDER), r["words"])
+            ranks = automaton.ranks_of(wide(r["rows"]).reshape(-1, ORDER) + NONE, unpacked_words(r["words"]))
             if (ranks < 0).any():
                 raise ValueError("a part of a frequent phrase has no count")
-            np.maximum.at(around, ranks, as_numbers(r["counts"]))
-            slots = as_numbers(r["slots"])
+            np.maximum.at(around, ranks, wide(r["counts"]))
+            slots = wide(r["slots"])
             keep = slots != MIDDLE
-            values = {"part": np.full(keep.sum(), r["source"]), "rank": as_numbers(r["ranks"])[keep], "slot": slots[keep], "value": automaton.counts[ranks][keep]}
+            values = {"part": np.full(keep.sum(), r["source"]), "rank": wide(r["ranks"])[keep], "slot": slots[keep], "value": automaton.counts[ranks][keep]}
             for n, v in values.items():
                 out[n].append(v)
         inside = np.flatnonzero(around)

@@ -193,6 +193,7 @@ def test_stored_automata_are_narrow():
     assert sum(len(v) for v in row.values() if isinstance(v, bytes)) < 6 * len(rows)  # labels, targets and counts; 20 bytes each before
     again = Automaton.of(row)
     assert np.array_equal(again.paths(), rows) and np.array_equal(again.counts, counts) and np.array_equal(again.weights, automaton.weights)
+    assert len(row["words"]) < 3 * 300 and again.words == automaton.words  # an array of them takes 16 bytes each and more
 
 
 def test_runs_with_one_hash_stay_apart(monkeypatch):
