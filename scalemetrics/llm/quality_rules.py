@@ -86,7 +86,7 @@ def text_stats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
             (F.length(t) - without(t, SYMBOLS)).cast("long").alias("n_symbols"),
             (F.length(t) - without(t, CAPITALS)).cast("long").alias("n_capitals"),
             (F.length(t) - without(t, "!")).cast("long").alias("n_shouts"),
-            bind(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
+            bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             repeated_words(F.col("__w")).alias("n_repeat_words"),
         ),
     ).drop("__w")
@@ -98,7 +98,7 @@ def text_stats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
     failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
     q = F.struct(
         c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
-        c["lines"]["dup"].cast("long").alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
+        c["lines"]["dup"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
         share(c["n_symbols"], c["word_chars"]).alias("symbol_share"), share(c["n_capitals"], c["word_chars"]).alias("capital_share"),
         share(c["n_shouts"], c["word_chars"]).alias("shout_share"), share(c["lines"]["dup"], c["lines"]["all"]).alias("dup_line_share"),
         share(c["n_repeat_words"], c["n_words"]).alias("repeat_share"), share(c["word_chars"], c["n_words"], 1000).alias("mean_word"),

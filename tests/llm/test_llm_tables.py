@@ -131,6 +131,15 @@ def test_shards_of_odd_rows(spark):
     assert all(v == Counter(r.shard for r in got)[s] for s, v in gapless([{"s": r.shard, "o": r.slot, "n": 1} for r in got], "s", "o", "n").items())
 
 
+def test_a_text_of_thousands_of_equal_lines_has_its_share(spark):
+    rows = [(1, "the same line\n" * 3000, "en", "a"), (2, "one line", "en", "a")]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.q for r in quality_rules.quality_rules(docs).collect()}
+    assert got[1].n_dup_lines == 2999 and got[1].dup_line_share == 2999 * 1_000_000 // 3000
+    assert got[2].n_dup_lines == 0 and got[2].dup_line_share == 0
+    assert quality_rules.filter_documents(docs).collect() == []
+
+
 def test_quality_counts_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(n, "".join(rng.choice(["a ", "b ", "a b c ", "x\n", "\n", "#", "%%% ", "Ä", "\t", "a b c d e f g h\n"]) for _ in range(rng.randint(0, 120))), "en", "s") for n in range(150)]
