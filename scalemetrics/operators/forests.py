@@ -4,7 +4,7 @@ Answers are bins (one byte each, the last bin is "missing"), so what a split nee
 node have a bin, and how many of them lie above their prediction. One pass over the table returns these counts for
 every model and node of a level at once, whatever the number of models; quantiles, domains, folds and candidate
 settings are all just models. A pass costs one job: tasks count by matrix products, the counts of many tasks are added per model, and the driver
-picks splits from sums whose size the layout gives. A last pass per round counts residuals per leaf in fine classes, and
+picks splits from sums whose size the layout gives. Only left children are counted: a right child has what its parent has beyond them. A last pass per round counts residuals per leaf in fine classes, and
 the leaf takes their quantile; the same rule holds at every size.
 
 A forest is flat arrays: per tree the nodes in breadth order with an item and a bit mask of the bins that go left, and the leaf
@@ -30,8 +30,9 @@ from scalemetrics.workspace import settle
 QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
 ADD_AT_ONCE = 32
 CLASSES = 1024  # residual classes of a leaf
-ROWS_AT_ONCE = 8192
+ROWS_AT_ONCE = 32768  # rows of a block: plain operations on bytes cost more to call than to do below that
 COUNTED_AT_ONCE = 2048  # rows of one matrix product; its sums stay exact in single precision
+ABOVE_BITS = 12  # a row above its prediction weighs 1 + 2^12 in a matrix product, so that a sum holds two counts of at most COUNTED_AT_ONCE
 COLUMNS_AT_ONCE = 512  # groups of rows counted by one matrix product
 CUT_EVERY = 10  # rounds after which the predictions so far are written to the shared folder
 EVERY_FOLD = -1
@@ -83,11 +84,13 @@ class Forest:
 
     def added(self, by_item: np.ndarray, model: int, trees: slice) -> np.ndarray:
         """Sum of the leaf values that some trees of a model give each row; ``by_item``: items x rows."""
-        leaves = self.leaves[model, trees]
-        values = np.empty((by_item.shape[1], len(leaves)))
-        for t, (items, masks) in enumerate(zip(self.items[model, trees], self.masks[model, trees])):
-            values[:, t] = leaves[t][descend(by_item, items, masks, self.depth)]
-        return values.sum(axis=1)
+        n = by_item.shape[1]
+        total, value, place = np.zeros(n), np.empty(n), np.empty(n, np.intp)
+        for items, masks, leaves in zip(self.items[model, trees], self.masks[model, trees], self.leaves[model, trees]):
+            if leaves.any():  # trees beyond a model's best round give nothing
+                place[:] = descend(by_item, items, masks, self.depth)
+                total += leaves.take(place, out=value, mode="clip")
+        return total
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         """Rows x models."""
@@ -104,11 +107,11 @@ def goes_right(by_item: np.ndarray, item: int, mask: int) -> np.ndarray:
     column, run = by_item[item], 0
     while mask >> run & 1:
         run += 1
-    left = column < run
+    right = column >= run
     for b in range(run + 1, mask.bit_length()):
         if mask >> b & 1:
-            left |= column == b
-    return ~left
+            right &= column != b
+    return right
 
 
 def descend(by_item: np.ndarray, items: np.ndarray, masks: np.ndarray, depth: int) -> np.ndarray:
@@ -117,20 +120,23 @@ def descend(by_item: np.ndarray, items: np.ndarray, masks: np.ndarray, depth: in
     The nodes of a level are compared for all rows and a row's own one is picked by its turns so far: plain
     operations on bytes, about ten times as fast as looking up node, item and bin row by row.
     """
-    at = np.zeros(by_item.shape[1], np.uint8 if depth <= 8 else np.int64)
+    n, kind = by_item.shape[1], np.uint8 if depth <= 8 else np.int64
     items, masks, turns = items.tolist(), masks.tolist(), []
     for level in range(depth):
         first = (1 << level) - 1
         rules = masks[first : 2 * first + 1]
         if all(r == -1 for r in rules):
-            turn = np.zeros(len(at), bool)
+            turn = np.zeros(n, bool)
         else:
-            sides = [np.zeros(len(at), bool) if r == -1 else goes_right(by_item, i, r) for i, r in zip(items[first : 2 * first + 1], rules)]
+            sides = [np.zeros(n, bool) if r == -1 else goes_right(by_item, i, r) for i, r in zip(items[first : 2 * first + 1], rules)]
             for earlier in reversed(turns):
                 sides = [a ^ (earlier & (a ^ b)) for a, b in zip(sides[::2], sides[1::2])]
             turn = sides[0]
         turns.append(turn)
-        at = (at << 1) | turn
+    at = np.zeros(n, kind)
+    for turn in turns:
+        at += at
+        at |= turn.view(np.uint8)
     return at
 
 
@@ -203,6 +209,22 @@ def added_up(parts: RDD, n_keys: int) -> dict[int, np.ndarray]:
     return {key: np.concatenate(total(rows)) for key, rows in by_key.items()}
 
 
+def whole_blocks(batches: Iterable[pa.RecordBatch], n_rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches of ``n_rows``, the last one shorter."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, n_rows - sum(b.num_rows for b in some))
+            some.append(part)
+            at += part.num_rows
+            if sum(b.num_rows for b in some) == n_rows:
+                yield pa.concat_batches(some)
+                some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
 # Some rows of the table: answers (items x rows), what to predict (domains x rows), held-out flags, folds, and the
 # predictions so far (models x rows).
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -224,13 +246,11 @@ class Grower:
         n_items, n_domains = spec.n_items, len(spec.domains)
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    bins, y = matrix(part.column("bins"), n_items, np.uint8), matrix(part.column("y"), n_domains, np.float64)
-                    held, fold = part.column("held").to_numpy(zero_copy_only=False), part.column("fold").to_numpy()
-                    block = (np.ascontiguousarray(bins.T), np.ascontiguousarray(y.T), held.astype(bool), fold.copy(), np.zeros((models, len(bins))))
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+            for part in whole_blocks(batches, ROWS_AT_ONCE):
+                bins, y = matrix(part.column("bins"), n_items, np.uint8), matrix(part.column("y"), n_domains, np.float64)
+                held, fold = part.column("held").to_numpy(zero_copy_only=False), part.column("fold").to_numpy()
+                block = (np.ascontiguousarray(bins.T), np.ascontiguousarray(y.T), held.astype(bool), fold.copy(), np.zeros((models, len(bins))))
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
         settled = settle(rows.select("bins", "y", "held", "fold"))
         self.blocks = settled.mapInArrow(blocks, "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
@@ -251,10 +271,10 @@ class Grower:
         def run(blocks: Iterator[Block]) -> Iterator[tuple[int, Counts]]:
             total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for by_item, y, held, fold, scores in blocks:
+                sides = {f: (seen & ~held, seen & held) for f in {folds[m] for m in active} for seen in (fold != f,)}
 
                 def residuals(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                    seen = fold != folds[m]
-                    return y[domains[m]] - scores[m], seen & ~held, seen & held
+                    return y[domains[m]] - scores[m], *sides[folds[m]]
 
                 def nodes(m: int, depth: int) -> np.ndarray:
                     return descend(by_item, items[m, 0], masks[m, 0], depth) if depth else np.zeros(by_item.shape[1], np.uint8)
@@ -286,9 +306,11 @@ class Grower:
         items, masks, leaves, depth = (self.forest.items[:, tree].copy(), self.forest.masks[:, tree].copy(), self.forest.leaves[:, tree].copy(), self.depth)
 
         def change(by_item: np.ndarray, scores: np.ndarray) -> np.ndarray:
-            scores = scores.copy()
+            scores, n = scores.copy(), by_item.shape[1]
+            value, place = np.empty(n), np.empty(n, np.intp)
             for m in active:
-                scores[m] += leaves[m][descend(by_item, items[m], masks[m], depth)]
+                place[:] = descend(by_item, items[m], masks[m], depth)
+                scores[m] += leaves[m].take(place, out=value, mode="clip")
             return scores
 
         self.add(change, (tree + 1) % CUT_EVERY == 0)
@@ -375,45 +397,90 @@ def first_values(g: Grower, quantiles: np.ndarray, span: float) -> np.ndarray:
     return np.array([middle + class_quantile(counts[m], q, span) if m in counts and counts[m].sum() else 0.0 for m, q in enumerate(quantiles)])
 
 
-def answer_counts(by_item: np.ndarray, groups: np.ndarray, n_answers: int) -> np.ndarray:
-    """Counts of (group, item, bin) for groups of rows given as flags (groups x rows); the bin after the answers is "missing".
+def weighed_answers(by_item: np.ndarray, n_answers: int, columns: Iterable[Callable[[slice], np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sums of weights per (group, item, bin), for COUNTED_AT_ONCE rows at a time; the bin after the answers is "missing".
 
-    Answers as flags times groups: one matrix product per COUNTED_AT_ONCE rows counts all groups, where counting cell by cell
-    takes some nanoseconds for every row, item and group.
+    ``columns`` give the weights of some groups for a range of rows (groups x rows); their number comes with the sums. Answers as flags times
+    weights: one matrix product counts all groups, where counting cell by cell takes some nanoseconds for every row, item and
+    group. A row of ones gives the groups' totals.
     """
-    n_items = len(by_item)
-    out = np.zeros((len(groups), n_items, n_answers + 1), np.int64)
+    n_items, bins, columns = len(by_item), np.arange(n_answers, dtype=by_item.dtype)[:, None], list(columns)
+    cells = n_items * n_answers
+    is_given, all_given = np.empty((n_items, n_answers, COUNTED_AT_ONCE), bool), np.ones((cells + 1, COUNTED_AT_ONCE), np.float32)
     for at in range(0, by_item.shape[1], COUNTED_AT_ONCE):
         part = by_item[:, at : at + COUNTED_AT_ONCE]
-        given = np.stack([part == b for b in range(n_answers)], axis=1).astype(np.float32).reshape(n_items * n_answers, -1)
-        for first in range(0, len(groups), COLUMNS_AT_ONCE):
-            flags = groups[first : first + COLUMNS_AT_ONCE, at : at + COUNTED_AT_ONCE]
-            out[first : first + COLUMNS_AT_ONCE, :, :-1] += (flags.astype(np.float32) @ given.T).astype(np.int64).reshape(len(flags), n_items, n_answers)
-    out[:, :, -1] = groups.sum(axis=1)[:, None] - out[:, :, :-1].sum(axis=2)
+        n = part.shape[1]
+        np.equal(part[:, None, :], bins, out=is_given[:, :, :n])
+        given = all_given[:, :n]
+        given[:-1] = is_given[:, :, :n].reshape(cells, n)
+        for k, weights in enumerate(columns):
+            sums = (given @ weights(slice(at, at + n)).T).T
+            found = np.empty((len(sums), n_items, n_answers + 1), np.int64)
+            found[:, :, :-1] = sums[:, :-1].reshape(-1, n_items, n_answers)
+            found[:, :, -1] = sums[:, -1:] - found[:, :, :-1].sum(axis=2)
+            yield k, found
+
+
+def answer_counts(by_item: np.ndarray, groups: np.ndarray, n_answers: int) -> np.ndarray:
+    """Counts of (group, item, bin) for groups of rows given as flags (groups x rows)."""
+    parts = [groups[first : first + COLUMNS_AT_ONCE] for first in range(0, len(groups), COLUMNS_AT_ONCE)]
+    out = [np.zeros((len(p), len(by_item), n_answers + 1), np.int64) for p in parts]
+    for k, found in weighed_answers(by_item, n_answers, [lambda rows, p=p: p[:, rows].astype(np.float32) for p in parts]):
+        out[k] += found
+    return np.concatenate(out)
+
+
+def sums_over(values: np.ndarray, rows: np.ndarray, flags: np.ndarray) -> float:
+    """Sum over some rows, given as numbers and as flags: a product, unless what other rows hold is no number."""
+    total = float(values @ rows)
+    return total if np.isfinite(total) else float(values[flags].sum())
+
+
+def all_losses(quantiles: np.ndarray, models: list[int], residuals) -> list[np.ndarray]:
+    """Training rows, their loss, held-out rows and their loss, per model."""
+    out, numbers = [], {}
+    for m in models:
+        residual, train, held = residuals(m)
+        loss = quantiles[m] * residual
+        np.maximum(loss, (quantiles[m] - 1) * residual, out=loss)
+        found = []
+        for side in (train, held):
+            if id(side) not in numbers:  # models of a fold share their flags
+                numbers[id(side)] = side.sum(), side.astype(np.float64), side
+            n, rows, _ = numbers[id(side)]
+            found += [n, sums_over(loss, rows, side)]
+        out.append(np.array(found))
     return out
 
 
 def with_losses(g: Grower, quantiles: np.ndarray, depth: int):
-    """Counting function: losses, then counts of (node, item, bin, above) of a level."""
-    n_answers, nodes = n_bins(g.spec) - 1, 1 << depth
+    """Counting function: losses (at the root only), then counts of (left child, item, bin, above) of a level; the root counts as one."""
+    n_answers, n_items, lefts = n_bins(g.spec) - 1, g.spec.n_items, max(1, (1 << depth) // 2)
+    at_once = max(1, COLUMNS_AT_ONCE // lefts)
 
     def count(by_item, models, residuals, nodes_of):
-        at_once = max(1, COLUMNS_AT_ONCE // (2 * nodes))
-        for first in range(0, len(models), at_once):
-            some, losses = models[first : first + at_once], []
-            groups = np.empty((len(some), nodes, 2, by_item.shape[1]), bool)
-            for n, m in enumerate(some):
-                residual, train, held = residuals(m)
-                loss = np.maximum(quantiles[m] * residual, (quantiles[m] - 1) * residual)
-                losses.append(np.array([train.sum(), loss[train].sum(), held.sum(), loss[held].sum()]))
-                node, above = nodes_of(m, depth), residual > 0
-                for k in range(nodes):
-                    inside = train & (node == k)
-                    groups[n, k, 0], groups[n, k, 1] = inside & ~above, inside & above
-            counts = answer_counts(by_item, groups.reshape(len(some) * nodes * 2, -1), n_answers)
-            counts = counts.reshape(len(some), nodes, 2, -1, n_answers + 1).transpose(0, 1, 3, 4, 2)
-            for n, m in enumerate(some):
-                yield m, losses[n], counts[n].ravel()
+        nodes, weight = [], np.empty((len(models), by_item.shape[1]), np.float32)
+        for k, m in enumerate(models):
+            residual, train, _ = residuals(m)
+            nodes.append(nodes_of(m, depth) | (~train).view(np.uint8))  # left children are even, other rows are made odd
+            np.multiply(residual > 0, np.float32(1 << ABOVE_BITS), out=weight[k])
+        weight += 1
+        node = np.stack(nodes)
+        even = np.arange(0, 2 * lefts, 2, dtype=node.dtype)[:, None]
+
+        def columns(first: int) -> Callable[[slice], np.ndarray]:
+            some = slice(first, first + at_once)
+            return lambda rows: ((node[some, None, rows] == even) * weight[some, None, rows]).reshape(-1, rows.stop - rows.start)
+
+        starts = range(0, len(models), at_once)
+        counts = [np.zeros((2, len(models[first : first + at_once]) * lefts, n_items, n_answers + 1), np.int64) for first in starts]
+        for k, found in weighed_answers(by_item, n_answers, [columns(first) for first in starts]):
+            counts[k][0] += found & ((1 << ABOVE_BITS) - 1)
+            counts[k][1] += found >> ABOVE_BITS
+        losses = all_losses(quantiles, models, residuals) if depth == 0 else [np.zeros(0)] * len(models)
+        for k, m in enumerate(models):
+            rows, above = counts[k // at_once].reshape(2, -1, lefts, n_items, n_answers + 1)[:, k % at_once]
+            yield m, losses[k], np.stack([rows - above, above], axis=-1).ravel()
 
     return count
 
@@ -421,13 +488,16 @@ def with_losses(g: Grower, quantiles: np.ndarray, depth: int):
 def grow_tree(g: Grower, tree: int, active: list[int], quantiles: np.ndarray, root: dict[int, np.ndarray], span: float) -> None:
     """Grow one tree per active model, a level per pass, and set its leaves."""
     f, width = g.forest, n_bins(g.spec)
+    parents: dict[int, np.ndarray] = {}
     for depth in range(g.depth):
         deep = [m for m in active if depth < g.jobs[m].growth.depth]
         counts = root if depth == 0 else g.counted(with_losses(g, quantiles, depth), deep, tree)
         for m in deep:
             if m not in counts:
                 continue
-            levels = counts[m][4:].reshape(1 << depth, g.spec.n_items, width, 2)
+            lefts = counts[m][0 if depth else 4 :].reshape(-1, 1, g.spec.n_items, width, 2)
+            levels = np.concatenate([lefts, parents[m][:, None] - lefts], axis=1).reshape(1 << depth, *lefts.shape[2:]) if depth else lefts[:, 0]
+            parents[m] = levels
             first = (1 << depth) - 1
             for k, (item, mask) in enumerate(best_splits(levels, quantiles[m], g.jobs[m].growth.min_leaf)):
                 f.items[m, tree, first + k], f.masks[m, tree, first + k] = item, mask
@@ -436,8 +506,11 @@ def grow_tree(g: Grower, tree: int, active: list[int], quantiles: np.ndarray, ro
     def count(by_item, models, residuals, nodes):
         for m in models:
             residual, train, _ = residuals(m)
-            leaf = nodes(m, depth)[train].astype(np.int64)
-            yield m, np.zeros(0), np.bincount(leaf * CLASSES + residual_classes(residual[train], span), minlength=leaves * CLASSES)
+            cell = nodes(m, depth).astype(np.int64)
+            cell[~train] = leaves  # counted aside
+            cell *= CLASSES
+            cell += residual_classes(residual, span)
+            yield m, np.zeros(0), np.bincount(cell, minlength=(leaves + 1) * CLASSES)[: leaves * CLASSES]
 
     found = g.counted(count, active, tree)
     for m in active:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,49 @@ def test_counts_by_matrix_product_equal_a_plain_count():
             assert got[g, item].tolist() == np.bincount(by_item[item, groups[g]], minlength=MISSING + 1).tolist()
 
 
+def test_only_left_children_are_counted_and_the_right_ones_follow():
+    """Rows of a level by node, item, bin and side, against plain counts; rows of no model, more rows than a product takes."""
+    rng = np.random.default_rng(13)
+    n, depth, models = forests.COUNTED_AT_ONCE + 700, 3, [0, 2]
+    by_item = rng.integers(0, MISSING + 1, (SPEC.n_items, n)).astype(np.uint8)
+    residual, train = rng.normal(size=(3, n)), rng.random((3, n)) < 0.8
+    node = rng.integers(0, 1 << depth, (3, n)).astype(np.uint8)
+
+    class Fit:
+        spec = SPEC
+
+    def counted(level):
+        count = forests.with_losses(Fit, np.array([0.05, 0.5, 0.95]), level)
+        return {m: (losses, found) for m, losses, found in count(by_item, models, lambda m: (residual[m], train[m], ~train[m]), lambda m, d: node[m] >> (depth - d))}
+
+    parents = {}
+    for level in range(depth + 1):
+        for m, (losses, found) in counted(level).items():
+            nodes = 1 << level
+            assert len(found) == max(1, nodes // 2) * SPEC.n_items * (MISSING + 1) * 2 and len(losses) == (0 if level else 4)
+            lefts = found.reshape(-1, 1, SPEC.n_items, MISSING + 1, 2)
+            both = np.concatenate([lefts, parents[m][:, None] - lefts], axis=1) if level else lefts
+            parents[m] = both.reshape(nodes, *lefts.shape[2:])
+            for k in range(nodes):
+                for side in (0, 1):
+                    inside = train[m] & (node[m] >> (depth - level) == k) & ((residual[m] > 0) == side)
+                    for item in (0, 7, SPEC.n_items - 1):
+                        assert parents[m][k, item, :, side].tolist() == np.bincount(by_item[item, inside], minlength=MISSING + 1).tolist()
+
+
+def test_losses_leave_out_rows_that_are_no_numbers():
+    residual, train, held = np.array([1.0, -2.0, np.nan, 4.0]), np.array([True, True, False, False]), np.array([False, False, False, True])
+    found = forests.all_losses(np.array([0.5]), [0], lambda m: (residual, train, held))
+    assert found[0].tolist() == [2, 1.5, 1, 2.0]
+
+
+def test_small_batches_make_whole_blocks():
+    batches = [pa.record_batch({"a": pa.array(range(10 * k, 10 * k + size))}) for k, size in enumerate((3, 0, 9, 1, 5))]
+    found = list(forests.whole_blocks(batches, 7))
+    assert [b.num_rows for b in found] == [7, 7, 4] and [v for b in found for v in b.column("a").to_pylist()] == [v for b in batches for v in b.column("a").to_pylist()]
+    assert list(forests.whole_blocks([], 7)) == []
+
+
 def test_packed_counts_come_back():
     for counts in (np.zeros(50, np.int64), np.eye(1, 5000, 7, dtype=np.int64)[0] * 70_000, np.arange(300), np.zeros(0, np.int64), np.array([2**33])):
         losses, back = forests.unpacked_counts(*forests.packed_counts(np.array([0.5, 2.0]), counts))
