@@ -264,6 +264,44 @@ def test_bootstrap_interval_agrees_with_standard_error(spark):
     assert ci["mae"]["ci_lo"] < e.mean() < ci["mae"]["ci_hi"]
 
 
+def test_weights_by_cells_are_those_of_the_thresholds():
+    """Also next to the thresholds, which lie inside cells."""
+    from scalemetrics.functions.draws import expand
+    from scalemetrics.functions.stats import poisson_thresholds
+
+    hashes, replicates = np.random.default_rng(1).integers(0, 1 << 60, 5000), np.arange(1, 41)
+    drawn = expand(hashes[None, :], replicates[:, None])
+    plain = np.searchsorted(np.array(poisson_thresholds()), drawn, side="right")
+    assert (bootstrap.replicate_weights(hashes, replicates) == plain).all()
+    cells, least = bootstrap.count_cells()
+    assert 0 < (cells < 0).sum() <= len(least)
+    for k, t in enumerate(poisson_thresholds()):
+        below, at = (np.searchsorted(least, np.uint64(v), side="right") for v in (least[k] - np.uint64(1), least[k]))
+        assert (below, at) == (k, k + 1) and (float(least[k]) / 2**53 >= t) and (float(least[k] - np.uint64(1)) / 2**53 < t)
+
+
+def test_groups_of_one_product_add_up_repeated_rows():
+    sums, owner = np.arange(18.0).reshape(6, 3), np.array([0, 1, 1, 0, 2, 2])
+    groups = [np.array([0, 1, 2]), np.array([3, 4, 5])]
+    got = bootstrap.sums_per_owner(sums, owner, groups, 4)
+    assert got[:, 0].tolist() == [sums[0].tolist(), (sums[1] + sums[2]).tolist(), [0] * 3, [0] * 3]
+    assert got[:, 1].tolist() == [sums[3].tolist(), [0] * 3, (sums[4] + sums[5]).tolist(), [0] * 3]
+
+
+def test_sums_of_dense_and_scattered_groups_agree(spark):
+    """Rows of a respondent come in all groups, in some or twice; weights times rows one by one."""
+    pdf = predictions(spark, 60)
+    few = pdf[(pdf["respondent_id"] % 9 == 0) | (pdf["domain"] == "ext")]
+    for rows in (pd.concat([pdf, pdf[pdf["respondent_id"] < 7]]), few):
+        got = bootstrap.replicate_sums(spark.createDataFrame(rows), ["method", "domain"], 3, 5).toPandas()
+        hashes = spark.createDataFrame(rows).select(bootstrap.row_hash(5, F.col("respondent_id")).alias("h")).toPandas()["h"].to_numpy()
+        weights = bootstrap.replicate_weights(hashes, np.arange(1, 4))
+        for r in got.itertuples():
+            inside = ((rows["method"] == r.method) & (rows["domain"] == r.domain)).to_numpy()
+            w, e = weights[r.rep - 1, inside], (rows["true"] - rows["pred"]).abs().to_numpy()[inside]
+            assert r.w == w.sum() and r.se == pytest.approx((w * e).sum())
+
+
 def test_bootstrap_is_paired_and_repeatable(spark):
     pdf = predictions(spark, 500)
     twin = pd.concat([pdf, pdf.assign(method="b")])
