@@ -603,6 +603,28 @@ def test_sessions_in_any_order_and_many_batches_are_counted_whole(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_work_on_whole_groups_goes_on_without_another_shuffle(spark):
+    rows = [(s, p, i, 1) for s in range(9) for p, i in enumerate(["agr1", "ext2", "ext1", "odd", "x1y", None, "opn10\n", "ext2"], start=1)] + [(9, 2, None, 1), (9, 1, None, 2), (None, 4, "ext1", 1)]
+    log = spark.createDataFrame(rows, "session long, pos int, item string, value int").repartition(4, "pos")
+    found = sessions.prefix_coverage(sessions.first_answers(log), SPEC)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # that of the log above, and one for the sessions
+    assert plan.count("MapInArrow") == 2
+    alone = sessions.prefix_coverage(sessions.first_answers(log).select("session", "pos", "item", "value"), SPEC)
+    assert sorted(map(str, found.collect())) == sorted(map(str, alone.collect()))
+    at = {r["pos"]: r for r in found.filter("session = 3").collect()}
+    assert len(at) == 7 and (at[7]["n_ext"], at[7]["n_agr"], at[7]["n_opn"], at[7]["n_items"]) == (2, 1, 1, 7)
+    assert [(r["n_items"], r["n_ext"]) for r in found.filter("session = 9").collect()] == [(1, None)]
+
+
+def test_domains_of_names_are_those_of_columns(spark):
+    from scalemetrics.operators.items import domain_name, domain_of_item
+
+    names = ["ext1", "ext10", "ext", "1", "", "Ext1", "ext1 ", "ext1\n", "ext1\r\n", "ext1\n\n", "ext\u0661", "\next1", "ab1c2", "opn1\u2028"]
+    got = spark.createDataFrame([(n,) for n in names], "item string").select("item", domain_of_item(F.col("item")).alias("d")).collect()
+    assert {r["item"]: r["d"] for r in got} == {n: domain_name(n) for n in names}
+
+
 def test_earliest_stops_hold_length_reason_and_sem(spark):
     sems = [f"sem_{d}" for d in SPEC.domains]
     columns = ["session", "pos", "n_items", *(f"n_{d}" for d in SPEC.domains), *sems]
