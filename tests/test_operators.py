@@ -603,6 +603,19 @@ def test_sessions_in_any_order_and_many_batches_are_counted_whole(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_written_tables_come_from_methods_that_are_compiled(spark):
+    from scalemetrics import workspace
+
+    before = spark.conf.get(workspace.METHOD_LIMIT)
+    try:
+        for own, used in (("65535", "8000"), ("3000", "3000")):
+            spark.conf.set(workspace.METHOD_LIMIT, own)
+            assert workspace.written(spark, f"limit {own}", lambda: spark.range(3)).count() == 3
+            assert spark.conf.get(workspace.METHOD_LIMIT) == used
+    finally:
+        spark.conf.set(workspace.METHOD_LIMIT, before)
+
+
 def test_work_on_whole_groups_goes_on_without_another_shuffle(spark):
     rows = [(s, p, i, 1) for s in range(9) for p, i in enumerate(["agr1", "ext2", "ext1", "odd", "x1y", None, "opn10\n", "ext2"], start=1)] + [(9, 2, None, 1), (9, 1, None, 2), (None, 4, "ext1", 1)]
     log = spark.createDataFrame(rows, "session long, pos int, item string, value int").repartition(4, "pos")
